@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from loam.llm import chat, fingerprint, line_dedup
+from loam.llm import bpe, chat, fingerprint, line_dedup, packing, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
+    "op5_packing": packing.op5_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op8_bpe": bpe.op8_bpe,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
