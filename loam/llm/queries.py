@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, chat, fingerprint, line_dedup, packing, token_store
+from loam.llm import bpe, chat, fingerprint, langid, line_dedup, packing, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_bpe": bpe.op8_bpe,
