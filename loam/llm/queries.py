@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, chat, fingerprint, langid, line_dedup, packing, token_store
+from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, packing, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL = {"op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL}
