@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, packing, token_store
+from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, packing, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_topk": topk.op7_topk,
     "op8_bpe": bpe.op8_bpe,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL = {"op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op7_topk": topk.SQL, "op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL}
