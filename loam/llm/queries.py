@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, packing, token_store, topk
+from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, ngram_lm, packing, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_lm_scoring": ngram_lm.op3_lm_scoring,
     "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
