@@ -1,4 +1,6 @@
 """Query keys over the driver's tables and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loam.plans import corpus_queries, literal_queries, retrieval_queries
+
+QUERIES = {**retrieval_queries.Q, **corpus_queries.Q, **literal_queries.Q}
+ORACLE_SQL = {**retrieval_queries.SQL, **corpus_queries.SQL, **literal_queries.SQL}
