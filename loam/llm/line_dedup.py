@@ -1,19 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame operations only).
 
 State is a set of runs: Parquet tables of (h1, h2, n), sorted by hash, n being the number of documents that hold a line.
-A new batch is reduced to its distinct line hashes, anti-joined against the settled run (lines already known to reach the
-threshold need no more counting) and written as a run of level 0. When a level holds `fanout` runs they are merged into
-one run of the next level; lines whose merged count reaches the threshold move to the settled run.
+A new batch is reduced to its distinct line hashes, anti-joined against what the compacted runs already have over the
+threshold (those lines need no more counting) and written as a run of level 0. When a level holds `fanout` runs they are
+merged into one run of the next level.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import ascii_lower, scratch, table, texts
+from loam.llm.shared import ascii_lower, few_files, scratch, table, texts
 
 #: Hashes of lines over the threshold are broadcast up to this many rows (16 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 200_000
@@ -47,23 +45,24 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.root = scratch(spark, "line-runs")
         self.levels: dict[int, list[str]] = {}
-        self.settled: list[str] = []
         self.made = 0
 
     def _write(self, runs: DataFrame, kind: str) -> str:
         self.made += 1
         path = f"{self.root}/{kind}-{self.made}"
-        runs.sortWithinPartitions("h1", "h2").write.parquet(path)
+        few_files(runs).sortWithinPartitions("h1", "h2").write.parquet(path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
 
     def _unsettled(self, counts: DataFrame) -> DataFrame:
-        """counts without the lines of the settled run."""
-        if not self.settled:
+        """counts without the lines that a compacted run has over the threshold: they need no more counting."""
+        compacted = [p for level, paths in self.levels.items() if level for p in paths]
+        if not compacted:
             return counts
-        return counts.join(bounded(self._read(self.settled).select("h1", "h2"))[0], ["h1", "h2"], "left_anti")
+        settled = self._read(compacted).filter(F.col("n") >= self.min_docs).select("h1", "h2")
+        return counts.join(bounded(settled)[0], ["h1", "h2"], "left_anti")
 
     def add(self, docs: DataFrame) -> None:
         """One batch of documents becomes one run of level 0; full levels are compacted."""
@@ -76,19 +75,13 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         paths = self.levels.pop(level)
-        merged = self._unsettled(self._read(paths)).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        run = self._write(merged, "run")
-        self.levels.setdefault(level + 1, []).append(run)
-        self.settled.append(self._write(self._read([run]).filter(F.col("n") >= self.min_docs), "settled"))
+        merged = self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        self.levels.setdefault(level + 1, []).append(self._write(merged, "run"))
 
     def frequent(self) -> DataFrame:
         """(h1, h2) of all lines that at least min_docs documents hold."""
         runs = [p for paths in self.levels.values() for p in paths]
-        settled = self._read(self.settled).select("h1", "h2") if self.settled else None
-        if not runs:
-            return settled if settled is not None else self.spark.createDataFrame([], "h1 long, h2 long")
-        open_ = self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.min_docs).select("h1", "h2")
-        return open_ if settled is None else open_.unionByName(settled).distinct()
+        return self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
 def bounded(hashes: DataFrame) -> tuple[DataFrame, int]:

@@ -29,11 +29,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
+def few_files(df: DataFrame) -> DataFrame:
+    """An eighth of the shuffle partitions: for tables much smaller than what they are made from."""
+    return df.coalesce(max(6, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors. few: in few files."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (few_files(df) if few else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -64,6 +69,20 @@ def crc_mod(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def slices(batch, column: int, most: int = 1 << 23):
+    """Runs of rows of an Arrow batch that hold some `most` bytes in a text column: what is built beside them stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + most)))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a Hadoop-style URI."""
     from pyarrow import fs
