@@ -2,9 +2,10 @@
 
 A text is the multiset of its paragraphs; a long paragraph counts as its sentences. Each piece is hashed to a wide vector
 and a document's fingerprint is the sum of its pieces' vectors modulo powers of two, so it doesn't depend on their order,
-and the vector of a piece inserted or deleted is added or subtracted. The vector has two parts: 16 dense lanes modulo
+and the vector of a piece inserted or deleted is added or subtracted. The vector has two parts: 8 dense lanes modulo
 2^32, for equality, and 256 sparse lanes modulo 2^8 of which a piece touches one, for likeness. Sparse lanes are 8 levels
-of 32; a piece's level is the number of trailing zeros of its hash, so level j and above hold about a 2^j-th of the pieces.
+of 32; a piece's level is the number of trailing zeros of its hash, so each level holds half as many as the one before.
+Lanes in use are written as number and value, two bytes each.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from loam.llm.shared import table, texts
 
-DENSE, LEVELS, LANES = 8, 8, 32
-#: A level is read once at most this many of its lanes are in use; more would hide what two texts share.
+DENSE, LEVELS, LANES = 4, 8, 32
+#: Likeness is read from the first level of which at most this many lanes are in use, and those above.
 FEW = 20
-PIECES = r"(?<=\n)|(?<=[.!?]) "
+PIECES = r" (?<=[.!?] )|(?<=\n)"
 
 
 def pieces(text):
@@ -63,68 +64,48 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def summed(rows: DataFrame, keys: list[str], units: str) -> DataFrame:
-    """For each of the keys the sums of its pieces' vectors. rows: keys and an array of pieces."""
+    """For each of the keys dense (8 lanes), used (lanes in use, ascending, each as number * 256 + value) and few, the
+    level from which likeness is read. rows: keys and an array of pieces."""
     h = F.xxhash64("piece")
+    some = F.col("piece").isNotNull()
     level = F.lit(LEVELS - 1)
     for j in reversed(range(LEVELS - 1)):
-        level = F.when(h.bitwiseAND(F.lit(1 << j)) != 0, j).otherwise(level)
+        level = F.when(F.col("h").bitwiseAND(F.lit(1 << j)) != 0, j).otherwise(level)
     low = F.lit(0xFFFFFFFF)
-    dense = [F.xxhash64(F.lit(i + 1), F.col("piece")) for i in range(DENSE)]
-    hashed = rows.select(*keys, F.explode_outer(units).alias("piece")).select(
-        *keys,
-        F.when(F.col("piece").isNotNull(), level * LANES + F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(LANES - 1)).cast("int")).alias("slot"),
-        F.when(F.col("piece").isNotNull(), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(0xFFFF))).otherwise(0).alias("v"),
-        *[F.when(F.col("piece").isNotNull(), x.bitwiseAND(low) if k == 0 else F.shiftrightunsigned(x, 32)).otherwise(0).alias(f"d{2 * i + k}") for i, x in enumerate(dense) for k in range(2)],
-    )
+    hashed = rows.select(*keys, F.explode_outer(units).alias("piece")).select(*keys, some.alias("some"), h.alias("h"), *[F.xxhash64(F.lit(i + 1), F.col("piece")).alias(f"x{i}") for i in range(DENSE)])
     lanes = [f"d{i}" for i in range(2 * DENSE)]
-    by_slot = hashed.groupBy(*keys, "slot").agg(F.sum("v").alias("v"), *[F.sum(d).alias(d) for d in lanes])
-    return by_slot.groupBy(*keys).agg(
-        F.array(*[F.sum(d) % (1 << 32) for d in lanes]).alias("dense"),
-        F.map_from_entries(F.filter(F.collect_list(F.struct("slot", (F.col("v") % 256).alias("v"))), lambda x: x.slot.isNotNull())).alias("sparse"),
+    split = hashed.select(
+        *keys,
+        F.when(F.col("some"), level * LANES + F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(LANES - 1)).cast("int")).alias("slot"),
+        F.when(F.col("some"), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(0xFFFF))).otherwise(0).alias("v"),
+        *[F.when(F.col("some"), F.col(f"x{i}").bitwiseAND(low) if k == 0 else F.shiftrightunsigned(f"x{i}", 32)).otherwise(0).alias(f"d{2 * i + k}") for i in range(DENSE) for k in range(2)],
     )
+    by_slot = split.groupBy(*keys, "slot").agg(F.sum("v").alias("v"), *[F.sum(d).alias(d) for d in lanes])
+    v = (F.col("v") % 256).cast("int")
+    at = [F.count_if((F.col("slot") >= j * LANES) & (F.col("slot") < (j + 1) * LANES)).alias(f"c{j}") for j in range(LEVELS - 1)]
+    whole = by_slot.groupBy(*keys).agg(F.collect_list(F.when(F.col("slot").isNotNull(), F.col("slot") * 256 + v)).alias("used"), *[F.sum(d).alias(d) for d in lanes], *at)
+    few = F.coalesce(*[F.when(F.col(f"c{j}") <= FEW, j) for j in range(LEVELS - 1)], F.lit(LEVELS - 1))
+    return whole.select(*keys, F.array(*[F.col(d) % (1 << 32) for d in lanes]).alias("dense"), F.array_sort("used").alias("used"), few.alias("few"))
 
 
-def full(sparse):
-    """The 256 sparse lanes as an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS * LANES - 1)), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit(0).cast("long")))
-
-
-def as_hex(dense, lanes):
-    return F.concat(F.array_join(F.transform(dense, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), ""))
-
-
-def above(lanes, level: int):
-    """The lanes of this level and those above, added."""
-    parts = [F.slice(lanes, j * LANES + 1, LANES) for j in range(level, LEVELS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.zip_with(out, p, lambda x, y: x + y)
-    return out if len(parts) == 1 else F.transform(out, lambda x: x % 256)
+def as_hex(dense, used):
+    pad = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    return F.concat(F.array_join(F.transform(dense, lambda x: pad(x, 8)), ""), F.lit("."), F.array_join(F.transform(used, lambda x: pad(x, 4)), ""))
 
 
-def likeness(a, b):
-    """0 to 1: the share of equal lanes among the lanes in use, at the first level where few are in use."""
-
-    def at(level):
-        return F.zip_with(above(a, level), above(b, level), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-
-    def used(z):
-        return F.size(F.filter(z, lambda p: (p.x != 0) | (p.y != 0)))
-
-    def share(z):
-        return F.size(F.filter(z, lambda p: (p.x != 0) & (p.x == p.y))) / F.greatest(used(z), F.lit(1))
-
-    out = share(at(LEVELS - 1))
-    for level in reversed(range(LEVELS - 1)):
-        z = at(level)
-        out = F.when(used(z) <= FEW, share(z)).otherwise(out)
-    return out
+def likeness(used_a, few_a, used_b, few_b):
+    """0 to 1: equal lanes among the lanes in use, from the first level on where both texts use few; an estimate of the
+    share of pieces that the two have in common."""
+    least = F.greatest(few_a, few_b) * (LANES * 256)
+    a, b = F.filter(used_a, lambda x: x >= least), F.filter(used_b, lambda x: x >= least)
+    both = F.size(F.array_intersect(a, b))
+    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """keep columns (they must tell rows apart) and fingerprint of every row. Null or empty text: the zero fingerprint."""
     rows = docs.select(*keep, pieces(F.coalesce(F.col(text), F.lit(""))).alias("units"))
-    return summed(rows, list(keep), "units").select(*keep, as_hex(F.col("dense"), full(F.col("sparse"))).alias("fingerprint"))
+    return summed(rows, list(keep), "units").select(*keep, as_hex(F.col("dense"), F.col("used")).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -142,11 +123,16 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     sides = F.array(*[F.struct(F.lit(i).alias("side"), pieces(F.col(c)).alias("units")) for i, c in enumerate(("text", "edited", "next_text"))])
     keys = ["bucket", "rn", "doc_id", "n_chars", "edited_sha256", "side"]
     flat = rows.select("bucket", "rn", "doc_id", "n_chars", sha.alias("edited_sha256"), F.inline(sides))
-    sums = summed(flat, keys, "units").withColumn("lanes", full(F.col("sparse"))).withColumn("hex", as_hex(F.col("dense"), F.col("lanes")))
-    side = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
-    wide = sums.groupBy(*keys[:-1]).agg(*[side(i, c).alias(f"{c}{i}") for i in range(3) for c in ("lanes", "hex")])
-    near = lambda i: F.when(F.col("hex0") == F.col(f"hex{i}"), 1.0).otherwise(likeness(F.col("lanes0"), F.col(f"lanes{i}")))
-    return wide.select("doc_id", "n_chars", "edited_sha256", F.col("hex0").alias("fingerprint"), F.col("hex1").alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
+    sums = summed(flat, keys, "units").withColumn("print", F.struct("dense", "used", "few"))
+    side = [F.max(F.when(F.col("side") == i, F.col("print"))).alias(f"p{i}") for i in range(3)]
+    wide = sums.groupBy(*keys[:-1]).agg(*side)
+
+    def near(i):
+        other = F.col(f"p{i}")
+        return F.when(F.col("p0") == other, 1.0).otherwise(likeness(F.col("p0.used"), F.col("p0.few"), other.used, other.few))
+
+    shown = lambda i: as_hex(F.col(f"p{i}.dense"), F.col(f"p{i}.used"))
+    return wide.select("doc_id", "n_chars", "edited_sha256", shown(0).alias("fingerprint"), shown(1).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
