@@ -9,13 +9,14 @@ position; decoding joins ids to pieces.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import scratch, table, texts
+from loam.llm.shared import few_files, scratch, slices, table, texts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SPECIAL = "<|endoftext|>"
@@ -23,10 +24,16 @@ SPECIAL = "<|endoftext|>"
 #: with any other character are encoded whole by the library.
 STABLE = r"\x{0}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FCB}\x{AC00}-\x{D7A3}\x{FF01}-\x{FF5E}\x{1F300}-\x{1F64F}"
 JAVA_UNSTABLE = f"[^{STABLE}]"
-#: The words of the table that go to every executor: at most so many, some 30 MB. Rarer words are encoded where they stand.
-TABLE_WORDS = 1 << 20
-#: Words that a WordEncoder remembers.
-CACHE_WORDS = 1 << 19
+#: The words of the table that go to every executor: at most so many, some 15 MB. Rarer words are encoded where they stand.
+TABLE_WORDS = 1 << 19
+#: Words that are put together at a time.
+SLICE_WORDS = 1 << 19
+#: Words that a WordEncoder remembers in each of two generations, some 25 MB.
+CACHE_WORDS = 1 << 17
+#: The Latin part of STABLE, and its letters, numbers and white space as the tokenizers library has them: most texts have
+#: nothing else, and plain character classes are quicker than Unicode properties.
+LATIN = r"\x{0}-\x{2AF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}"
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-\u02af", "0-9²³¹¼-¾", "\t\n\x0b\x0c\r \x85\xa0"
 
 
 def _py_class(java: str) -> str:
@@ -35,11 +42,13 @@ def _py_class(java: str) -> str:
     return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
 
 
-def split_pattern(java: bool) -> str:
-    """The pre-tokenizer's pattern over a whole text; the special token is a word of its own and bounds its neighbours."""
+def split_pattern(java: bool = False, latin: bool = False) -> str:
+    """The pre-tokenizer's pattern over a whole text; the special token is a word of its own and bounds its neighbours.
+    The alternatives begin with different characters, so their order is free: frequent ones come first."""
     special = r"<\|endoftext\|>"
-    flag = "(?U)" if java else ""
-    return flag + rf"{special}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{special})[^\s\p{{L}}\p{{N}}])+|\s+(?:(?!\S)|(?={special}))|\s+"
+    letter, number, space, flag = (LETTERS, NUMBERS, SPACES, "") if latin else (r"\p{L}", r"\p{N}", r"\s", "(?U)" if java else "")
+    other = rf"(?:(?!{special})[^{space}{letter}{number}])+"
+    return flag + rf" ?[{letter}]+| ?[{number}]+|{special}|'(?:[stmd]|ll|ve|re)| ?{other}|[{space}]+(?:(?![^{space}])|(?={special}))|[{space}]+"
 
 
 @lru_cache(maxsize=4)
@@ -56,32 +65,51 @@ class WordEncoder(dict):
     """text -> ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str = BYTE_BPE):
+        import json
         import re
 
         import regex
 
         super().__init__()
-        self.path, self.tok = path, tokenizer(path)
-        self.find = regex.compile(split_pattern(False)).findall
-        self.odd = re.compile(_py_class(JAVA_UNSTABLE)).search
+        self.tok, self.old = tokenizer(path), {}
+        self.pieces = self.tok.model.tokenize
+        self.added = {x["content"]: x["id"] for x in json.loads(self.tok.to_str())["added_tokens"]}
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.find, self.find_latin = regex.compile(split_pattern()).findall, re.compile(split_pattern(latin=True)).findall
+        self.beyond_latin, self.odd = (re.compile(f"[^{_py_class(x)}]").search for x in (LATIN, STABLE))
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.direct(word)
+        out = self.old.get(word)
+        if out is None:
+            out = array("I", self.word(word)).tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
-    def direct(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def word(self, word: str) -> list[int]:
+        """The ids of one word of the pre-tokenizer."""
+        if word in self.added:
+            return [self.added[word]]
+        return [p.id for p in self.pieces(word.encode().decode("latin-1").translate(self.letters))]
 
     def encode(self, text: str) -> bytes:
-        if not text.isascii() and self.odd(text):
-            return self.direct(text)
-        if len(self) > CACHE_WORDS:
-            self.clear()
+        if text.isascii() or not self.beyond_latin(text):
+            return b"".join(map(self.__getitem__, self.find_latin(text)))
+        if self.odd(text):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, self.find(text)))
 
 
+@lru_cache(maxsize=1)
+def byte_alphabet() -> dict[str, int]:
+    """Byte-level BPE's characters: printable bytes stand for themselves, the others follow from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str = BYTE_BPE) -> WordEncoder:
     """One for each Python worker."""
@@ -90,7 +118,7 @@ def word_encoder(path: str = BYTE_BPE) -> WordEncoder:
 
 def split_words(text):
     """The words of a text as an array; null where the text has a character outside STABLE."""
-    return F.when(~F.rlike(text, F.lit(JAVA_UNSTABLE)), F.regexp_extract_all(text, F.lit(split_pattern(True)), F.lit(0)))
+    return F.when(~F.rlike(text, F.lit(JAVA_UNSTABLE)), F.regexp_extract_all(text, F.lit(split_pattern(java=True)), F.lit(0)))
 
 
 def word_table(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS) -> DataFrame:
@@ -98,7 +126,7 @@ def word_table(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS) -
     spark = docs.sparkSession
     counts = docs.select(F.explode(split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     at = scratch(spark, "words")
-    counts.write.parquet(at)
+    few_files(counts).write.parquet(at)
     counts = spark.read.schema("word string, n long").parquet(at)
     # Some 150 steps of counts at most: how many words would a floor of each step keep?
     step = F.floor(F.log2(F.col("n")) * 4)
@@ -113,10 +141,9 @@ def word_table(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS) -
     def encode(batches):
         import pyarrow as pa
 
-        tok = tokenizer(path)
+        encode_word = word_encoder(path).word
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [x.ids for x in tok.encode_batch(words, add_special_tokens=False)] if words else []
+            ids = [encode_word(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     return chosen.select("word").mapInArrow(encode, "word string, ids array<int>")
@@ -141,14 +168,14 @@ def encode_decode(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS
         known = held.column("word").combine_chunks()
         lists = held.column("ids").combine_chunks()
         known_ids, known_at = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-        tok = tokenizer(path)
+        tok, encode_word = tokenizer(path), word_encoder(path).word
         piece, text_of = _pieces(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, pc.list_value_length(whole.column(2)), SLICE_WORDS)):
             texts_, lists_ = batch.column(1), batch.column(2)
             flat = lists_.flatten().dictionary_encode()
             mine = flat.dictionary
             row = pc.index_in(mine, value_set=known)
-            rare = [x.ids for x in tok.encode_batch(mine.filter(pc.is_null(row)).to_pylist(), add_special_tokens=False)] if row.null_count else []
+            rare = [encode_word(x) for x in mine.filter(pc.is_null(row)).to_pylist()]
             # The ids of the batch's distinct words, those of the table first and then the rare ones.
             at = np.concatenate([known_at[:-1], known_at[-1] + np.concatenate([[0], np.cumsum([len(x) for x in rare])[:-1]]).astype(np.int64) if rare else []]).astype(np.int64)
             size = np.concatenate([np.diff(known_at), [len(x) for x in rare]]).astype(np.int64)
@@ -171,7 +198,9 @@ def encode_decode(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS
                 out_t.append(hashlib.sha256(b"".join(map(piece.__getitem__, own_list)).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_n, pa.int64()), pa.array(out_i), pa.array(out_t)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return base.select("doc_id", "text", split_words(F.col("text")).alias("words")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    split = base.select("doc_id", "text", split_words(F.col("text")).alias("words"))
+    # The text itself is needed only where it wasn't split.
+    return split.select("doc_id", F.when(F.col("words").isNull(), F.col("text")), "words").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @lru_cache(maxsize=2)
@@ -181,10 +210,7 @@ def _pieces(path: str):
 
     vocab = json.loads(tokenizer(path).to_str())["model"]["vocab"]
     added = {x["id"]: x["content"] for x in json.loads(tokenizer(path).to_str())["added_tokens"]}
-    # The byte alphabet: printable bytes stand for themselves, the others follow from 256 on, in order.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain}
-    byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    byte = byte_alphabet()
     pieces = {i: bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s, i in vocab.items()}
     pieces |= {i: s.encode() for i, s in added.items()}
     top = max(pieces) + 1

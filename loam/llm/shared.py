@@ -69,12 +69,12 @@ def crc_mod(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batch, column: int, most: int = 1 << 23):
-    """Runs of rows of an Arrow batch that hold some `most` bytes in a text column: what is built beside them stays small."""
+def slices(batch, sizes, most: int):
+    """Runs of rows of an Arrow batch that come to some `most` by their sizes: what is built beside them stays small."""
     import numpy as np
     import pyarrow.compute as pc
 
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < batch.num_rows:
         before = upto[first - 1] if first else 0

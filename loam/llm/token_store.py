@@ -23,7 +23,7 @@ from loam.llm.shared import mapped, put_bytes, scratch, table, texts, written
 
 MAGIC = b"LOAMTOK1"
 #: Ids a shard holds before the next one begins; one document is never divided.
-SHARD_IDS = 1 << 23
+SHARD_IDS = 1 << 22
 MANIFEST = "part int, shard int, file string, first long, docs long, ids long"
 
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 
 
 def mix(x):
