@@ -26,6 +26,9 @@ CAPACITY = 2048
 STEP = 0.5
 #: A round steps along all configurations whose weight is so near that of the heaviest.
 SLACK = 0.01
+#: More passes follow, with the lengths that ended in roomy sequences weighing more, while sequences exceed the least
+#: conceivable number by more than this share.
+GAP, PASSES = 0.001, 12
 #: Rounds at most; what they leave uncovered is packed by best-fit.
 ROUNDS = 300
 
@@ -58,11 +61,12 @@ def configuration(anchor: int, room: int, first: np.ndarray, lengths: np.ndarray
     return config
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step: float = STEP, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
+def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step: float = STEP, rounds: int = ROUNDS, worth_of: dict[int, float] | None = None) -> list[tuple[dict[int, int], float]]:
     """Configurations and how often (a fraction) each is used; no length is used more often than it occurs.
 
     Each round prices once and steps along every configuration whose weight is within SLACK of the heaviest, the best
-    one for each length it may hold. What the rounds leave uncovered is left to the caller.
+    one for each length it may hold. What the rounds leave uncovered is left to the caller. worth_of: factors of the
+    lengths' weights.
     """
     left = {n: float(c) for n, c in histogram.items() if c > 0}
     whole = dict(left)
@@ -76,7 +80,7 @@ def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step:
         if not left:
             break
         lengths = np.array(sorted(left, reverse=True))
-        weights = np.array([n / capacity * math.exp(-(1 - left[n] / whole[n]) / 8) for n in lengths.tolist()])
+        weights = np.array([n / capacity * (worth_of or {}).get(n, 1.0) * math.exp(-(1 - left[n] / whole[n]) / 8) for n in lengths.tolist()])
         best, first = price(weights, lengths, capacity)
         worth = weights + best[capacity - lengths]
         weight = dict(zip(lengths.tolist(), weights.tolist()))
@@ -139,10 +143,30 @@ def _open(room: dict, order: list[int], r: int, config: tuple, times: int) -> No
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """(configuration, how many sequences) that use every piece exactly once."""
-    left = {n: c for n, c in histogram.items() if c > 0}
+    """(configuration, how many sequences) that use every piece exactly once: the best of the passes."""
+    histogram = {n: c for n, c in histogram.items() if c > 0}
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best, worth_of = None, dict.fromkeys(histogram, 1.0)
+    for _ in range(PASSES):
+        made = _rounded(histogram, capacity, worth_of)
+        if best is None or sum(made.values()) < sum(best.values()):
+            best = made
+        if sum(best.values()) <= max(least + 1, least * (1 + GAP)):
+            break
+        room = dict.fromkeys(histogram, 0.0)
+        for config, times in made.items():
+            waste = 1 - sum(n * k for n, k in config) / capacity
+            for n, k in config:
+                room[n] += times * k * waste / histogram[n]
+        worth_of = {n: w * (1 + room[n] / 2) for n, w in worth_of.items()}
+    return sorted(best.items())
+
+
+def _rounded(histogram: dict[int, int], capacity: int, worth_of: dict[int, float]) -> dict[tuple, int]:
+    """A pass: the program's solution rounded down, and best-fit for the rest."""
+    left = dict(histogram)
     made: dict[tuple, int] = {}
-    for config, x in configuration_lp(left, capacity):
+    for config, x in configuration_lp(left, capacity, worth_of=worth_of):
         times = min([int(x + 1e-9), *(left.get(n, 0) // k for n, k in config.items())])
         if times > 0:
             key = tuple(sorted(config.items(), reverse=True))
@@ -151,7 +175,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 left[n] -= k * times
     for key, times in best_fit({n: c for n, c in left.items() if c > 0}, capacity).items():
         made[key] = made.get(key, 0) + times
-    return sorted(made.items())
+    return made
 
 
 def slots(made: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
@@ -212,7 +236,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str = BYTE_B
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     pieces = pieces.withColumn("bucket", bucket)
-    counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
+    counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths", few=True)
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     where = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
