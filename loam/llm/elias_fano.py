@@ -2,23 +2,25 @@
 
 A sequence of n values below u keeps the low l = floor(log2(u / n)) bits of each value packed, and the high parts in
 unary: value i sets bit (value >> l) + i. That takes n * (2 + l) bits and a few. A count of the ones before every
-512-bit block lets select and the successor search find their block; no table of 64-bit offsets is kept.
+256-bit block lets select and the successor search find their block; no table of 64-bit offsets is kept.
 Layout: header of 5 little-endian uint64 (n, l, words of low bits, words of high bits, blocks), low words, high words,
 block counts (uint32 each, padded to 8 bytes).
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
-BLOCK = 8  # words
+BLOCK = 4  # words
 
 
 def encode(values, universe: int | None = None) -> bytes:
     """values: non-decreasing, non-negative integers."""
     v = np.asarray(values, np.uint64)
     n = len(v)
-    u = max(int(universe or 0), int(v[-1]) + 1 if n else 1)
+    u = max(int(universe or 0), int(v[-1]) + 1) if n else 1
     l = max(0, (u // n).bit_length() - 1) if n else 0  # noqa: E741
     low = _pack(v & np.uint64((1 << l) - 1), l) if l else np.zeros(0, np.uint64)
     ones = (v >> np.uint64(l)).astype(np.int64) + np.arange(n, dtype=np.int64)
@@ -103,47 +105,75 @@ class EliasFano:
         ones = self._select(i, self.before[:-1], False)
         return ((ones - i).astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
 
+    def get_two(self, i):
+        """Values at the positions i and i + 1: the second is the next one bit."""
+        i = np.asarray(i, np.int64)
+        one = self._select(i, self.before[:-1], False)
+        two = self._next_bit(one + 1, False)
+        value = lambda at, k: ((at - k).astype(np.uint64) << np.uint64(self.l)) | self.lows(k)
+        return value(one, i), value(two, i + 1)
+
     def all(self):
         """The whole sequence."""
         ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
         i = np.arange(self.n, dtype=np.int64)
         return ((ones - i).astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
 
+    @cached_property
+    def zeros(self):
+        """Zeros before each block."""
+        return np.arange(len(self.before) - 1, dtype=np.int64) * (BLOCK * 64) - self.before[:-1].astype(np.int64)
+
+    def bucket(self, h):
+        """For each high part the positions [i, j) of the values that have it."""
+        h = np.minimum(h, len(self.high) * 64 - self.n - 1)  # the last zeros stand behind all values
+        start = np.zeros(len(h), np.int64)
+        some = h > 0
+        # Values of high part h lie between the zeros before and after it.
+        start[some] = self._select(h[some] - 1, self.zeros, True) + 1
+        return start - h, self._next_bit(start, True) - h
+
     def successor(self, x):
-        """(position, value) of the first value that is at least x; position n if there is none (value then 0)."""
+        """The position of the first value that is at least x; n if there is none."""
         x = np.asarray(x, np.uint64)
-        h = (x >> np.uint64(self.l)).astype(np.int64)
-        zeros = np.arange(len(self.before) - 1, dtype=np.int64) * (BLOCK * 64) - self.before[:-1].astype(np.int64)
-        total = len(self.high) * 64 - self.n
-        far = h >= total
-        # Values whose high part is h start after the h-th zero.
-        start = np.zeros(len(x), np.int64)
-        some = ~far & (h > 0)
-        start[some] = self._select(h[some] - 1, zeros, True) + 1
-        i = np.where(far, self.n, start - h)
-        value = np.zeros(len(x), np.uint64)
-        live = np.flatnonzero(i < self.n)
-        pos = start[live]
-        # From there on: the next one bit is the next value; values before x are passed.
+        lo, hi = self.bucket((x >> np.uint64(self.l)).astype(np.int64))
+        low = x & np.uint64((1 << self.l) - 1)
+        live = np.flatnonzero(lo < hi)
         while len(live):
-            one = self._next_one(pos)
-            v = ((one - i[live]).astype(np.uint64) << np.uint64(self.l)) | self.lows(i[live])
-            done = v >= x[live]
-            value[live[done]] = v[done]
-            live, pos = live[~done], one[~done] + 1
-            i[live] += 1
-            inside = i[live] < self.n
-            live, pos = live[inside], pos[inside]
-        return i, value
-
-    def _next_one(self, pos):
+            mid = (lo[live] + hi[live]) >> 1
+            less = self.lows(mid) < low[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        return lo
+
+    def find(self, x):
+        """The position of a value equal to x, -1 if there is none."""
+        x = np.asarray(x, np.uint64)
+        lo, hi = self.bucket((x >> np.uint64(self.l)).astype(np.int64))
+        low, end = x & np.uint64((1 << self.l) - 1), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            less = self.lows(mid) < low[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        hit = np.flatnonzero(lo < end)
+        out = np.full(len(x), -1, np.int64)
+        hit = hit[self.lows(lo[hit]) == low[hit]]
+        out[hit] = lo[hit]
+        return out
+
+    def _next_bit(self, pos, zero: bool):
+        """The first zero, or one, at or after each position."""
         word = pos >> 6
-        w = self.high[word] & ~((np.uint64(1) << (pos & 63).astype(np.uint64)) - np.uint64(1))
-        word = word.copy()
+        bits = (lambda k: ~self.high[k]) if zero else (lambda k: self.high[k])
+        w = bits(word) & ~((np.uint64(1) << (pos & 63).astype(np.uint64)) - np.uint64(1))
         empty = np.flatnonzero(w == 0)
         while len(empty):
             word[empty] += 1
-            w[empty] = self.high[word[empty]]
+            w[empty] = bits(word[empty])
             empty = empty[w[empty] == 0]
         low = w & (~w + np.uint64(1))
         return word * 64 + np.bitwise_count(low - np.uint64(1)).astype(np.int64)

@@ -177,16 +177,17 @@ class Level:
         self.back = np.frombuffer(raw, np.uint16, self.parents, at + 2 * self.n)
 
     def find(self, parent, number):
-        """Positions of the nodes in the shard, -1 where there are none."""
-        base = self.bases.get(parent)
-        x = base + number.astype(np.uint64)
-        i, value = self.nodes.successor(x)
-        hit = (i < self.n) & (value == x)
+        """(positions of the nodes in the shard or -1, log backoffs of the parents, first positions of the parents'
+        nodes), for parents in ascending order: each parent is looked up once."""
+        new = np.concatenate([[True], parent[1:] != parent[:-1]])
+        own, back_to = parent[new], np.cumsum(new) - 1
+        first, end = self.bases.get_two(own)
+        x = first[back_to] + number.astype(np.uint64)
         # A number beyond the parent's last would be found under the next parent.
-        ok = np.flatnonzero(hit)
-        over = x[ok] >= self.bases.get(parent[ok] + 1)
-        hit[ok[over]] = False
-        return np.where(hit, i, -1)
+        inside = np.flatnonzero(x < end[back_to])
+        i = np.full(len(x), -1, np.int64)
+        i[inside] = self.nodes.find(x[inside])
+        return i, (self.back[own] / -UNIT)[back_to], self.pointers.get(own).astype(np.int64)[back_to]
 
 
 class Trie:
@@ -203,37 +204,41 @@ class Trie:
     def unigram(self, counts):
         return np.log10((counts + 1) / (self.n + self.v + 1))
 
+    def _nodes(self, parent, number, levels, edges):
+        """(shard's first node + position or -1, position among the parent's nodes, log p, log backoff of the parent) of
+        each parent and number, 0 and -1 for parents below 0. edges: the first parent of each shard and the end. Equal
+        queries are answered once, in ascending order, so that neighbours share what they read."""
+        node, rel = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
+        log_p, back = np.zeros(len(parent)), np.zeros(len(parent))
+        rows = np.flatnonzero(parent >= 0)
+        wide = np.int64(self.v + 1)
+        # The start's id is never predicted: it stands for numbers that are unknown.
+        keys, back_to = np.unique(parent[rows] * wide + np.where(number[rows] < 0, self.v, number[rows]), return_inverse=True)
+        p = keys // wide
+        x = keys - p * wide
+        at, r = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
+        lp, bo = np.zeros(len(keys)), np.zeros(len(keys))
+        cuts = np.searchsorted(p, edges)
+        for s, level in enumerate(levels):
+            i, j = cuts[s], cuts[s + 1]
+            if i == j:
+                continue
+            found, bo[i:j], first = level.find(p[i:j] - edges[s], x[i:j])
+            hit = np.flatnonzero(found >= 0)
+            at[i + hit] = found[hit] + (self.first2[s] if levels is self.level2 else 0)
+            r[i + hit] = found[hit] - first[hit]
+            lp[i + hit] = level.q[found[hit]] / -UNIT
+        node[rows], rel[rows], log_p[rows], back[rows] = at[back_to], r[back_to], lp[back_to], bo[back_to]
+        return node, rel, log_p, back
+
     def bigrams(self, u, w):
         """(node, position among u's successors, log p, log backoff of u). u or w below 0 is unknown."""
-        node, rel = np.full(len(u), -1, np.int64), np.full(len(u), -1, np.int64)
-        log_p, back = np.zeros(len(u)), np.zeros(len(u))
-        for s, level, rows in self._by_shard(np.where(u < 0, -1, u // self.width), self.level2):
-            parent = u[rows] - s * self.width
-            back[rows] = level.back[parent] / -UNIT
-            known = w[rows] >= 0
-            rows, parent = rows[known], parent[known]
-            i = level.find(parent, w[rows])
-            hit = i >= 0
-            rows, i = rows[hit], i[hit]
-            node[rows] = self.first2[s] + i
-            rel[rows] = i - level.pointers.get(parent[hit]).astype(np.int64)
-            log_p[rows] = level.q[i] / -UNIT
-        return node, rel, log_p, back
+        return self._nodes(u, w, self.level2, np.minimum(np.arange(len(self.level2) + 1) * self.width, self.v + 1))
 
     def trigrams(self, node, rel):
         """(whether found, log p, log backoff of the pair). node: of the first two words; rel: of the third after the second."""
-        found, log_p, back = np.zeros(len(node), bool), np.zeros(len(node)), np.zeros(len(node))
-        shard = np.where(node < 0, -1, np.searchsorted(self.first2, node, side="right") - 1)
-        for s, level, rows in self._by_shard(shard, self.level3):
-            parent = node[rows] - self.first2[s]
-            back[rows] = level.back[parent] / -UNIT
-            known = rel[rows] >= 0
-            rows, parent = rows[known], parent[known]
-            i = level.find(parent, rel[rows])
-            hit = i >= 0
-            found[rows[hit]] = True
-            log_p[rows[hit]] = level.q[i[hit]] / -UNIT
-        return found, log_p, back
+        found, _, log_p, back = self._nodes(node, rel, self.level3, self.first2)
+        return found >= 0, log_p, back
 
     @staticmethod
     def _by_shard(shard, levels):
@@ -334,7 +339,7 @@ def build(train: DataFrame, path: str | None = None, order: int = ORDER, discoun
     """Counts all n-grams of train (text; null: empty) up to the order (1 to 3) and writes the trie below path."""
     spark = train.sparkSession
     path = path or scratch(spark, "lm")
-    counts = written(count_words(train), "word-counts")
+    counts = written(count_words(train), "word-counts", few=True)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = max(4, int(v >> 20).bit_length())
     shards = max(SHARDS, -(-n // SHARD_TOKENS))
