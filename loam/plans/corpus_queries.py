@@ -97,6 +97,8 @@ def _with_checkpoint(spark):
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             root = tempfile.mkdtemp(prefix="loam-")

@@ -128,3 +128,24 @@ def test_reindex_and_diff(spark):
     out = O.reindex(d, lambda t: F.array(F.char_length(t).cast("double")))
     assert sorted((r.chunk_ord, list(r.embedding)) for r in out.collect()) == [(0, [1.0]), (1, [1.0])]
     assert 0 < O.diff("a\nb", "a\nc")["ratio"] < 1
+
+
+def test_office_round_trips():
+    from loam.sources import office
+
+    assert S.docx(office.write_docx([("h1", "标题 & <x>"), ("p", "一 **粗** 二")])) == "标题 & <x>\n一 粗 二"
+    out = S.pptx(office.write_pptx([{"title": "甲", "bullets": ["一", "二"]}, {"title": "乙", "bullets": []}]))
+    assert [(s["idx"], s["title"], s["text"]) for s in out] == [(1, "甲", "一\n二"), (2, "乙", "")]
+
+
+def test_settings_and_routes():
+    import pytest
+
+    from loam.operators.match import Routes, deep_merge
+
+    base = {"a": {"b": 1, "c": [1]}, "d": 2}
+    assert deep_merge(base, {"a": {"c": [2], "e": 3}}) == {"a": {"b": 1, "c": [2], "e": 3}, "d": 2} and base["a"]["c"] == [1]
+    r = Routes(chat=[lambda x: 1 / 0, lambda x: x + 1])
+    assert r.call("chat", 1) == 2
+    with pytest.raises(RuntimeError):
+        r.call("embed", 1)
