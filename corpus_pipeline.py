@@ -21,9 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least 10 documents go; documents that lose all they had go too."""
+    """Lines of at least 10 documents go; a document that loses all its lines stays, with an empty text."""
     out = line_dedup.dedup_lines(docs)
-    out = out.filter((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(line_dedup.WHITE)) != ""))
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(*docs.columns)
 
 

@@ -41,11 +41,15 @@ def line_hashes(lines: DataFrame, *cols: str) -> DataFrame:
 class LineRuns:
     """Incremental document counts of lines."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4, state: dict | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.root = scratch(spark, "line-runs")
-        self.levels: dict[int, list[str]] = {}
-        self.made = 0
+        state = state or {"root": scratch(spark, "line-runs"), "levels": {}, "made": 0}
+        self.root, self.made = state["root"], state["made"]
+        self.levels: dict[int, list[str]] = {int(k): list(v) for k, v in state["levels"].items()}
+
+    def state(self) -> dict:
+        """What another session needs to go on: LineRuns(spark, state=...)."""
+        return {"root": self.root, "levels": self.levels, "made": self.made}
 
     def _write(self, runs: DataFrame, kind: str) -> str:
         self.made += 1
@@ -73,6 +77,13 @@ class LineRuns:
             self.compact(level)
             level += 1
 
+    def unseen(self, docs: DataFrame) -> DataFrame:
+        """(h1, h2) of the lines of docs that no run holds yet: a merge-anti-join against all runs."""
+        fresh = line_hashes(doc_lines(texts(docs))).select("h1", "h2").distinct()
+        for path in (p for paths in self.levels.values() for p in paths):
+            fresh = fresh.join(self._read([path]), ["h1", "h2"], "left_anti")
+        return fresh
+
     def compact(self, level: int) -> None:
         paths = self.levels.pop(level)
         merged = self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
