@@ -1,13 +1,14 @@
 """MinHash near-dedup with odd sketches.
 
-1. Every text becomes a sketch: the size and hash of its set of shingles, MinHash bands, and an odd sketch, the MinHash
-   samples folded into a bitmap by parity. Equal sets are one class from here on.
+1. Every text becomes a sketch: the size and hash of its set of shingles, MinHash bands, and an odd sketch: the least hash
+   in each of BINS bins, folded into a bitmap by parity, so that the ones in the exclusive or of two bitmaps tell how many
+   samples differ. Equal sets are one class from here on.
 2. Classes that share a band are candidates. A bucket may hold any number of them, so its members are first compared
-   with one hub; what that links forms components. Then the members outside a bucket's largest component are compared
-   with all others that are still apart from them, so no candidate link between components is lost, and no pair within
-   one is made. Where that would be many pairs, further hubs come first.
-3. A candidate goes on only if the sizes allow the similarity and the odd sketches' exclusive or has few enough ones;
-   it is then confirmed on the full sets.
+   with one member, the bucket's hub; each class goes on with the hub that its odd sketch says is nearest. What is linked
+   so forms components. Then the members outside a bucket's largest component are compared with all others that are
+   still apart from them, so no candidate link between components is lost, and no pair within one is made.
+3. A candidate goes on only if the sizes allow the similarity and the odd sketches are within FAR standard deviations of
+   it; it is then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,35 +27,44 @@ WORDS = 5
 PERCENT = 75
 #: A pair of similarity 0.75 shares none of the bands with probability (1 - 0.75 ** ROWS) ** BANDS, 3e-7.
 BANDS, ROWS = 40, 4
-BITS = 512
-#: Estimated similarity from which candidates are confirmed; five standard deviations below the threshold.
-DOUBT = 0.55
-#: Pairs a member that the last comparison may come to before further hubs are tried, and hub rounds at most.
-PAIRS, HUBS = 8, 4
+#: Samples and bits of the odd sketch; and how far under the threshold, in standard deviations, an estimate may be.
+BINS, BITS, FAR = 1 << 10, 1 << 11, 5
+#: Rounds of comparisons with hubs.
+HUBS = 2
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
-SKETCH = ["s" + str(i) for i in range(BITS // 64)]
+#: What is known of a class without its text.
+SKETCH = ["n", "filled", "odd"]
 
 
-def most_ones(similarity: float) -> int:
-    """Ones in the exclusive or of two odd sketches that texts of this similarity are expected to show."""
-    apart = 2 * BANDS * ROWS * (1 - similarity)
-    return int(BITS * (1 - math.exp(-2 * apart / BITS)) / 2)
+def differing(ones: int) -> float:
+    """How many samples of two odd sketches differ, estimated from the ones in their exclusive or."""
+    return -BITS / 2 * math.log(max(1 - 2 * ones / BITS, 1e-9))
 
 
-def estimate(ones: int) -> float:
-    """Similarity estimated from the ones in the exclusive or of two odd sketches."""
-    return 1 + BITS / (4 * BANDS * ROWS) * math.log(max(1e-9, 1 - 2 * ones / BITS))
+def odd_sketch(s, n):
+    """(samples, bitmaps) of texts whose shingle hashes s lie one after the other, n a text."""
+    docs = len(n)
+    owner = np.repeat(np.arange(docs, dtype=np.uint64), n)
+    # Text, bin and hash in one number: the least of each text and bin comes first in order.
+    low = np.uint64((1 << 34) - 1)
+    key = np.sort((owner << np.uint64(44)) | ((s >> np.uint64(54)) << np.uint64(34)) | (mix(s) & low))
+    slot = key >> np.uint64(34)
+    least = key[np.concatenate([[True], slot[1:] != slot[:-1]])] if len(key) else key
+    doc = (least >> np.uint64(44)).astype(np.int64)
+    bit = mix(least & np.uint64((1 << 44) - 1)) & np.uint64(BITS - 1)
+    parity = np.bincount(doc * BITS + bit.astype(np.int64), minlength=docs * BITS) & 1
+    return np.bincount(doc, minlength=docs), np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(np.int64)
 
 
 def sketch(texts: list[bytes]):
-    """For each text: set size, two set hashes, bands and odd sketch."""
+    """For each text: set size, two set hashes, bands, samples of the odd sketch and its bitmap."""
     s, n = shingles(texts, WORDS)
     docs = len(texts)
     size, k1, k2 = np.zeros(docs, np.int64), np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
-    bands, odd = np.zeros((docs, BANDS), np.uint64), np.zeros((docs, BITS // 64), np.uint64)
+    bands = np.zeros((docs, BANDS), np.uint64)
     at = np.concatenate([[0], np.cumsum(n)])
     for i in np.flatnonzero(n):
         u = np.unique(s[at[i] : at[i + 1]])
@@ -70,36 +80,52 @@ def sketch(texts: list[bytes]):
         for r in range(ROWS):
             b = mix(b * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, r])
         bands[some] = b
-        bit = mix(mins.astype(np.uint64) | (np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(32))) & np.uint64(BITS - 1)
-        flat = np.bincount((np.arange(len(some))[:, None] * BITS + bit.astype(np.int64)).ravel(), minlength=len(some) * BITS) & 1
-        odd[some] = np.packbits(flat.astype(np.uint8).reshape(len(some), BITS), axis=1, bitorder="little").view(np.uint64)
-    return size, k1.view(np.int64), k2.view(np.int64), bands.view(np.int64), odd.view(np.int64)
+    filled, odd = odd_sketch(s, n)
+    return size, k1.view(np.int64), k2.view(np.int64), bands.view(np.int64), filled, odd
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n (size of the set), k1, k2, bands, s0 to s7."""
+    """doc_id, th (hash of the text), n (size of the set), k1, k2, bands, filled, odd."""
 
     def run(batches):
         import pyarrow as pa
 
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
         for batch in batches:
             for first, raw in steps(batch.column(2)):
-                n, k1, k2, bands, odd = sketch(raw)
+                n, k1, k2, bands, filled, odd = sketch(raw)
                 held = batch.slice(first, len(raw))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(n), pa.array(k1), pa.array(k2), lists, *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(odd.shape[1]))], ["doc_id", "th", "n", "k1", "k2", "bands", *SKETCH])
+                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(n), pa.array(k1), pa.array(k2), lists(bands), pa.array(filled, pa.int32()), lists(odd)], ["doc_id", "th", "n", "k1", "k2", "bands", "filled", "odd"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return base.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
+    return base.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, filled int, odd array<long>")
 
 
-def confirm(pairs: DataFrame, held: DataFrame, sketched: DataFrame) -> DataFrame:
-    """a, b: the pairs of nodes that are similar. held: node and text; sketched: node, n and odd sketch."""
-    one = sketched.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in SKETCH])
-    two = sketched.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in SKETCH])
-    ones = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"a{SKETCH[0]}").bitwiseXOR(F.col(f"b{SKETCH[0]}"))))
-    fit = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (ones <= most_ones(DOUBT))
-    pairs = pairs.join(one, "a").join(two, "b").filter(fit).select("a", "b")
+def of(side: str) -> list:
+    """A class's sketch, named for a side of a pair."""
+    return [F.col(c).alias(c + side) for c in SKETCH]
+
+
+def ones():
+    return F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def likely():
+    """Whether sizes and odd sketches leave it possible that sides a and b are similar enough.
+
+    Of u filled bins, the share with equal samples estimates the similarity; the variance is that of sampling (none where
+    all shingles are sampled) and of the parity bitmap."""
+    t = PERCENT / 100
+    u = F.greatest("filleda", "filledb")
+    z = F.least(F.lit(BITS / 2 - 1), ones()).cast("double")
+    d = -BITS / 2 * F.log(1 - 2 * z / BITS)
+    e = F.exp(-4 * d / BITS)
+    spread = t * (1 - t) * u * (1 - F.least(F.lit(1.0), u / F.greatest("na", "nb"))) + (BITS / 4 * (1 - e) - d * e) / e / 4 + 1
+    return (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & ((F.col("filleda") + F.col("filledb") - d) / 2 >= t * u - FAR * F.sqrt(spread))
+
+
+def confirm(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """a, b: the pairs of nodes that are similar, on their full sets. held: node and text."""
 
     def run(batches):
         import pyarrow as pa
@@ -134,14 +160,14 @@ def confirm(pairs: DataFrame, held: DataFrame, sketched: DataFrame) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) of all nodes that have an edge. Alternates large-star and small-star steps;
     a step sends each node's neighbours to the least of them, so stars stay stars and chains halve."""
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", few=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        after = written(small, "edges")
+        after = written(small, "edges", few=True)
         same = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = after
         if same:
@@ -160,58 +186,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sk = written(sketches(base), "sketches")
     live = sk.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # Classes of equal sets; k1 names the class.
-    classes = written(live.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select(F.xxhash64("k1", "k2", "n").alias("node"), "k1", "k2", "n", "rep.doc_id", "rep.th"), "classes")
+    # Classes of equal sets, each with one document that stands for it.
+    classes = written(live.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select(F.xxhash64("k1", "k2", "n").alias("node"), "k1", "k2", "n", "rep.doc_id", "rep.th"), "classes", few=True)
     reps = live.join(classes.select("node", "doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["node"])
-    buckets = written(reps.select("node", F.explode("bands").alias("bucket")), "buckets")
+    buckets = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    multi = written(buckets.join(shared, "bucket"), "shared-buckets")
-    sketched = written(reps.select("node", "n", *SKETCH).join(multi.select("node").distinct(), "node", "left_semi"), "candidates")
-    wanted = classes.join(sketched.select("node"), "node", "left_semi").select("node", "doc_id", "th")
-    held = written(base.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    links, labels = None, None
+    multi = written(buckets.join(shared, "bucket"), "shared-buckets", few=True)
+    nodes = multi.select("node").distinct()
+    known = written(reps.select("node", *SKETCH, F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")).join(nodes, "node", "left_semi"), "candidates", few=True)
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "doc_id", "th")
+    held = written(base.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "texts", few=True)
+    labels = nodes.select("node", F.col("node").alias("comp"))
     for seed in range(HUBS):
-        # Members of each bucket against one of them, chosen by hash; from the second time on only where components differ.
-        open_ = multi if labels is None else apart(multi, labels)[0]
-        hub = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(seed), "node")).alias("hub"))
-        star = open_.join(hub, "bucket")
-        if labels is not None:
-            star = star.join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").filter("comp <> hub_comp")
-        pairs = star.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = written(confirm(pairs, held, sketched), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = labelled(multi, links)
-        open_, minor = apart(multi, labels)
-        size = open_.groupBy("bucket").agg(F.count("*").alias("c")).join(minor.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").agg(F.sum(F.col("c") * F.col("m"))).first()[0] or 0
-        if size <= PAIRS * max(1, multi.count()):
-            break
-    if size:
-        mine = minor.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-        rest = open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        pairs = mine.join(rest, "bucket").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(written(confirm(pairs, held, sketched), "links"))
-        labels = labelled(multi, links)
+        labels = merged(labels, written(confirm(nearest_hubs(multi, labels, known, seed), held), "links", few=True))
+    labels = merged(labels, written(confirm(still_apart(multi, labels, known), held), "links", few=True))
     named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = written(classes.select("node", "k1", "k2", "n").join(named.select("node", "comp"), "node").join(least, "comp").select("k1", "k2", "n", "component_id"), "class-components")
+    of_class = written(classes.select("node", "k1", "k2", "n").join(named.select("node", "comp"), "node").join(least, "comp").select("k1", "k2", "n", "component_id"), "class-components", few=True)
     out = sk.select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def labelled(multi: DataFrame, links: DataFrame) -> DataFrame:
-    """node, comp of every candidate; a node without links is its own component."""
-    nodes = multi.select("node").distinct()
-    return written(nodes.join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
+def nearest_hubs(multi: DataFrame, labels: DataFrame, known: DataFrame, seed: int) -> DataFrame:
+    """a, b: each node with the nearest, by odd sketch, of the hubs of its buckets that are still apart from it."""
+    hub = multi.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(seed), "bucket", "node")).alias("hub"))
+    pairs = multi.select("bucket", "node").join(hub, "bucket").filter("node <> hub").select("node", "hub").distinct()
+    pairs = pairs.join(labels, "node").join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").filter("comp <> hub_comp").select("node", "hub")
+    both = pairs.join(known.select("node", *of("a")), "node").join(known.select(F.col("node").alias("hub"), *of("b")), "hub").filter(likely())
+    best = both.groupBy("node").agg(F.min_by("hub", F.struct(ones(), "hub")).alias("hub"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def apart(multi: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of the buckets that hold more than one component, those of them outside their bucket's largest one)."""
+def still_apart(multi: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: all likely pairs of nodes that share a bucket and not a component. Of two nodes of a bucket at least one is
+    outside its largest component; sizes and sketches are compared within the join, and a pair leaves it in the first
+    band that it shares."""
     tagged = multi.join(labels, "node")
     sizes = tagged.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("top.comp").alias("top"))
-    open_ = written(tagged.join(most, "bucket"), "open-buckets")
-    return open_, open_.filter("comp <> top")
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("top.comp").alias("top"))
+    open_ = tagged.join(largest, "bucket").join(known, "node").withColumn("minor", F.col("comp") != F.col("top"))
+    mine = open_.filter("minor").select("bucket", "band", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("bands").alias("ba"), *of("a"))
+    rest = open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("bands").alias("bb"), "minor", *of("b"))
+    once = ~F.col("minor") | (F.col("a") < F.col("b"))
+    first = ~F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
+    found = mine.join(rest, (mine.bucket == rest.bucket) & (F.col("ca") != F.col("cb")) & once & likely() & first)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with the components that links join made one: the links are reduced to pairs of components first."""
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias("c" + x))
+    edges = links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    new = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return written(labels.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels", few=True)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
