@@ -19,7 +19,23 @@ HTML_TAG = (
 )
 NOISE_LINE = r"(?iU)^\s*(页眉|页脚|水印|保密|机密|confidential|draft|第\s*\d+\s*页|copyright).*$"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
-EXTENSIONS = [".md", ".txt", ".markdown", ".docx", ".pptx", ".pdf", ".xlsx", ".csv", ".html", ".htm", ".json", ".epub", ".png", ".jpg", ".jpeg", ".doc", ".ppt", ".xls"]
+#: What a spoken text loses or changes, in order; $1 is what the first group held.
+SPEECH = [
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?m)^\s{0,3}#{1,6}\s*", ""),
+    (r"(?m)^\s*>\s*", ""),
+    (r"(?m)^\s*[-*+]\s+", ""),
+    (r"\*\*(.+?)\*\*", "$1"),
+    (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"),
+    ("`", ""),
+    (r"\|", "，"),
+    ("[ \t]+", " "),
+    ("\n{2,}", "\n"),
+]
+NARRATION_HEADING = r"(?m)^\s{0,3}#{1,6}\s*(?:第\s*|Page\s*|PAGE\s*|Slide\s*|SLIDE\s*)?(\d{1,4})\s*(?:页|张)?\b[^\n]*$"
+NARRATION_PAGE = r"第\s*(\d{1,4})\s*页"
+EXTENSIONS = [".txt", ".md", ".docx", ".pptx", ".pdf", ".xlsx", ".xlsm", ".csv", ".html", ".htm", ".json", ".epub", ".jpg", ".jpeg", ".png", ".bmp", ".webp", ".gif"]
 ENTITY_CN = (
     "[一-龥]{2,8}(?:平台|系统|一张图|数字孪生|孪生|感知|网关|边缘|算法|模型|库|闸|坝|渠|泵站|涵洞|堤防|水库|清淤|疏浚|灌区|水文|水质|水量|调度|预警|"
     "稽核|监管|台账|档案|规范|标准|条例|办法|方案|工程|项目|设备|终端|传感|采集|传输|中枢|底座|中台)"
@@ -161,19 +177,7 @@ def html_to_markdown(col) -> Column:
 def clean_speech(col) -> Column:
     """Markdown marks out of a text that is to be spoken."""
     t = _c(col)
-    for pattern, put in (
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s*", ""),
-        (r"(?m)^\s*>\s*", ""),
-        (r"(?m)^\s*[-*+]\s+", ""),
-        (r"\*\*(.+?)\*\*", "$1"),
-        (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"),
-        ("`", ""),
-        (r"\|", "，"),
-        ("[ \t]+", " "),
-        ("\n{2,}", "\n"),
-    ):
+    for pattern, put in SPEECH:
         t = F.regexp_replace(t, pattern, put)
     return strip(t)
 

@@ -40,9 +40,10 @@ def history_last(turns: DataFrame, n: int = 3) -> DataFrame:
 
 
 def history_parse(col):
-    """`q|a && q|a` as an array of (q, a); the full-width bar counts too."""
-    parts = F.filter(F.split(F.translate(col, "｜", "|"), r"\s*&&\s*"), lambda x: F.trim(x) != "")
-    return F.transform(parts, lambda x: F.struct(F.trim(F.split(x, r"\|")[0]).alias("q"), F.trim(F.coalesce(F.get(F.split(x, r"\|", 2), F.lit(1)), F.lit(""))).alias("a")))
+    """`q|a && q|a` (or a line each) as an array of the last three (q, a); the full-width bar counts too."""
+    parts = F.filter(F.split(F.translate(col, "｜", "|"), r"&&|\n"), lambda x: F.trim(F.split(x, r"\|")[0]) != "")
+    last = F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), 3)
+    return F.transform(last, lambda x: F.struct(F.trim(F.split(x, r"\|")[0]).alias("q"), F.trim(F.coalesce(F.get(F.split(x, r"\|", 2), F.lit(1)), F.lit(""))).alias("a")))
 
 
 def qa_digest(turns: DataFrame) -> DataFrame:
