@@ -47,9 +47,16 @@ def _pack(v, l: int):  # noqa: E741
     return out
 
 
-_SELECT = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    _SELECT[_b, : bin(_b).count("1")] = [k for k in range(8) if _b >> k & 1]
+def _select_table():
+    """For each 16-bit value the positions of its bits, in order."""
+    bits = (np.arange(1 << 16)[:, None] >> np.arange(16)) & 1
+    value, place = np.nonzero(bits)
+    out = np.zeros((1 << 16, 16), np.uint8)
+    out[value, (np.cumsum(bits, axis=1) - 1)[value, place]] = place
+    return out
+
+
+_SELECT = _select_table()
 
 
 class EliasFano:
@@ -83,21 +90,14 @@ class EliasFano:
         """Positions of the bits of this rank; before: ones or zeros before each block."""
         block = np.searchsorted(before, rank, side="right") - 1
         left = rank - before[block].astype(np.int64)
-        word = block.astype(np.int64) * BLOCK
-        out = np.full(len(rank), -1, np.int64)
-        live = np.arange(len(rank))
-        for _ in range(BLOCK):
-            w = self.high[word[live]]
-            c = np.bitwise_count(~w if zeros else w).astype(np.int64)
-            here = left[live] < c
-            hit = live[here]
-            out[hit] = word[hit] * 64 + _in_word(~w[here] if zeros else w[here], left[hit])
-            live = live[~here]
-            if not len(live):
-                break
-            left[live] -= c[~here]
-            word[live] += 1
-        return out
+        w = self.high.reshape(-1, BLOCK)[block]
+        if zeros:
+            w = ~w
+        upto = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int16)
+        k = (left[:, None] >= upto[:, :-1]).sum(axis=1)
+        rows = np.arange(len(k))
+        left -= np.where(k > 0, upto[rows, k - 1], 0)
+        return (block.astype(np.int64) * BLOCK + k) * 64 + _in_word(w[rows, k], left)
 
     def get(self, i):
         """Values at the positions i."""
@@ -183,10 +183,10 @@ def _in_word(w, rank):
     """Position in the word of its bit of this rank."""
     out = np.zeros(len(w), np.int64)
     left = rank.astype(np.int64)
-    for shift, mask in ((32, 0xFFFFFFFF), (16, 0xFFFF), (8, 0xFF)):
+    for shift, mask in ((32, 0xFFFFFFFF), (16, 0xFFFF)):
         c = np.bitwise_count(w & np.uint64(mask)).astype(np.int64)
         up = left >= c
         left = np.where(up, left - c, left)
         w = np.where(up, w >> np.uint64(shift), w)
         out += up * shift
-    return out + _SELECT[(w & np.uint64(0xFF)).astype(np.int64), left]
+    return out + _SELECT[(w & np.uint64(0xFFFF)).astype(np.int64), left]

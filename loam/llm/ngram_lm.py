@@ -34,7 +34,7 @@ ORDER = 3
 #: 16-bit quantisation: units of 1/4096 of a decimal digit, always rounded down to the less probable.
 UNIT = 4096
 #: Tokens whose n-grams a shard holds, shards at least, and n-grams that a task holds before it sends them off.
-SHARD_TOKENS, SHARDS, HELD = 1 << 21, 24, 1 << 21
+SHARD_TOKENS, SHARDS, HELD = 1 << 22, 24, 1 << 21
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 
 
@@ -176,9 +176,9 @@ class Level:
         self.q = np.frombuffer(raw, np.uint16, self.n, at)
         self.back = np.frombuffer(raw, np.uint16, self.parents, at + 2 * self.n)
 
-    def find(self, parent, number):
+    def find(self, parent, number, relative: bool):
         """(positions of the nodes in the shard or -1, log backoffs of the parents, first positions of the parents'
-        nodes), for parents in ascending order: each parent is looked up once."""
+        nodes if they are wanted), for parents in ascending order: each parent is looked up once."""
         new = np.concatenate([[True], parent[1:] != parent[:-1]])
         own, back_to = parent[new], np.cumsum(new) - 1
         first, end = self.bases.get_two(own)
@@ -187,7 +187,7 @@ class Level:
         inside = np.flatnonzero(x < end[back_to])
         i = np.full(len(x), -1, np.int64)
         i[inside] = self.nodes.find(x[inside])
-        return i, (self.back[own] / -UNIT)[back_to], self.pointers.get(own).astype(np.int64)[back_to]
+        return i, (self.back[own] / -UNIT)[back_to], self.pointers.get(own).astype(np.int64)[back_to] if relative else None
 
 
 class Trie:
@@ -223,10 +223,11 @@ class Trie:
             i, j = cuts[s], cuts[s + 1]
             if i == j:
                 continue
-            found, bo[i:j], first = level.find(p[i:j] - edges[s], x[i:j])
+            found, bo[i:j], first = level.find(p[i:j] - edges[s], x[i:j], levels is self.level2)
             hit = np.flatnonzero(found >= 0)
             at[i + hit] = found[hit] + (self.first2[s] if levels is self.level2 else 0)
-            r[i + hit] = found[hit] - first[hit]
+            if first is not None:
+                r[i + hit] = found[hit] - first[hit]
             lp[i + hit] = level.q[found[hit]] / -UNIT
         node[rows], rel[rows], log_p[rows], back[rows] = at[back_to], r[back_to], lp[back_to], bo[back_to]
         return node, rel, log_p, back
