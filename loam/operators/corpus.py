@@ -13,7 +13,8 @@ NEAR = 0.97
 
 def kb_stats(chunks: DataFrame) -> DataFrame:
     """One row: chunks, sources, chars, tokens, with_vec, exact_dup."""
-    trimmed = T.strip("text")
+    # Distinct texts are counted by hash: texts themselves stay where they are.
+    trimmed = F.md5(T.strip("text").cast("binary"))
     return chunks.agg(
         F.count("*").alias("chunks"),
         F.countDistinct("source").alias("sources"),
