@@ -119,26 +119,26 @@ def _(spark, sf):
     return all_.agg(F.count("*").alias("before")).crossJoin(C.rebuild(all_).agg(F.count("*").alias("after")))
 
 
-@query("incremental_skip", """WITH i AS (SELECT source AS src, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 OR source < 'src2' GROUP BY 1), h AS (SELECT source AS src, count(*) AS n FROM documents WHERE source < 'src5' GROUP BY 1)
+@query("incremental_skip", """WITH i AS (SELECT source AS src, count(*) AS n FROM documents WHERE lang <> 'de' OR source < 'src2' GROUP BY 1), h AS (SELECT source AS src, count(*) AS n FROM documents WHERE source < 'src5' GROUP BY 1)
 SELECT i.src, i.n FROM i LEFT JOIN h ON h.src = i.src AND h.n = i.n WHERE h.src IS NULL""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("src"), "doc_id")
+    d = table(spark, sf, "documents").select(F.col("source").alias("src"), "doc_id", "lang")
     held = d.filter("src < 'src5'").groupBy("src").agg(F.count("*").alias("n"))
-    return C.incremental_skip(held, d.filter("doc_id % 5 <> 0 OR src < 'src2'").groupBy("src").agg(F.count("*").alias("n")))
+    return C.incremental_skip(held, d.filter("lang <> 'de' OR src < 'src2'").groupBy("src").agg(F.count("*").alias("n")))
 
 
-@query("upsert_source", """WITH h AS (SELECT source AS src, doc_id FROM documents WHERE source < 'src5'), i AS (SELECT source AS src, doc_id FROM documents WHERE doc_id % 5 <> 0 OR source < 'src2'),
+@query("upsert_source", """WITH h AS (SELECT source AS src, doc_id FROM documents WHERE source < 'src5'), i AS (SELECT source AS src, doc_id FROM documents WHERE lang <> 'de' OR source < 'src2'),
 f AS (SELECT src FROM (SELECT src, count(*) AS n FROM i GROUP BY 1) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT src, count(*) AS n FROM h GROUP BY 1) b WHERE b.src = a.src AND b.n = a.n))
 SELECT src, doc_id FROM h WHERE src NOT IN (SELECT src FROM f) UNION ALL SELECT src, doc_id FROM i WHERE src IN (SELECT src FROM f)""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("src"), "doc_id")
-    return C.upsert(d.filter("src < 'src5'"), d.filter("doc_id % 5 <> 0 OR src < 'src2'"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("src"), "doc_id", "lang")
+    return C.upsert(d.filter("src < 'src5'"), d.filter("lang <> 'de' OR src < 'src2'")).select("src", "doc_id")
 
 
-@query("promote_anti_join", """SELECT min(doc_id) AS chunk_ord FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) GROUP BY text""")
+@query("promote_anti_join", """SELECT min(doc_id) AS chunk_ord FROM documents WHERE source >= 'src15' AND text NOT IN (SELECT text FROM documents WHERE source < 'src15') GROUP BY text""")
 def _(spark, sf):
     c = chunks(spark, sf)
-    return C.promote(c.filter("chunk_ord % 2 = 1"), c.filter("chunk_ord % 2 = 0")).select("chunk_ord")
+    return C.promote(c.filter("source >= 'src15'"), c.filter("source < 'src15'")).select("chunk_ord")
 
 
 @query("reindex_counts", f"WITH {CHUNKS} SELECT count(*) AS total, count(*) - count(embedding) AS to_embed, count(embedding) AS kept FROM chunks")
@@ -336,12 +336,12 @@ def _(spark, sf):
     return G.graph_stats(G.nodes(p), G.edges(p, 3))
 
 
-AUG = f"""{EDGES}, hits AS (SELECT doc_id AS chunk_ord FROM documents WHERE doc_id < 3), own AS (SELECT DISTINCT term FROM po WHERE chunk_ord IN (SELECT chunk_ord FROM hits)),
+AUG = f"""{EDGES}, hits AS (SELECT doc_id AS chunk_ord FROM documents WHERE source = 'src3' AND lang = 'es'), own AS (SELECT DISTINCT term FROM po WHERE chunk_ord IN (SELECT chunk_ord FROM hits)),
 bo AS (SELECT a, b, w FROM ed UNION ALL SELECT b, a, w FROM ed), nr AS (SELECT b AS term, max(w) AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM bo WHERE a IN (SELECT term FROM own)) WHERE r <= 4 GROUP BY 1)"""
 
 
 @query("graph_augment", f"WITH {AUG} SELECT po.chunk_ord, round(least(1.0, max(nr.w) * 0.05), 4)::DOUBLE AS score FROM nr JOIN po USING (term) WHERE po.chunk_ord NOT IN (SELECT chunk_ord FROM hits) GROUP BY 1")
 def _(spark, sf):
     p = postings(spark, sf)
-    hits = table(spark, sf, "documents").filter("doc_id < 3").select(F.col("doc_id").alias("chunk_ord"))
+    hits = table(spark, sf, "documents").filter("source = 'src3' AND lang = 'es'").select(F.col("doc_id").alias("chunk_ord"))
     return G.augment(hits, p, G.edges(p, 3)).withColumn("score", F.col("score").cast("double"))

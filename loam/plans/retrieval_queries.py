@@ -137,7 +137,7 @@ def hits_of(spark, sf, n: int = 12) -> DataFrame:
     """Results of one search: the documents of the most distinct question words, by ord."""
     toks = T.tokens("text")
     hit = F.size(F.array_intersect(F.array_distinct(toks), F.array(*[F.lit(w) for w in WORDS])))
-    best = table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 3000).alias("text"), hit.alias("hit")).orderBy(F.col("hit").desc(), "doc_id").limit(n)
+    best = table(spark, sf, "documents").select("doc_id", "source", "text", hit.alias("hit")).orderBy(F.col("hit").desc(), "doc_id").limit(n)
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.orderBy(F.col("hit").desc(), "doc_id"))
@@ -145,7 +145,7 @@ def hits_of(spark, sf, n: int = 12) -> DataFrame:
 
 
 IN_Q = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
-HITS = f"""h0 AS (SELECT doc_id, source AS label, left(text, 3000) AS text, len(list_intersect(list_distinct({TOK}), {IN_Q})) AS hit FROM documents),
+HITS = f"""h0 AS (SELECT doc_id, source AS label, text, len(list_intersect(list_distinct({TOK}), {IN_Q})) AS hit FROM documents),
 h1 AS (SELECT *, row_number() OVER (ORDER BY hit DESC, doc_id) AS ord FROM h0), hits AS (SELECT ord, doc_id, label, text, hit / {len(WORDS)}.0 AS score FROM h1 WHERE ord <= 12)"""
 SENT = rf"""{HITS}, s0 AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> '') AS ss FROM hits),
 s1 AS (SELECT ord, doc_id, label, score, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0),
