@@ -38,11 +38,14 @@ def bm25(chunks: DataFrame, question: str, by: list[str] | None = None) -> DataF
     by = by or []
     words = list(dict.fromkeys(_tokens(question)))
     times = [_tokens(question).count(w) for w in words]
-    toks = T.tokens(T.embed_text("text", "breadcrumb") if "breadcrumb" in chunks.columns else T.embed_text("text", F.lit("")))
-    counted = chunks.withColumn("_t", toks)
-    times_in = lambda w: F.size(F.filter("_t", lambda x: x == w))
+    text = F.lower(T.embed_text("text", "breadcrumb") if "breadcrumb" in chunks.columns else F.coalesce("text", F.lit("")))
+    # The question's tokens are picked by a pattern of their own, so the counts below run over a handful of them.
+    ascii_, cjk = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+    parts = [rf"(?<![a-z0-9])(?:{'|'.join(ascii_)})(?![a-z0-9])"] * bool(ascii_) + [f"[{''.join(cjk)}]"] * bool(cjk)
+    hits = F.regexp_extract_all(text, F.lit("|".join(parts)), F.lit(0)) if parts else F.array().cast("array<string>")
+    times_in = lambda w: F.size(F.filter("_h", lambda x: x == w))
     tf = F.array(*[times_in(w) for w in words]) if words else F.array().cast("array<int>")
-    counted = counted.withColumn("_dl", F.size("_t")).withColumn("_tf", tf).drop("_t")
+    counted = chunks.withColumn("_h", hits).withColumn("_dl", F.size(T.tokens(text))).withColumn("_tf", tf).drop("_h")
     n = len(words)
     stats = counted.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), F.array(*[F.sum((F.col("_tf")[i] > 0).cast("int")) for i in range(n)]).alias("_df"))
     joined = counted.join(F.broadcast(stats), by) if by else counted.crossJoin(F.broadcast(stats))
