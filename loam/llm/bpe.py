@@ -28,8 +28,8 @@ JAVA_UNSTABLE = f"[^{STABLE}]"
 TABLE_WORDS = 1 << 19
 #: Words that are put together at a time.
 SLICE_WORDS = 1 << 19
-#: Words that a WordEncoder remembers in each of two generations, some 25 MB.
-CACHE_WORDS = 1 << 17
+#: Words that a WordEncoder remembers in each of two generations, some 50 MB.
+CACHE_WORDS = 1 << 18
 #: The Latin part of STABLE, and its letters, numbers and white space as the tokenizers library has them: most texts have
 #: nothing else, and plain character classes are quicker than Unicode properties.
 LATIN = r"\x{0}-\x{2AF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}"
