@@ -14,7 +14,15 @@ QUERY_VEC = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Texts of a small file, whose one row group one task would read, dealt to all cores; tables of more splits than
+    cores stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
