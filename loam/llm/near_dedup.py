@@ -28,7 +28,7 @@ PERCENT = 75
 #: A pair of similarity 0.75 shares none of the bands with probability (1 - 0.75 ** ROWS) ** BANDS, 3e-7.
 BANDS, ROWS = 40, 4
 #: Samples and bits of the odd sketch; and how far under the threshold, in standard deviations, an estimate may be.
-BINS, BITS, FAR = 1 << 10, 1 << 11, 4
+BINS, BITS, FAR = 1 << 10, 1 << 11, 5
 #: Rounds of comparisons with hubs.
 HUBS = 2
 
@@ -114,15 +114,17 @@ def likely():
     """Whether sizes and odd sketches leave it possible that sides a and b are similar enough.
 
     At the threshold t the two sets' union has (na + nb) / (1 + t) shingles, which fill u bins, and of these a share t has
-    equal samples; nearer sets have more. The variance is that of sampling (little where most shingles are sampled) and
-    of the parity bitmap."""
+    equal samples; nearer sets have more. The variance is that of sampling (little where most shingles are sampled), of
+    how many bins the union fills, and of the parity bitmap."""
     t = PERCENT / 100
     union = (F.col("na") + F.col("nb")) / (1 + t)
-    u = BINS * (1 - F.exp(-union / BINS))
+    load = union / BINS
+    u = BINS * (1 - F.exp(-load))
+    fill = BINS * (F.exp(-load) - (1 + load) * F.exp(-2 * load))
     z = F.least(F.lit(BITS / 2 - 1), ones()).cast("double")
     d = -BITS / 2 * F.log(1 - 2 * z / BITS)
     e = F.exp(-4 * d / BITS)
-    spread = t * (1 - t) * u * (1 - u / union) + (BITS / 4 * (1 - e) - d * e) / e / 4 + 0.5
+    spread = t * (1 - t) * u * (1 - u / union) + t * t * fill + (BITS / 4 * (1 - e) - d * e) / e / 4 + 0.5
     return (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & ((F.col("filleda") + F.col("filledb") - d) / 2 >= t * u - FAR * F.sqrt(spread))
 
 
