@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ BLOCK = 4096
 SEARCH = {"compression_level": 9, "strategy": 5, "min_match": 4, "window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 4, "target_length": 32}
 #: A text is rejected if the best language saves less than this share on the second-best: sizes are all but equal.
 MARGIN = 0.002
+#: Or if the best language's dictionary saves less than this share on compressing without one: no language learned.
+SAVES = 0.01
+#: But not if its different words come to fewer bytes than this: they are too few to tell.
+TELLING = 200
 HELD_OUT = (4, 2)
 
 
@@ -31,22 +38,46 @@ def fit(labelled: DataFrame, seed: int = 0) -> dict[str, bytes]:
     return {lang: "\n".join(t for _, t in sorted(rows)).lower().encode() for lang, rows in sorted(found.items())}
 
 
+def different(raw: bytes) -> bytes:
+    """The different words of a text, in order, with a blank before and after each."""
+    return b" " + b" ".join(dict.fromkeys(raw.split())) + b" "
+
+
+def trigrams(raw: bytes) -> tuple[dict[bytes, float], float]:
+    """Cost in bits of each trigram of a dictionary, and of one that it lacks."""
+    raw = b" " + b" ".join(raw.split()) + b" "
+    counts = Counter(raw[i : i + 3] for i in range(len(raw) - 2))
+    total = math.log2(sum(counts.values()) + 1)
+    return {g: total - math.log2(n + 0.5) for g, n in counts.items()}, total + 1
+
+
+def bits(words: bytes, model: tuple[dict[bytes, float], float]) -> float:
+    known, unknown = model
+    return sum(known.get(words[i : i + 3], unknown) for i in range(len(words) - 2))
+
+
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs with lang_pred, score and rejected added (columns of those names are replaced).
 
     Null texts, texts without a letter, and all texts where nothing was learned are `und` with score 0, and rejected.
-    score is the share by which the best language beats the second (1 where only one was learned); rejected where that
-    is under margin. Ties go to the language first in order. Equal texts get equal results.
+    score is the share by which the best language beats the second (1 where only one was learned). Languages of equal
+    size are told apart by the cost of the text's different words in bits, by the dictionaries' trigrams; if that is
+    equal, too, the language first in order wins. rejected where score is under margin or the best dictionary saves less
+    than SAVES, on the text and on its letters alone, unless these are too few to tell (TELLING). Equal texts get equal
+    results.
     """
     keep = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
+        from functools import cache
+
         import pyarrow as pa
         import regex
         import zstandard
 
-        letter = regex.compile(r"\p{L}").search
+        letter, other = regex.compile(r"\p{L}").search, regex.compile(r"[^\p{L}\p{M}]+").sub
+        total = lambda coder, blocks: sum(len(coder.compress(b)) for b in blocks)
         search = zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
         langs, coders = [], []
         for lang, raw in shared.value.items():
@@ -54,6 +85,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             d.precompute_compress(compression_params=search)
             langs.append(lang)
             coders.append(zstandard.ZstdCompressor(compression_params=search, dict_data=d))
+        none = zstandard.ZstdCompressor(compression_params=search)
+        models = cache(lambda: [trigrams(raw) for raw in shared.value.values()])
         for batch in batches:
             pred, score, rejected = [], [], []
             for text in batch.column("text"):
@@ -63,9 +96,21 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 else:
                     raw = text.lower().encode()
                     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-                    sizes = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, c in enumerate(coders))
+                    sizes = sorted((total(c, blocks), k) for k, c in enumerate(coders))
+                    best = sizes[0][0]
+                    tied = [k for size, k in sizes if size == best]
+                    if len(tied) > 1:
+                        words = different(raw)
+                        sizes = sorted((bits(words, models()[k]), k) for k in tied)
                     s = 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
-                    out = (langs[sizes[0][1]], s, s < margin)
+                    first = sizes[0][1]
+                    bad = s < margin
+                    if bad or best > (1 - SAVES) * total(none, blocks):
+                        # Marks between words hide what a dictionary saves: letters alone are judged.
+                        plain = other(" ", text.lower()).encode()
+                        cut = [plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)]
+                        bad = (bad or total(coders[first], cut) > (1 - SAVES) * total(none, cut)) and len(different(plain)) >= TELLING
+                    out = (langs[first], s, bad)
                 for x, y in zip((pred, score, rejected), out):
                     x.append(y)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])

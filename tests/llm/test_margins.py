@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from loam.llm import near_dedup
+from loam.llm import langid, near_dedup
 
 
 @pytest.mark.parametrize("union", [60, 200, 400, 1000])
@@ -20,3 +20,30 @@ def test_prefilter_keeps_links(spark, union):
         row |= {f"n{side}": np.full(k, sets.shape[1]), f"filled{side}": filled, f"odd{side}": odd.tolist()}
     pairs = spark.createDataFrame(pd.DataFrame(row), "na long, filleda int, odda array<long>, nb long, filledb int, oddb array<long>")
     assert pairs.filter(near_dedup.likely()).count() == k
+
+
+def prose(seed, words, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(words.split(), n))
+
+
+def test_short_clean_texts_stay(spark):
+    """Texts too short for any dictionary to save a byte are kept, with the language that their letters tell."""
+    en, fr = "this that with the have from there which would other water gate house", "avec pour dans les cette mais leur sont nous vous être eau porte maison"
+    taught = [(prose(i, w, 300), lang) for i in range(20) for w, lang in ((en, "en"), (fr, "fr"))]
+    dictionaries = langid.fit(spark.createDataFrame(taught, "text string, lang string"))
+    texts = {"This.": "en", "Avec.": "fr", "which would": "en", "leur eau": "fr", "Which, " * 1000: "en"}
+    out = {r.text: r for r in langid.classify(spark.createDataFrame([(t,) for t in texts], "text string"), dictionaries).collect()}
+    assert {t: (r.lang_pred, r.rejected) for t, r in out.items()} == {t: (lang, False) for t, lang in texts.items()}
+
+
+def test_gibberish_goes(spark):
+    """Long texts of no language learned are rejected, however their sizes differ."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+    made = [(" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(200)),) for _ in range(200)]
+    dictionaries = langid.fit(docs)
+    out = langid.classify(spark.createDataFrame(made, "text string"), dictionaries)
+    assert out.filter("rejected").count() == 200
+    clean = langid.classify(docs.filter("n_chars < 60 AND text RLIKE '[a-zA-Z]'"), dictionaries)
+    assert clean.filter("rejected").count() == 0 and clean.count() > 5
