@@ -3,9 +3,9 @@
 A text is the multiset of its paragraphs; a long paragraph counts as its sentences. Each piece is hashed to a wide vector
 and a document's fingerprint is the sum of its pieces' vectors modulo powers of two, so it doesn't depend on their order,
 and the vector of a piece inserted or deleted is added or subtracted. The vector has two parts: 8 dense lanes modulo
-2^32, for equality, and 256 sparse lanes modulo 2^8 of which a piece touches one, for likeness. Sparse lanes are 8 levels
-of 32; a piece's level is the number of trailing zeros of its hash, so each level holds half as many as the one before.
-Lanes in use are written as number and value, two bytes each.
+2^32, for equality, and 1024 sparse lanes modulo 2^8 of which a piece touches one, for likeness. Sparse lanes are 32 levels
+of 32; a piece's level is the number of trailing zeros of its hash, so each level holds half as many as the one before,
+and no text has too many pieces for the last. Lanes in use are written as number and value, five hex digits together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.shared import table, texts
 
-DENSE, LEVELS, LANES = 4, 8, 32
+DENSE, LEVELS, LANES = 4, 32, 32
 #: Likeness is read from the first level of which at most this many lanes are in use, and those above.
 FEW = 20
 PIECES = r" (?<=[.!?] )|(?<=\n)"
@@ -68,15 +68,15 @@ def summed(rows: DataFrame, keys: list[str], units: str) -> DataFrame:
     level from which likeness is read. rows: keys and an array of pieces."""
     h = F.xxhash64("piece")
     some = F.col("piece").isNotNull()
-    level = F.lit(LEVELS - 1)
-    for j in reversed(range(LEVELS - 1)):
-        level = F.when(F.col("h").bitwiseAND(F.lit(1 << j)) != 0, j).otherwise(level)
+    # Trailing zeros, of the last level at most. Lanes and values come from higher bits.
+    capped = F.col("h").bitwiseAND(F.lit((1 << LEVELS) - 1)).bitwiseOR(F.lit(1 << (LEVELS - 1)))
+    level = F.bit_count(F.bitwise_not(capped).bitwiseAND(capped - 1))
     low = F.lit(0xFFFFFFFF)
     hashed = rows.select(*keys, F.explode_outer(units).alias("piece")).select(*keys, some.alias("some"), h.alias("h"), *[F.xxhash64(F.lit(i + 1), F.col("piece")).alias(f"x{i}") for i in range(DENSE)])
     lanes = [f"d{i}" for i in range(2 * DENSE)]
     split = hashed.select(
         *keys,
-        F.when(F.col("some"), level * LANES + F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(LANES - 1)).cast("int")).alias("slot"),
+        F.when(F.col("some"), level * LANES + F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(LANES - 1)).cast("int")).alias("slot"),
         F.when(F.col("some"), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(0xFFFF))).otherwise(0).alias("v"),
         *[F.when(F.col("some"), F.col(f"x{i}").bitwiseAND(low) if k == 0 else F.shiftrightunsigned(f"x{i}", 32)).otherwise(0).alias(f"d{2 * i + k}") for i in range(DENSE) for k in range(2)],
     )
@@ -90,7 +90,7 @@ def summed(rows: DataFrame, keys: list[str], units: str) -> DataFrame:
 
 def as_hex(dense, used):
     pad = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat(F.array_join(F.transform(dense, lambda x: pad(x, 8)), ""), F.lit("."), F.array_join(F.transform(used, lambda x: pad(x, 4)), ""))
+    return F.concat(F.array_join(F.transform(dense, lambda x: pad(x, 8)), ""), F.lit("."), F.array_join(F.transform(used, lambda x: pad(x, 5)), ""))
 
 
 def likeness(used_a, few_a, used_b, few_b):

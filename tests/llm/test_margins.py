@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from loam.llm import langid, near_dedup
+from loam.llm import fingerprint, langid, near_dedup
 
 
 @pytest.mark.parametrize("union", [60, 200, 400, 1000])
@@ -47,3 +47,18 @@ def test_gibberish_goes(spark):
     assert out.filter("rejected").count() == 200
     clean = langid.classify(docs.filter("n_chars < 60 AND text RLIKE '[a-zA-Z]'"), dictionaries)
     assert clean.filter("rejected").count() == 0 and clean.count() > 5
+
+
+def test_likeness_of_very_long_texts(spark):
+    """near_edited estimates the share of pieces in common whatever their number."""
+    from collections import Counter
+
+    n, docs = 24000, 6
+    texts = [[f"d{d} s{i:05d}. " for i in range(n)] for d in range(docs)]
+    out = fingerprint.edited_fingerprints(spark.createDataFrame([(d, "".join(t)) for d, t in enumerate(texts)], "doc_id int, text string")).collect()
+    exact = []
+    for d in range(docs):
+        a, b = Counter(texts[d]), Counter(texts[d][: n // 2] + texts[d - 1][: n // 2])
+        exact.append((a & b).total() / (a | b).total())
+    assert abs(sum(r.near_edited for r in out) / docs - sum(exact) / docs) < 0.15
+    assert all(r.near_edited > 0.1 and r.near_next < 0.05 for r in out)
