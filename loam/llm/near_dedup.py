@@ -6,9 +6,10 @@
 2. Classes that share a band are candidates. A bucket may hold any number of them, so its members are first compared
    with one member, the bucket's hub; each class goes on with the hub that its odd sketch says is nearest. What is linked
    so forms components. Then the members outside a bucket's largest component are compared with all others that are
-   still apart from them, so no candidate link between components is lost, and no pair within one is made.
+   still apart from them, so no candidate link between components is lost, and no pair within one is made. Members meet
+   only others of like size, and a bucket that would make too many pairs is dealt to several keys.
 3. A candidate goes on only if the sizes allow the similarity and the odd sketches are within FAR standard deviations of
-   it; it is then confirmed on the full sets.
+   it; it is then confirmed on the full sets of shingles, word by word and not by hash.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import table, written
-from loam.llm.words import mix, shingles, steps
+from loam.llm.shared import slices, spare, table, written
+from loam.llm.words import exact_sets, mix, shingles, steps
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -31,6 +32,10 @@ BANDS, ROWS = 40, 4
 BINS, BITS, FAR = 1 << 10, 1 << 11, 5
 #: Rounds of comparisons with hubs.
 HUBS = 2
+#: Pairs that a key of the last comparison may make before its bucket is dealt to more keys.
+KEY_PAIRS = 1 << 22
+#: Bytes of texts whose exact sets are held at a time.
+CONFIRM_BYTES = 1 << 24
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -61,14 +66,15 @@ def odd_sketch(s, n):
 
 def sketch(texts: list[bytes]):
     """For each text: set size, two set hashes, bands, samples of the odd sketch and its bitmap."""
-    s, n = shingles(texts, WORDS)
+    lanes, n = shingles(texts, WORDS)
+    s = np.ascontiguousarray(lanes[:, 0])
     docs = len(texts)
     size, k1, k2 = np.zeros(docs, np.int64), np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
     bands = np.zeros((docs, BANDS), np.uint64)
     at = np.concatenate([[0], np.cumsum(n)])
     for i in np.flatnonzero(n):
-        u = np.unique(s[at[i] : at[i + 1]])
-        size[i], k1[i], k2[i] = len(u), mix(u).sum(dtype=np.uint64), mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+        u, row = np.unique(s[at[i] : at[i + 1]], return_index=True)
+        size[i], k1[i], k2[i] = len(u), mix(u).sum(dtype=np.uint64), mix(lanes[at[i] + row, 1]).sum(dtype=np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         h, starts = (s >> np.uint64(32)).astype(np.uint32), at[:-1][some]
@@ -133,25 +139,18 @@ def confirm(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             left, right = [], []
-            step = 1024
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
+            sizes = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3)))
+            for part in slices(batch, sizes, CONFIRM_BYTES):
                 # Hubs recur: each different text is cut once.
-                coded = [part.column(c).dictionary_encode() for c in (2, 3)]
-                sets = []
-                for x in coded:
-                    own = []
-                    for _, raw in steps(x.dictionary):
-                        s, n = shingles(raw, WORDS)
-                        own += [np.unique(y) for y in np.split(s, np.cumsum(n)[:-1])]
-                    sets.append(own)
-                for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), coded[0].indices.to_pylist(), coded[1].indices.to_pylist()):
-                    p, q = sets[0][x], sets[1][y]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                both = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks().dictionary_encode()
+                sets, at = exact_sets([x.as_py().encode() for x in both.dictionary], WORDS), both.indices.to_numpy()
+                for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), at[: part.num_rows], at[part.num_rows :]):
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * shared >= PERCENT * (len(sets[x]) + len(sets[y]) - shared):
                         left.append(a)
                         right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -180,38 +179,69 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (columns doc_id and text; others are dropped).
-
-    Texts that are null, empty or blank have an empty set: they are their own component and kept. So are rows without a
-    doc_id (component_id null). Rows of one doc_id are rows of their own that may have different components. Ties for
-    the representative don't arise: it is the smallest doc_id. An empty table gives no rows.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def grouped(base: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n, component_id and rep_th for every row of base (doc_id long and text); component_id
+    and rep_th are the least doc_id and th of the row's component, null where the set is empty or doc_id is null."""
     sk = written(sketches(base), "sketches")
     live = sk.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # Classes of equal sets, each with one document that stands for it.
-    classes = written(live.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select(F.xxhash64("k1", "k2", "n").alias("node"), "k1", "k2", "n", "rep.doc_id", "rep.th"), "classes", few=True)
-    reps = live.join(classes.select("node", "doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["node"])
+    # Classes of equal sets, each with one document that stands for it. A number written once can't clash, as a hash could.
+    rep = live.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
+    classes = written(rep.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "rep.doc_id", "rep.th"), "classes", few=True)
+    reps = live.join(classes.select("node", "doc_id", "th", "k1", "k2"), ["doc_id", "th", "k1", "k2"]).dropDuplicates(["node"])
     buckets = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    multi = written(buckets.join(shared, "bucket"), "shared-buckets", few=True)
+    multi = written(buckets.join(shared, "bucket"), "shared-buckets")
     nodes = multi.select("node").distinct()
-    known = written(reps.select("node", *SKETCH, F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")).join(nodes, "node", "left_semi"), "candidates", few=True)
+    known = written(reps.select("node", *SKETCH, F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")).join(nodes, "node", "left_semi"), "candidates")
     wanted = classes.join(nodes, "node", "left_semi").select("node", "doc_id", "th")
-    held = written(base.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "texts", few=True)
+    held = written(base.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     labels = nodes.select("node", F.col("node").alias("comp"))
     for seed in range(HUBS):
         labels = merged(labels, written(confirm(nearest_hubs(multi, labels, known, seed), held), "links", few=True))
     labels = merged(labels, written(confirm(still_apart(multi, labels, known), held), "links", few=True))
-    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = written(classes.select("node", "k1", "k2", "n").join(named.select("node", "comp"), "node").join(least, "comp").select("k1", "k2", "n", "component_id"), "class-components", few=True)
-    out = sk.select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    named = classes.select("node", "doc_id", "th").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
+    of_class = classes.select("node", "k1", "k2", "n").join(named.select("node", "comp"), "node").join(least, "comp")
+    of_class = written(of_class.select("k1", "k2", "n", F.col("rep.doc_id").alias("component_id"), F.col("rep.th").alias("rep_th")), "class-components", few=True)
+    out = sk.select("doc_id", "th", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
+    known_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return out.select("doc_id", "th", "n", known_id("component_id"), known_id("rep_th"))
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (columns doc_id and text; others are dropped).
+
+    Texts that are null, empty or blank have an empty set: they are their own component and kept. So are rows without a
+    doc_id (component_id null). Rows of one doc_id are rows of their own that may have different components. Ties for
+    the representative don't arise: it is the smallest doc_id. An empty table gives no rows.
+    """
+    out = grouped(id_and_text(docs))
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one for each group of near duplicates: of the smallest doc_id, then of the smallest text hash, and
+    of rows that agree in both any one.
+
+    Decided row by row: of two rows of one doc_id with different texts one may go and the other stay. Rows whose text is
+    null, empty or blank, and rows without a doc_id, all stay. All columns ride along; an empty table gives no rows.
+    """
+    base = id_and_text(docs)
+    rows = written(grouped(base).filter("component_id IS NOT NULL"), "groups", few=True)
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("rep_th"))
+    i, h = spare(docs, "i"), spare(docs, "h")
+    named = lambda df: df.select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    gone = named(rows.filter(~first)).distinct()
+    again = named(rows.filter(first).groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1"))
+    stay = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, [i, h], "left_anti")
+    return stay.join(again, [i, h], "left_anti").unionByName(stay.join(again, [i, h], "left_semi").dropDuplicates([i, h])).select(*docs.columns)
+
+
 def nearest_hubs(multi: DataFrame, labels: DataFrame, known: DataFrame, seed: int) -> DataFrame:
     """a, b: each node with the nearest, by odd sketch, of the hubs of its buckets that are still apart from it."""
     hub = multi.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(seed), "bucket", "node")).alias("hub"))
@@ -225,16 +255,26 @@ def nearest_hubs(multi: DataFrame, labels: DataFrame, known: DataFrame, seed: in
 def still_apart(multi: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     """a, b: all likely pairs of nodes that share a bucket and not a component. Of two nodes of a bucket at least one is
     outside its largest component; sizes and sketches are compared within the join, and a pair leaves it in the first
-    band that it shares."""
+    band that it shares.
+
+    Similar sets differ in size by a quarter at most, so nodes lie in size classes each a third wider than the one before,
+    and those outside meet their own class and its neighbours. Where these pairs are too many for a key, the nodes outside
+    are dealt to several."""
     tagged = multi.join(labels, "node")
     sizes = tagged.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("top.comp").alias("top"))
-    open_ = tagged.join(largest, "bucket").join(known, "node").withColumn("minor", F.col("comp") != F.col("top"))
-    mine = open_.filter("minor").select("bucket", "band", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("bands").alias("ba"), *of("a"))
-    rest = open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("bands").alias("bb"), "minor", *of("b"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("m")).filter("k > 1")
+    # The keys of a bucket, by the most pairs that it can make.
+    keys = F.ceil((F.col("m") - F.col("top.c")) * F.col("m") / F.lit(KEY_PAIRS)).cast("int")
+    largest = largest.select("bucket", F.col("top.comp").alias("top"), keys.alias("keys"))
+    grade = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+    open_ = tagged.join(largest, "bucket").join(known, "node").withColumn("minor", F.col("comp") != F.col("top")).withColumn("grade", grade)
+    near = F.explode(F.array(*[F.col("grade") + d for d in (-1, 0, 1)])).alias("grade")
+    mine = open_.filter("minor").select("bucket", near, F.pmod(F.xxhash64("node", "bucket"), F.col("keys")).cast("int").alias("key"), "band", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("bands").alias("ba"), *of("a"))
+    rest = open_.select("bucket", "grade", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("bands").alias("bb"), "minor", *of("b"))
     once = ~F.col("minor") | (F.col("a") < F.col("b"))
     first = ~F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
-    found = mine.join(rest, (mine.bucket == rest.bucket) & (F.col("ca") != F.col("cb")) & once & likely() & first)
+    same = [mine[c] == rest[c] for c in ("bucket", "grade", "key")]
+    found = mine.join(rest, same[0] & same[1] & same[2] & (F.col("ca") != F.col("cb")) & once & likely() & first)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -29,8 +29,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def few_files(df: DataFrame) -> DataFrame:
-    """An eighth of the shuffle partitions: for tables much smaller than what they are made from."""
+    """An eighth of the shuffle partitions: for tables of some numbers a document or n-gram, so much smaller than the texts
+    that they are made from that a partition of them would be a fraction of one of the texts'."""
     return df.coalesce(max(6, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 

@@ -1,17 +1,19 @@
-"""Word hashes of many texts at once, vectorised over their bytes.
+"""Word and shingle hashes of many texts at once, and exact shingle sets.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. Its hash is a polynomial over its bytes modulo
-2^64 (from prefix sums, so there is no loop over words), with its length, mixed.
+A word is a run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. Its hash has two lanes of 64 bits. A word of at most
+SHORT bytes is packed with its length into 128 bits and permuted by a Feistel network: two different ones never agree in
+both lanes. A longer word's hash is its BLAKE2b. Shingle hashes mix each lane apart from the other.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 
-R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 STEP_BYTES = 1 << 21
+SHORT = 15
 
 
 def mix(x):
@@ -22,31 +24,38 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int):
-    def powers(r):
-        out = np.full(n, np.uint64(r), np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_ROUNDS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
 
-    return powers(R), powers(pow(R, -1, 1 << 64))
 
-
-def word_hashes(texts: list[bytes]):
-    """(hashes of all words, in order; how many words each text has)."""
-    raw = b" ".join(texts) + b" "
-    d = np.frombuffer(raw, np.uint8)
-    d = d + ((d >= 65) & (d <= 90)).astype(np.uint8) * np.uint8(32)
-    inside = ~((d == 32) | ((d >= 9) & (d <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
+def word_lanes(texts: list[bytes]):
+    """(hashes of all words, in order, an array for each lane; how many words each text has)."""
+    raw = b" ".join(texts).lower() + b" " * 17
+    inside = _INSIDE[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
-    size = max(STEP_BYTES, 1 << (len(d)).bit_length())
-    up, down = _powers(size)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((d.astype(np.uint64) + np.uint64(1)) * up[: len(d)], dtype=np.uint64)])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = end - start
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    x = eight[start] & _FIRST[np.minimum(size, 8)]
+    y = eight[start + 8] & _FIRST[np.clip(size - 8, 0, 7)] | (size.astype(np.uint64) << np.uint64(56))
+    for k in range(0, 4, 2):
+        y = y ^ mix(x + _ROUNDS[k])
+        x = x ^ mix(y + _ROUNDS[k + 1])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        x[i], y[i] = np.frombuffer(blake2b(raw[start[i] : end[i]], digest_size=16).digest(), np.uint64)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(start, ends)
-    return h, np.diff(np.concatenate([[0], upto]))
+    return (x, y), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def word_hashes(texts: list[bytes]):
+    """The first lane, and how many words each text has."""
+    lanes, n = word_lanes(texts)
+    return lanes[0], n
 
 
 def steps(column, most: int = STEP_BYTES):
@@ -63,29 +72,63 @@ def steps(column, most: int = STEP_BYTES):
         yield first, held
 
 
+MUL = 0xC2B2AE3D27D4EB4F
+
+
 def shingles(texts: list[bytes], k: int = 5):
-    """(hashes of all k-word shingles, in order; how many each text has). With fewer words the sequence is one shingle."""
-    h, n = word_hashes(texts)
+    """(hashes of all k-word shingles, in order, two lanes; how many each text has). With fewer words the sequence is one."""
+    lanes, n = word_lanes(texts)
     doc = np.repeat(np.arange(len(texts)), n)
     first = np.concatenate([[0], np.cumsum(n)])
-    mul = np.uint64(0xC2B2AE3D27D4EB4F)
-    if len(h) >= k:
-        s = h[: len(h) - k + 1].copy()
+    mul = np.uint64(MUL)
+    m = max(0, len(lanes[0]) - k + 1)
+    whole = doc[:m] == doc[len(doc) - m :]
+    both = np.empty((int(whole.sum()), 2), np.uint64)
+    for lane in (0, 1):
+        h = lanes[lane]
+        s = h[:m]
         for j in range(1, k):
-            s = s * mul + h[j : len(h) - k + 1 + j]
-        ok = doc[: len(s)] == doc[k - 1 :]
-        s, owner = mix(s[ok]), doc[: len(s)][ok]
-    else:
-        s, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            s = mix(s * mul + h[j : m + j])
+        both[:, lane] = s[whole]
+    owner = doc[:m][whole]
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        few = []
-        for i in short:
-            x = np.uint64(n[i])
-            for w in h[first[i] : first[i + 1]]:
-                x = np.uint64((int(x) * int(mul) + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            few.append(x)
-        s, owner = np.concatenate([s, mix(np.array(few, np.uint64) + np.uint64(1))]), np.concatenate([owner, short])
+        few = np.empty((len(short), 2), np.uint64)
+        for row, i in enumerate(short):
+            x = np.full(2, n[i], np.uint64)
+            for at in range(first[i], first[i + 1]):
+                x = mix(x * mul + np.array([lanes[0][at], lanes[1][at]]))
+            few[row] = x
+        both, owner = np.concatenate([both, few]), np.concatenate([owner, short])
         order = np.argsort(owner, kind="stable")
-        s, owner = s[order], owner[order]
-    return s, np.bincount(owner, minlength=len(texts)).astype(np.int64)
+        both, owner = both[order], owner[order]
+    return both, np.bincount(owner, minlength=len(texts)).astype(np.int64)
+
+
+class _Numbered(dict):
+    def __missing__(self, key) -> int:
+        self[key] = out = len(self)
+        return out
+
+
+def exact_sets(texts: list[bytes], k: int = 5) -> list:
+    """For each text its set of k-word shingles, as a sorted array of numbers. Among the texts of one call equal numbers are
+    equal shingles, word by word: words are numbered, not hashed, and shingles by the rank of their word numbers."""
+    words, short = _Numbered(), _Numbered()
+    lists = [t.lower().split() for t in texts]
+    n = np.array([len(w) for w in lists], np.int64)
+    ids = np.fromiter(map(words.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+    base = np.int64(len(words) + 1)
+    rank = ids
+    for j in range(1, k):
+        rank = rank[: len(ids) - j] * base + ids[j:]
+        if j < k - 1:
+            rank = np.unique(rank, return_inverse=True)[1]
+    ends = np.cumsum(n)
+    out = []
+    for w, end, many in zip(lists, ends, n):
+        if many >= k:
+            out.append(np.unique(rank[end - many : end - k + 1]))
+        else:
+            out.append(np.array([-1 - short[tuple(w)]] if many else [], np.int64))
+    return out
