@@ -2,9 +2,12 @@
 
 Vectors are stored in blocks, ranges of vec_id, each with its forward index (the matrix of its vectors) and, for every
 dimension, the largest and smallest component: the term maxima. For a query the sum over dimensions of the larger of
-q * most and q * least bounds every score in a block. Queries too come in blocks. A task holds a block of queries and a
-run of data blocks, takes for each query the data blocks from the highest bound down, scores whole blocks by a matrix
-product and stops the query once the next bound is under its k-th score. The tasks' top k are merged.
+q * most and q * least bounds every score in a block. Bounds come first, and from the term maxima alone:
+
+1. Each query's most promising block is scored; its k-th best score there is a floor for the query.
+2. Only blocks whose bound reaches the floor of some query of a query block are sent to that query block.
+3. There each query takes its blocks from the highest bound down, scores whole blocks by a matrix product and stops once
+   the next bound is under its k-th score.
 """
 
 from __future__ import annotations
@@ -13,134 +16,194 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.fingerprint import bucket_of
 from loam.llm.shared import table, written
 
 K = 5
 EVERY = 50
 SCALE = 256
-#: Vectors of a data block, data blocks of a task, queries of a query block: some 4 MB, 64 MB and 1 MB at 64 dimensions.
-BLOCK, RUN, QUERIES = 2048, 16, 512
+#: Vectors of a data block, queries of a query block: some 1 MB each at 64 dimensions.
+BLOCK, QUERIES = 2048, 2048
+#: Data blocks that a task scores, and summaries of blocks whose bounds it computes: some 32 MB and 16 MB at 64 dimensions.
+RUN, SUMMARIES = 32, 1 << 14
 #: Sums below this are exact in double precision.
 EXACT = 2.0**53
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v: components floor(scale * x) as doubles; rows null, empty or with null or non-finite components go."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
+    """vec_id, v: components floor(scale * x) as doubles. Rows go that are null, empty or hold null or non-finite components,
+    and those whose sum of squares is 2^63 or more: their scores might not fit a long."""
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
+    # floor() of a double is a long and saturates far beyond the limit of the sum of squares.
     ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.filter(ok).select("vec_id", x.alias("v"))
+    fits = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c) < 2.0**63
+    return vectors.filter(ok).select("vec_id", F.transform(x, lambda c: c.cast("double")).alias("v")).filter(fits)
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """block, dims, ids, matrix, most, least: a row for each run of about `size` vectors in ascending vec_id."""
-    n = rows.count()
-    parts = max(1, -(-n // size))
-    bounds = rows.agg(F.percentile_approx("vec_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] if n and parts > 1 else []
-    dealt = rows.withColumn("block", bucket_of(F.col("vec_id"), sorted(set(bounds)))).repartition(parts, "block").sortWithinPartitions("block", "vec_id")
+    """block, dims, ids, matrix, most, least: a row for each run of `size` vectors or fewer in ascending vec_id. block: any
+    number, different for each row."""
+    dealt = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("vec_id", "v")
 
     def run(batches):
         import pyarrow as pa
 
+        schema = pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary()), ("most", pa.binary()), ("least", pa.binary())])
         held: dict = {}
 
-        def close(key):
-            ids, vs = zip(*held.pop(key))
+        def close(dims):
+            ids, vs = zip(*held.pop(dims))
             m = np.array(vs, np.float64)
-            return pa.RecordBatch.from_pylist([{"block": key[0], "dims": key[1], "ids": np.array(ids, np.int64).tobytes(), "matrix": m.tobytes(), "most": m.max(0).tobytes(), "least": m.min(0).tobytes()}], schema)
+            return pa.RecordBatch.from_pylist([{"dims": dims, "ids": np.array(ids, np.int64).tobytes(), "matrix": m.tobytes(), "most": m.max(0).tobytes(), "least": m.min(0).tobytes()}], schema)
 
-        schema = pa.schema([("block", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary()), ("most", pa.binary()), ("least", pa.binary())])
-        last = None
         for batch in batches:
-            for i, v, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = v.values.to_numpy()
-                if last is not None and b != last:
-                    for key in list(held):
-                        yield close(key)
-                last = b
-                key = (b, len(v))
-                held.setdefault(key, []).append((i, v))
-                # Ties of vec_id may crowd a block: a full one is closed, and another of the same number begins.
-                if len(held[key]) >= 2 * size:
-                    yield close(key)
-        for key in list(held):
-            yield close(key)
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) >= size:
+                    yield close(len(v))
+        for dims in list(held):
+            yield close(dims)
 
-    return written(dealt.select("vec_id", "v", F.col("block").cast("int").alias("block")).mapInArrow(run, "block int, dims int, ids binary, matrix binary, most binary, least binary"), name)
+    blocks = dealt.mapInArrow(run, "dims int, ids binary, matrix binary, most binary, least binary")
+    return written(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), name)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k best among all vectors but those of its own vec_id.
 
-    Ties go to the smaller vec_id; fewer than k candidates give fewer rows. Rows whose vector is null, empty or holds
-    null or non-finite components, and rows of null vec_id, take no part; vectors meet only vectors of as many
-    dimensions. Repeated vec_ids are candidates each; a repeated query_id is answered once, for its least vector.
-    Empty tables give no rows; other columns are ignored. Scores beyond 2^53 are computed in Python's integers.
+    Ties go to the smaller vec_id; fewer than k candidates give fewer rows. Rows whose vector is null, empty, holds null or
+    non-finite components or is so long that scores might not fit a long, and rows of null vec_id, take no part; vectors
+    meet only vectors of as many dimensions. Repeated vec_ids are candidates each; a repeated query_id is answered once,
+    for its least vector. Empty tables give no rows; other columns are ignored.
     """
     data = packed(integers(vectors, scale), BLOCK, "vectors")
-    asked = integers(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    query = packed(asked, QUERIES, "queries").select(F.col("dims"), F.struct(F.col("ids").alias("ids"), F.col("matrix").alias("matrix")).alias("q"), F.monotonically_increasing_id().alias("q_block"))
-    query = written(query, "query-blocks")
-    runs = data.withColumn("run", F.floor(F.col("block") / RUN).cast("int"))
-    # The stated queries against all rows, in blocks: every pair of a query block and a run of data blocks is a task.
-    pairs = runs.select("run", "dims").distinct().join(query.select("q_block", "dims").distinct(), "dims")
-    left = pairs.join(query, ["q_block", "dims"]).select("q_block", "run", "dims", "q")
-    right = pairs.join(runs, ["run", "dims"]).select(F.col("q_block").alias("qb"), F.col("run").alias("r"), F.col("dims").alias("ds"), "block", "ids", "matrix", "most", "least")
+    asked = packed(integers(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")), QUERIES, "queries")
+    # Bounds: the stated queries against the summaries of all blocks, a thousandth of their size.
+    summaries = data.select("dims", F.floor(F.xxhash64("block") / (2.0**64 / _parts(data, SUMMARIES))).cast("int").alias("run"), "block", "most", "least")
+    runs = summaries.select("dims", "run").distinct()
+    query = asked.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
+    left = query.join(runs, "dims")
+    right = query.select("dims", "q_block").join(summaries, "dims").select(F.col("q_block").alias("qb"), F.col("run").alias("r"), F.col("dims").alias("ds"), "block", "most", "least")
+    over = lambda left, f, schema: left.groupBy("q_block", "run", "dims").cogroup(right.groupBy("qb", "r", "ds")).applyInPandas(f, schema)
+    # The most promising block of each query, and the floor that it gives.
+    first = over(left, _promising, "q_block long, row int, dims int, bound double, block long")
+    first = first.groupBy("q_block", "row", "dims").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    seeds = first.groupBy("q_block", "block", "dims").agg(F.sort_array(F.collect_list("row")).alias("rows")).join(query, ["q_block", "dims"]).join(data.select("block", "ids", "matrix"), "block")
+    floors = seeds.select("q_block", "dims", "rows", "q_ids", "q", "ids", "matrix").mapInPandas(lambda it: _floors(it, k), "q_block long, row int, floor long")
+    floors = written(floors.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("row", "floor"))).alias("floors")), "floors")
+    query = query.join(floors, "q_block")
+    reached = over(left.join(floors, "q_block"), _reached, "q_block long, block long")
+    # Survivors, in runs of blocks.
+    w = Window.partitionBy("q_block").orderBy("block")
+    pairs = reached.withColumn("run", F.floor((F.row_number().over(w) - 1) / RUN).cast("int"))
+    pairs = written(pairs, "survivors")
+    blocks = pairs.join(data, "block").select(F.col("q_block").alias("qb"), F.col("run").alias("r"), "ids", "matrix", "most", "least")
+    asks = pairs.select("q_block", "run").distinct().join(query, "q_block")
 
     def score(key, q, d):
         import pandas as pd
 
-        dims = int(key[2])
         out = []
         if len(q) and len(d):
-            qids = np.frombuffer(q["q"][0]["ids"], np.int64)
-            qm = np.frombuffer(q["q"][0]["matrix"], np.float64).reshape(-1, dims)
-            out = _scan(qids, qm, d, dims, k)
+            qids, qm, floors = _query(q)
+            out = _scan(qids, qm, d, qm.shape[1], k, floors)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("q_block", "run", "dims").cogroup(right.groupBy("qb", "r", "ds")).applyInPandas(score, "query_id long, vec_id long, score long")
+    found = asks.groupBy("q_block", "run").cogroup(blocks.groupBy("qb", "r")).applyInPandas(score, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scan(qids, qm, d, dims: int, k: int) -> list[tuple]:
-    blocks = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.matrix, np.float64).reshape(-1, dims), np.frombuffer(r.most, np.float64), np.frombuffer(r.least, np.float64)) for r in d.itertuples()]
-    most, least = np.array([b[2] for b in blocks]), np.array([b[3] for b in blocks])
-    plus, minus = np.maximum(qm, 0), np.minimum(qm, 0)
-    reach = np.abs(qm).sum(1).max(initial=0) * max(np.abs(most).max(initial=0), np.abs(least).max(initial=0))
-    exact = reach < EXACT
-    bound = plus @ most.T + minus @ least.T
-    if not exact:
-        bound = np.full_like(bound, np.inf)
+def _parts(data: DataFrame, each: int) -> int:
+    return max(1, -(-data.count() // each))
+
+
+def _query(q):
+    """(ids, matrix, floors by row or none) of a query block, the one row of q."""
+    ids = np.frombuffer(q["q_ids"][0], np.int64)
+    floors = np.full(len(ids), -np.inf)
+    if "floors" in q:
+        held = dict(q["floors"][0])
+        floors[list(held)] = list(held.values())
+    return ids, np.frombuffer(q["q"][0], np.float64).reshape(len(ids), -1), floors
+
+
+def bounds(qm, d):
+    """The most that each query can score in each block, rounded up."""
+    most, least = (np.frombuffer(b"".join(d[c]), np.float64).reshape(len(d), -1) for c in ("most", "least"))
+    slack = np.abs(qm) @ np.maximum(np.abs(most), np.abs(least)).T
+    return np.maximum(qm, 0) @ most.T + np.minimum(qm, 0) @ least.T + slack * (qm.shape[1] * 2.0**-50)
+
+
+def _promising(key, q, d):
+    import pandas as pd
+
+    if not len(q) or not len(d):
+        return pd.DataFrame({"q_block": [], "row": [], "dims": [], "bound": [], "block": []})
+    _, qm, _ = _query(q)
+    b = bounds(qm, d)
+    top = b.argmax(axis=1)
+    return pd.DataFrame({"q_block": int(key[0]), "row": np.arange(len(qm), dtype=np.int32), "dims": int(key[2]), "bound": b[np.arange(len(qm)), top], "block": d["block"].to_numpy()[top]})
+
+
+def products(q, m):
+    """Exact inner products of integers held as doubles, as longs. The sums of squares are under 2^63, so they fit; where a
+    partial sum might not be exact as a double, they are added as longs, whose overflows cancel."""
+    if np.abs(q).max(initial=0) * np.abs(m).max(initial=0) * q.shape[1] < EXACT:
+        return (q @ m.T).astype(np.int64)
+    return q.astype(np.int64) @ m.astype(np.int64).T
+
+
+def _floors(batches, k: int):
+    """The k-th best score of queries within one block; queries that find fewer there have no floor."""
+    import pandas as pd
+
+    for batch in batches:
+        out = []
+        for r in batch.itertuples():
+            rows, names = np.array(r.rows), np.frombuffer(r.ids, np.int64)
+            qids = np.frombuffer(r.q_ids, np.int64)[rows]
+            scores = products(np.frombuffer(r.q, np.float64).reshape(-1, r.dims)[rows], np.frombuffer(r.matrix, np.float64).reshape(len(names), -1))
+            for row, own, s in zip(rows.tolist(), qids, scores):
+                s = s[names != own]
+                if len(s) >= k:
+                    out.append((r.q_block, row, int(np.partition(s, len(s) - k)[len(s) - k])))
+        yield pd.DataFrame(out, columns=["q_block", "row", "floor"]).astype({"q_block": "int64", "row": "int32", "floor": "int64"})
+
+
+def _reached(key, q, d):
+    import pandas as pd
+
+    if not len(q) or not len(d):
+        return pd.DataFrame({"q_block": [], "block": []})
+    _, qm, floors = _query(q)
+    return pd.DataFrame({"q_block": int(key[0]), "block": d["block"].to_numpy()[(bounds(qm, d) >= floors[:, None]).any(axis=0)]})
+
+
+def _scan(qids, qm, d, dims: int, k: int, floors) -> list[tuple]:
+    blocks = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.matrix, np.float64).reshape(-1, dims)) for r in d.itertuples()]
+    bound = bounds(qm, d)
     order = np.argsort(-bound, axis=1, kind="stable")
     best: list[list] = [[] for _ in qids]  # (-score, vec_id), the k best so far
+    need = np.array(floors, np.float64)  # what a block's bound must reach
     live = np.arange(len(qids))
     for step in range(len(blocks)):
-        live = np.array([i for i in live if len(best[i]) < k or bound[i, order[i, step]] >= -best[i][-1][0]], np.int64)
+        live = live[bound[live, order[live, step]] >= need[live]]
         if not len(live):
             break
         for b in np.unique(order[live, step]):
             rows = live[order[live, step] == b]
-            ids, m = blocks[b][:2]
-            if exact:
-                scores = qm[rows] @ m.T
-                for i, s in zip(rows, scores):
-                    own = ids != qids[i]
-                    s, names = s[own], ids[own]
-                    if len(s) > k:
-                        cut = np.partition(s, len(s) - k)[len(s) - k]
-                        # All that tie with the k-th are kept for the order by vec_id.
-                        some = np.flatnonzero(s >= max(cut, -best[i][-1][0] if len(best[i]) == k else cut))
-                    else:
-                        some = np.arange(len(s))
-                    if len(some) > 4 * k:
-                        some = some[np.lexsort((names[some], -s[some]))[:k]]
-                    best[i] = sorted(best[i] + [(-int(s[j]), int(names[j])) for j in some])[:k]
-            else:
-                whole = [[int(x) for x in v] for v in m]
-                for i in rows:
-                    q = [int(x) for x in qm[i]]
-                    best[i] = sorted(best[i] + [(-sum(x * y for x, y in zip(q, v)), int(n)) for v, n in zip(whole, ids) if n != qids[i]])[:k]
+            ids, m = blocks[b]
+            for i, s in zip(rows, products(qm[rows], m)):
+                own = (ids != qids[i]) & (s >= need[i])
+                s, names = s[own], ids[own]
+                # All that tie with the k-th are kept for the order by vec_id.
+                some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                if len(some) > 4 * k:
+                    some = some[np.lexsort((names[some], -s[some]))[:k]]
+                best[i] = sorted(best[i] + [(-int(s[j]), int(names[j])) for j in some])[:k]
+                if len(best[i]) == k:
+                    need[i] = max(need[i], -best[i][-1][0])
     return [(int(q), n, -s) for q, found in zip(qids, best) for s, n in found]
 
 

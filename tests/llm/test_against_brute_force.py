@@ -238,21 +238,18 @@ def test_near_dedup_of_chains_and_crowds(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
-def test_topk_prunes_exactly(spark):
+def test_topk_prunes_exactly(spark, monkeypatch):
     from loam.llm import topk
 
     rng = np.random.default_rng(1)
     v = rng.normal(size=(3000, 8)) * rng.choice([0.1, 3], size=(3000, 1))
     v[::7] = v[0]
     d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    old = topk.BLOCK, topk.RUN, topk.QUERIES
-    topk.BLOCK, topk.RUN, topk.QUERIES = 64, 4, 16
-    try:
-        got = defaultdict(list)
-        for r in topk.search(d, d.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
-            got[r.query_id].append((r.vec_id, r.score))
-    finally:
-        topk.BLOCK, topk.RUN, topk.QUERIES = old
+    for name, n in (("BLOCK", 64), ("RUN", 4), ("QUERIES", 16), ("SUMMARIES", 8)):
+        monkeypatch.setattr(topk, name, n)
+    got = defaultdict(list)
+    for r in topk.search(d, d.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
     w = np.floor(256 * v).astype(np.int64)
     for q in range(0, 3000, 50):
         s = w @ w[q]
@@ -260,6 +257,23 @@ def test_topk_prunes_exactly(spark):
         assert got[q] == [(i, -x) for x, i in best]
 
 
+def test_topk_sends_few_blocks(spark, monkeypatch):
+    """Vectors whose length grows with their id: only the last blocks can reach a floor."""
+    from loam.llm import topk
+
+    rng = np.random.default_rng(2)
+    v = np.abs(rng.normal(size=(4096, 8))) * 2 ** (np.arange(4096)[:, None] / 256)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    sent, plain = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: sent.setdefault(name, plain(df, name)))
+    rows = topk.search(d, d.filter("vec_id % 50 = 0")).collect()
+    blocks, survivors = sent["vectors"].count(), sent["survivors"].count()
+    assert blocks >= 64 and 0 < survivors < blocks / 2
+    w = np.floor(256 * v).astype(np.int64)
+    assert {(r.query_id, r.rank): r.score for r in rows} == {(q, i + 1): int(x) for q in range(0, 4096, 50) for i, x in enumerate(np.sort(np.delete(w @ w[q], q))[::-1][:5])}
+
+
 def test_pipeline(spark):
     """The stages' decisions take effect, each on what its predecessor kept."""
     import corpus_pipeline as p

@@ -94,8 +94,9 @@ def test_chat(spark):
 
 
 def test_vectors(spark):
-    rows = [(0, [0.5, 0.25]), (50, [1.0, 1.0]), (50, [2.0, 1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (8, [1.0]), (9, [1e300, -1e300])]
+    rows = [(0, [0.5, 0.25]), (50, [1.0, 1.0]), (50, [2.0, 1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (8, [1.0]), (9, [1e300, -1e300]), (100, [1e308, 1.0]), (10, [-1e7, 1e6]), (150, [1e7, -3e6])]
     d = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    out = sorted(map(tuple, topk.search(d.filter("vec_id <> 9 OR vec_id IS NULL"), d.filter("vec_id % 50 = 0")).collect()))
-    assert [r for r in out if r[0] == 0] == [(0, 1, 50, 81920), (0, 2, 5, 49152), (0, 3, 6, 49152), (0, 4, 50, 49152)] or [r[:1] + r[3:] for r in out if r[0] == 0] == [(0, 81920), (0, 49152), (0, 49152), (0, 49152)]
-    assert topk.search(d.limit(0), d.limit(0)).count() == 0
+    out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(d, d.filter("vec_id % 50 = 0")).collect())
+    assert [r for r in out if r[0] == 0] == [(0, 1, 150, 128 * 2560000000 - 64 * 768000000), (0, 2, 50, 81920), (0, 3, 5, 49152), (0, 4, 6, 49152), (0, 5, 50, 49152)]
+    assert [r[1:] for r in out if r[0] == 150][-1] == (5, 50, 256 * (2560000000 - 768000000)) and {r[0] for r in out} == {0, 50, 150}
+    assert topk.search(d.limit(0), d.limit(0)).count() == 0 and topk.search(d, d.limit(0)).count() == 0
