@@ -2,8 +2,13 @@
 
 Two encoders give the ids of the tokenizers library. WordEncoder serves tasks that need a text's ids on the spot: it
 splits a text as the tokenizer's pre-tokenizer does and remembers the ids of words. encode_decode is the distinct-word
-table: words are split and counted in Spark, each word of the table is encoded once, and its ids are joined back by
-position; decoding joins ids to pieces.
+table:
+
+1. Texts are split, a slice of documents at a time; a slice keeps its distinct words and, for each place in its texts, which
+   of them stands there.
+2. The slices' words meet, sorted by word, so that each distinct word of the corpus is encoded once, where the run of its
+   rows begins, and its ids go back with each row.
+3. Each slice joins the ids to its places, and, to decode, the ids of its words to the pieces of the vocabulary.
 """
 
 from __future__ import annotations
@@ -16,20 +21,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import few_files, scratch, slices, table, texts
+from loam.llm.shared import table, texts, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SPECIAL = "<|endoftext|>"
-#: Characters that Java's, Python's regex and the tokenizers library's Unicode tables class alike (tests hold this). Texts
-#: with any other character are encoded whole by the library.
+#: Characters that Python's regex and the tokenizers library's Unicode tables class alike (tests hold this). Texts with any
+#: other character are split, or encoded whole, by the library.
 STABLE = r"\x{0}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FCB}\x{AC00}-\x{D7A3}\x{FF01}-\x{FF5E}\x{1F300}-\x{1F64F}"
-JAVA_UNSTABLE = f"[^{STABLE}]"
-#: The words of the table that go to every executor: at most so many, some 15 MB. Rarer words are encoded where they stand.
-TABLE_WORDS = 1 << 19
-#: Words that are put together at a time.
-SLICE_WORDS = 1 << 19
-#: Words that a WordEncoder remembers in each of two generations, some 50 MB.
-CACHE_WORDS = 1 << 18
+#: Words that a WordEncoder remembers in each of two generations, none longer than LONG characters: some 100 MB at most.
+CACHE_WORDS, LONG = 1 << 18, 64
+#: Characters of text after which a slice is closed.
+SLICE_CHARS = 1 << 22
 #: The Latin part of STABLE, and its letters, numbers and white space as the tokenizers library has them: most texts have
 #: nothing else, and plain character classes are quicker than Unicode properties.
 LATIN = r"\x{0}-\x{2AF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}"
@@ -42,13 +44,13 @@ def _py_class(java: str) -> str:
     return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
 
 
-def split_pattern(java: bool = False, latin: bool = False) -> str:
+def split_pattern(latin: bool = False) -> str:
     """The pre-tokenizer's pattern over a whole text; the special token is a word of its own and bounds its neighbours.
     The alternatives begin with different characters, so their order is free: frequent ones come first."""
     special = r"<\|endoftext\|>"
-    letter, number, space, flag = (LETTERS, NUMBERS, SPACES, "") if latin else (r"\p{L}", r"\p{N}", r"\s", "(?U)" if java else "")
+    letter, number, space = (LETTERS, NUMBERS, SPACES) if latin else (r"\p{L}", r"\p{N}", r"\s")
     other = rf"(?:(?!{special})[^{space}{letter}{number}])+"
-    return flag + rf" ?[{letter}]+| ?[{number}]+|{special}|'(?:[stmd]|ll|ve|re)| ?{other}|[{space}]+(?:(?![^{space}])|(?={special}))|[{space}]+"
+    return rf" ?[{letter}]+| ?[{number}]+|{special}|'(?:[stmd]|ll|ve|re)| ?{other}|[{space}]+(?:(?![^{space}])|(?={special}))|[{space}]+"
 
 
 @lru_cache(maxsize=4)
@@ -74,7 +76,9 @@ class WordEncoder(dict):
         self.tok, self.old = tokenizer(path), {}
         self.pieces = self.tok.model.tokenize
         self.added = {x["content"]: x["id"] for x in json.loads(self.tok.to_str())["added_tokens"]}
-        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.bytes = byte_alphabet()
+        self.letters = {b: c for c, b in self.bytes.items()}
+        self.between = re.compile("|".join(f"({re.escape(x)})" for x in self.added) or "(?!)").split
         self.find, self.find_latin = regex.compile(split_pattern()).findall, re.compile(split_pattern(latin=True)).findall
         self.beyond_latin, self.odd = (re.compile(f"[^{_py_class(x)}]").search for x in (LATIN, STABLE))
 
@@ -82,6 +86,8 @@ class WordEncoder(dict):
         out = self.old.get(word)
         if out is None:
             out = array("I", self.word(word)).tobytes()
+        if len(word) > LONG:
+            return out
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -94,6 +100,20 @@ class WordEncoder(dict):
             return [self.added[word]]
         return [p.id for p in self.pieces(word.encode().decode("latin-1").translate(self.letters))]
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text."""
+        if text.isascii() or not self.beyond_latin(text):
+            return self.find_latin(text)
+        if not self.odd(text):
+            return self.find(text)
+        out = []
+        for part in self.between(text):
+            if part in self.added:
+                out.append(part)
+            else:
+                out += [bytes(map(self.bytes.__getitem__, w)).decode() for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(part)]
+        return out
+
     def encode(self, text: str) -> bytes:
         if text.isascii() or not self.beyond_latin(text):
             return b"".join(map(self.__getitem__, self.find_latin(text)))
@@ -116,121 +136,131 @@ def word_encoder(path: str = BYTE_BPE) -> WordEncoder:
     return WordEncoder(path)
 
 
-def split_words(text):
-    """The words of a text as an array; null where the text has a character outside STABLE."""
-    return F.when(~F.rlike(text, F.lit(JAVA_UNSTABLE)), F.regexp_extract_all(text, F.lit(split_pattern(java=True)), F.lit(0)))
-
-
-def word_table(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS) -> DataFrame:
-    """word, ids: each distinct word that is frequent enough for `most` rows to hold all such words, encoded once."""
-    spark = docs.sparkSession
-    counts = docs.select(F.explode(split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    at = scratch(spark, "words")
-    few_files(counts).write.parquet(at)
-    counts = spark.read.schema("word string, n long").parquet(at)
-    # Some 150 steps of counts at most: how many words would a floor of each step keep?
-    step = F.floor(F.log2(F.col("n")) * 4)
-    steps = sorted(((int(r[0]), r[1]) for r in counts.groupBy(step.alias("s")).agg(F.count("*")).collect()), reverse=True)
-    floor, kept = None, 0
-    for s, n in steps:
-        if kept + n > most:
-            break
-        floor, kept = s, kept + n
-    chosen = counts.filter(step >= floor) if floor is not None else counts.limit(0)
-
-    def encode(batches):
-        import pyarrow as pa
+class _Numbered(dict):
+    def __missing__(self, key) -> int:
+        self[key] = out = len(self)
+        return out
 
-        encode_word = word_encoder(path).word
-        for batch in batches:
-            ids = [encode_word(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return chosen.select("word").mapInArrow(encode, "word string, ids array<int>")
+def split_slices(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
+    """slice, doc_ids, sizes, places, words: for each slice its documents, how many words each has, for all of these, one
+    after the other, the number of the word (zstd of unsigned 32-bit integers), and the words by number. A written table."""
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
 
-def encode_decode(docs: DataFrame, path: str = BYTE_BPE, most: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row.
+        split, kind = word_encoder(path).split, None
+        names, sizes, places, words, held = [], [], array("I"), _Numbered(), 0
 
-    Null text counts as empty (no ids, empty decoded text); repeated rows give repeated results; an empty table none.
-    """
-    spark = docs.sparkSession
-    base = texts(docs)
-    words = word_table(base, path, most).toArrow().combine_chunks()  # at most `most` rows
-    shared = spark.sparkContext.broadcast(_ipc(words))
+        def close():
+            blob = zstandard.ZstdCompressor(level=1).compress(np.frombuffer(places, np.uint32).reshape(-1, 1).view(np.uint8).T.tobytes())
+            lists = lambda x, t: pa.array([x], pa.list_(t))
+            return pa.RecordBatch.from_arrays([lists(names, kind), lists(sizes, pa.int32()), pa.array([blob], pa.binary()), lists(list(words), pa.string())], ["doc_ids", "sizes", "places", "words"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                own = split(text)
+                names.append(name)
+                sizes.append(len(own))
+                places.extend(map(words.__getitem__, own))
+                held += len(text)
+                if held >= SLICE_CHARS:
+                    yield close()
+                    names, sizes, places, words, held = [], [], array("I"), _Numbered(), 0
+        if names:
+            yield close()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = texts(docs).mapInArrow(run, f"doc_ids array<{kind}>, sizes array<int>, places binary, words array<string>")
+    return written(made.select(F.monotonically_increasing_id().alias("slice"), "*"), "slices")
+
+
+def word_ids(slices: DataFrame, path: str = BYTE_BPE) -> DataFrame:
+    """slice, at, word, ids: the distinct-word table. Rows of one word lie together, one for each slice that has it; each
+    word is encoded once for all of them."""
+    rows = slices.select("slice", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        held = _from_ipc(shared.value)
-        known = held.column("word").combine_chunks()
-        lists = held.column("ids").combine_chunks()
-        known_ids, known_at = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-        tok, encode_word = tokenizer(path), word_encoder(path).word
-        piece, text_of = _pieces(path)
-        for batch in (part for whole in batches for part in slices(whole, pc.list_value_length(whole.column(2)), SLICE_WORDS)):
-            texts_, lists_ = batch.column(1), batch.column(2)
-            flat = lists_.flatten().dictionary_encode()
-            mine = flat.dictionary
-            row = pc.index_in(mine, value_set=known)
-            rare = [encode_word(x) for x in mine.filter(pc.is_null(row)).to_pylist()]
-            # The ids of the batch's distinct words, those of the table first and then the rare ones.
-            at = np.concatenate([known_at[:-1], known_at[-1] + np.concatenate([[0], np.cumsum([len(x) for x in rare])[:-1]]).astype(np.int64) if rare else []]).astype(np.int64)
-            size = np.concatenate([np.diff(known_at), [len(x) for x in rare]]).astype(np.int64)
-            pool = np.concatenate([known_ids, np.array([i for x in rare for i in x], np.int32)])
-            place = row.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            place[place < 0] = len(known) + np.arange(len(rare))
-            # Ids back by position.
-            pos = place[flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(flat) else np.zeros(0, np.int64)
-            n = size[pos]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            ids = pool[np.repeat(at[pos] - ends[:-1], n) + np.arange(ends[-1])]
-            word_at = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pc.list_value_length(lists_).to_pylist()])]).astype(np.int64)
-            out_n, out_i, out_t = [], [], []
-            direct = pc.is_null(lists_).to_pylist()
-            for d in range(batch.num_rows):
-                own = np.array(tok.encode(texts_[d].as_py(), add_special_tokens=False).ids, np.int64) if direct[d] else ids[ends[word_at[d]] : ends[word_at[d + 1]]]
-                out_n.append(len(own))
-                own_list = own.tolist()
-                out_i.append(hashlib.sha256(",".join(map(text_of.__getitem__, own_list)).encode()).hexdigest())
-                out_t.append(hashlib.sha256(b"".join(map(piece.__getitem__, own_list)).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_n, pa.int64()), pa.array(out_i), pa.array(out_t)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    split = base.select("doc_id", "text", split_words(F.col("text")).alias("words"))
-    # The text itself is needed only where it wasn't split.
-    return split.select("doc_id", F.when(F.col("words").isNull(), F.col("text")), "words").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+        encode, last, ids = word_encoder(path).word, None, []
+        for batch in batches:
+            coded = batch.column(2).dictionary_encode()
+            mine = coded.dictionary.to_pylist()
+            # A run of rows may go on from the batch before.
+            known = [ids if i == 0 and w == last else encode(w) for i, w in enumerate(mine)]
+            if mine:
+                last, ids = mine[-1], known[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known, pa.list_(pa.int32())).take(coded.indices)], ["slice", "at", "word", "ids"])
 
-@lru_cache(maxsize=2)
-def _pieces(path: str):
-    """The id-to-piece table: the bytes of each id, and its decimal text."""
-    import json
+    return rows.mapInArrow(run, "slice long, at int, word string, ids array<int>")
 
-    vocab = json.loads(tokenizer(path).to_str())["model"]["vocab"]
-    added = {x["id"]: x["content"] for x in json.loads(tokenizer(path).to_str())["added_tokens"]}
-    byte = byte_alphabet()
-    pieces = {i: bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s, i in vocab.items()}
-    pieces |= {i: s.encode() for i, s in added.items()}
-    top = max(pieces) + 1
-    out = [pieces.get(i, b"") for i in range(top)]
-    return out, [str(i) for i in range(top)]
 
+def encode_decode(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row.
+
+    Null text counts as empty (no ids, empty decoded text); repeated rows give repeated results; an empty table none; other
+    columns are dropped.
+    """
+    split = split_slices(docs, path)
+    ids = word_ids(split, path).select("slice", "at", "ids")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-def _ipc(t) -> bytes:
+    def run(one, words):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        # The slice's words in order, with their ids.
+        words = words.take(pa.array(np.argsort(words.column("at").to_numpy()))).column("ids").combine_chunks()
+        flat, ends = words.flatten(), (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
+        shown, piece = list(map(str, flat.to_pylist())), _joined(flat, path)
+        size = np.diff(ends)
+        as_text = [",".join(shown[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        as_bytes = [b"".join(piece[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        names, counts, texts_ = [], [], []
+        decoded, doc_ids = [], []
+        for sizes, blob, own in zip(one.column("sizes").to_pylist(), one.column("places").to_pylist(), one.column("doc_ids").to_pylist()):
+            place = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            at = 0
+            for n in sizes:
+                mine = place[at : at + n]
+                at += n
+                counts.append(int(size[mine].sum()))
+                mine = mine.tolist()
+                texts_.append(hashlib.sha256(",".join(map(as_text.__getitem__, mine)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(as_bytes.__getitem__, mine)).decode("utf-8", "replace").encode()).hexdigest())
+            doc_ids += own
+        return pa.table([pa.array(doc_ids, one.column("doc_ids").type.value_type), pa.array(counts, pa.int64()), pa.array(texts_, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    left = split.select("slice", "doc_ids", "sizes", "places").groupBy("slice")
+    return left.cogroup(ids.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _joined(ids, path: str) -> list[bytes]:
+    """The pieces of ids, in order: a join of ids to the id-to-piece table, which is as small as the vocabulary."""
     import pyarrow as pa
 
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
+    places = pa.table({"id": ids.cast(pa.int32()), "at": pa.array(range(len(ids)), pa.int64())})
+    return places.join(pieces(path), "id", join_type="left outer").sort_by("at").column("piece").to_pylist()
 
 
-def _from_ipc(raw: bytes):
+@lru_cache(maxsize=2)
+def pieces(path: str = BYTE_BPE):
+    """The id-to-piece table: id, piece (bytes)."""
+    import json
+
     import pyarrow as pa
 
-    return pa.ipc.open_stream(raw).read_all()
+    whole = json.loads(tokenizer(path).to_str())
+    byte = byte_alphabet()
+    held = {i: bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s, i in whole["model"]["vocab"].items()}
+    held |= {x["id"]: x["content"].encode() for x in whole["added_tokens"]}
+    return pa.table({"id": pa.array(list(held), pa.int32()), "piece": pa.array(list(held.values()), pa.binary())})
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,11 +135,23 @@ def test_bpe(spark, texts, ids):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
-def test_bpe_small_table(spark, ids):
+def test_bpe_by_small_slices(spark, ids, monkeypatch):
     from loam.llm import bpe
 
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 3000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert {r.doc_id: r.n_tokens for r in bpe.encode_decode(docs, most=50).collect()} == {d: len(x) for d, x in ids[0].items()}
+    assert {r.doc_id: r.n_tokens for r in bpe.encode_decode(docs).collect()} == {d: len(x) for d, x in ids[0].items()}
+
+
+def test_each_distinct_word_is_encoded_once(spark, ids):
+    from loam.llm import bpe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = bpe.word_ids(bpe.split_slices(docs.repartition(5))).collect()
+    table = {r.word: r.ids for r in rows}
+    assert len({r.slice for r in rows}) > 1 and all(table[r.word] == r.ids for r in rows)
+    for word in list(table)[::50]:
+        assert table[word] == bpe.word_encoder().word(word)
 
 
 def test_fingerprints(spark, texts):

@@ -55,7 +55,7 @@ def test_words_and_shingles(texts):
         w = words_of(t)
         want.append([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else [])
     flat = [x for w in want for x in w]
-    assert m.tolist() == [len(w) for w in want] and len({*zip(s.tolist(), flat)}) == len(set(flat)) == len(set(s.tolist()))
+    assert m.tolist() == [len(w) for w in want] and len({*zip(s[:, 0].tolist(), flat)}) == len(set(flat)) == len(set(s[:, 0].tolist())) == len(set(s[:, 1].tolist()))
 
 
 @settings(max_examples=60, deadline=None)
@@ -109,3 +109,14 @@ def test_character_classes(latin):
     for c in chars if latin else chars[::41]:
         text = f"a{c}b 1{c}{c} z!{c} {c}9\n{c}"
         assert np.frombuffer(w.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_unusual_characters_are_split_by_the_library():
+    t, w = bpe.tokenizer(), bpe.WordEncoder()
+    stable = re.compile(f"[{bpe._py_class(bpe.STABLE)}]")
+    odd = [c for c in map(chr, range(1, 0x110000)) if not stable.match(c) and not 0xD800 <= ord(c) < 0xE000]
+    for c in odd[::1499]:
+        text = f"a{c}b 1{c}{c}<|endoftext|> z!{c}  {c}9\n{c}<|endoftext|><|endoftext|>'s"
+        words = w.split(text)
+        assert "".join(words) == text
+        assert [i for x in words for i in w.word(x)] == t.encode(text, add_special_tokens=False).ids, hex(ord(c))
