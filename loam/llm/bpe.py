@@ -4,24 +4,29 @@ Two encoders give the ids of the tokenizers library. WordEncoder serves tasks th
 splits a text as the tokenizer's pre-tokenizer does and remembers the ids of words. encode_decode is the distinct-word
 table:
 
-1. Texts are split, a slice of documents at a time; a slice keeps its distinct words and, for each place in its texts, which
-   of them stands there.
-2. The slices' words meet, sorted by word, so that each distinct word of the corpus is encoded once, where the run of its
-   rows begins, and its ids go back with each row.
+1. Texts are split, a slice of documents at a time. A slice keeps its distinct words, in the order of their buckets, and in a
+   side file, for each place in its texts, which of them stands there.
+2. The slices' words meet by bucket of their hash: a bucket has all rows of a word, so each distinct word of the corpus is
+   encoded once, and its ids go back to every slice that has it.
 3. Each slice joins the ids to its places, and, to decode, the ids of its words to the pieces of the vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import table, texts, written
+from loam.llm.shared import mapped, put_bytes, scratch, table, texts, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SPECIAL = "<|endoftext|>"
@@ -30,8 +35,8 @@ SPECIAL = "<|endoftext|>"
 STABLE = r"\x{0}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FCB}\x{AC00}-\x{D7A3}\x{FF01}-\x{FF5E}\x{1F300}-\x{1F64F}"
 #: Words that a WordEncoder remembers in each of two generations, none longer than LONG characters: some 100 MB at most.
 CACHE_WORDS, LONG = 1 << 18, 64
-#: Characters of text after which a slice is closed.
-SLICE_CHARS = 1 << 22
+#: Characters of text after which a slice is closed, and distinct words that a bucket is meant to hold at most.
+SLICE_CHARS, BUCKET_WORDS = 1 << 23, 1 << 18
 #: The Latin part of STABLE, and its letters, numbers and white space as the tokenizers library has them: most texts have
 #: nothing else, and plain character classes are quicker than Unicode properties.
 LATIN = r"\x{0}-\x{2AF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}"
@@ -67,7 +72,6 @@ class WordEncoder(dict):
     """text -> ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str = BYTE_BPE):
-        import json
         import re
 
         import regex
@@ -142,22 +146,40 @@ class _Numbered(dict):
         return out
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode())
+
+
+def squeezed(numbers) -> bytes:
+    """Unsigned 32-bit integers, bytes of equal significance together, by zstandard."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.asarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueezed(raw: bytes):
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def split_slices(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
-    """slice, doc_ids, sizes, places, words: for each slice its documents, how many words each has, for all of these, one
-    after the other, the number of the word (zstd of unsigned 32-bit integers), and the words by number. A written table."""
+    """slice, doc_ids, sizes, file, n, words: for each slice its documents, how many words each has, the file of places (for
+    the words of all documents, one after the other, the number of each), how many distinct words there are, and these, in
+    ascending order of their hashes. A written table."""
+    folder = scratch(docs.sparkSession, "places")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import zstandard
 
         split, kind = word_encoder(path).split, None
         names, sizes, places, words, held = [], [], array("I"), _Numbered(), 0
 
         def close():
-            blob = zstandard.ZstdCompressor(level=1).compress(np.frombuffer(places, np.uint32).reshape(-1, 1).view(np.uint8).T.tobytes())
+            mine = list(words)
+            order = np.argsort(np.fromiter(map(_hash, mine), np.uint64, len(mine)), kind="stable")
+            number = np.empty(len(mine), np.uint32)
+            number[order] = np.arange(len(mine), dtype=np.uint32)
+            file = put_bytes(f"{folder}/{os.getpid()}", [squeezed(number[np.frombuffer(places, np.uint32)])])
+            blob = zstandard.ZstdCompressor(level=1).compress(json.dumps([mine[i] for i in order], ensure_ascii=False).encode())
             lists = lambda x, t: pa.array([x], pa.list_(t))
-            return pa.RecordBatch.from_arrays([lists(names, kind), lists(sizes, pa.int32()), pa.array([blob], pa.binary()), lists(list(words), pa.string())], ["doc_ids", "sizes", "places", "words"])
+            return pa.RecordBatch.from_arrays([lists(names, kind), lists(sizes, pa.int32()), pa.array([file]), pa.array([len(mine)], pa.int64()), pa.array([blob], pa.binary())], ["doc_ids", "sizes", "file", "n", "words"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -175,29 +197,51 @@ def split_slices(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
             yield close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = texts(docs).mapInArrow(run, f"doc_ids array<{kind}>, sizes array<int>, places binary, words array<string>")
+    made = texts(docs).mapInArrow(run, f"doc_ids array<{kind}>, sizes array<int>, file string, n long, words binary")
     return written(made.select(F.monotonically_increasing_id().alias("slice"), "*"), "slices")
 
 
 def word_ids(slices: DataFrame, path: str = BYTE_BPE) -> DataFrame:
-    """slice, at, word, ids: the distinct-word table. Rows of one word lie together, one for each slice that has it; each
-    word is encoded once for all of them."""
-    rows = slices.select("slice", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    """slice, bucket, words, sizes, ids: the distinct-word table, a row for each slice and bucket of words (as JSON, by
+    zstandard) with how many ids each has, and these. A word has one bucket, and is encoded once for all slices."""
+    spark = slices.sparkSession
+    n = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_WORDS))
 
-    def run(batches):
+    def cut(batches):
         import pyarrow as pa
 
-        encode, last, ids = word_encoder(path).word, None, []
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
-            mine = coded.dictionary.to_pylist()
-            # A run of rows may go on from the batch before.
-            known = [ids if i == 0 and w == last else encode(w) for i, w in enumerate(mine)]
-            if mine:
-                last, ids = mine[-1], known[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known, pa.list_(pa.int32())).take(coded.indices)], ["slice", "at", "word", "ids"])
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = json.loads(zstandard.ZstdDecompressor().decompress(blob))
+                bucket = [_hash(w) * buckets >> 64 for w in words]
+                edges = [i for i in range(len(words)) if not i or bucket[i] != bucket[i - 1]] + [len(words)]
+                held = [pack(json.dumps(words[a:b], ensure_ascii=False).encode()) for a, b in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.int64()), pa.array([bucket[a] for a in edges[:-1]], pa.int32()), pa.array(held, pa.binary())], ["slice", "bucket", "words"])
+
+    def encode(batches):
+        import pyarrow as pa
+
+        class Table(dict):
+            def __missing__(self, word):
+                self[word] = out = array("I", encode_word(word))
+                return out
+
+        encode_word, last, known = word_encoder(path).word, None, Table()
+        for batch in batches:
+            sizes, ids = [], []
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != last:
+                    last, known = bucket, Table()
+                own = list(map(known.__getitem__, json.loads(zstandard.ZstdDecompressor().decompress(blob))))
+                sizes.append(squeezed([len(x) for x in own]))
+                ids.append(squeezed(np.frombuffer(b"".join(own), np.uint32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["slice", "bucket", "words", "sizes", "ids"])
 
-    return rows.mapInArrow(run, "slice long, at int, word string, ids array<int>")
+    rows = slices.select("slice", "words").mapInArrow(cut, "slice long, bucket int, words binary")
+    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(encode, "slice long, bucket int, words binary, sizes binary, ids binary")
 
 
 def encode_decode(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
@@ -207,37 +251,35 @@ def encode_decode(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     columns are dropped.
     """
     split = split_slices(docs, path)
-    ids = word_ids(split, path).select("slice", "at", "ids")
+    ids = word_ids(split, path).select("slice", "bucket", "sizes", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(one, words):
-        import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        # The slice's words in order, with their ids.
-        words = words.take(pa.array(np.argsort(words.column("at").to_numpy()))).column("ids").combine_chunks()
-        flat, ends = words.flatten(), (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
-        shown, piece = list(map(str, flat.to_pylist())), _joined(flat, path)
-        size = np.diff(ends)
+        # The slice's words by number: buckets ascend with the hashes, as the numbers do.
+        words = words.sort_by("bucket")
+        none = [np.zeros(0, np.uint32)]
+        size = np.concatenate(none + list(map(unsqueezed, words.column("sizes").to_pylist()))).astype(np.int64)
+        flat = np.concatenate(none + list(map(unsqueezed, words.column("ids").to_pylist())))
+        ends = np.concatenate([[0], np.cumsum(size)]).tolist()
+        shown, piece = list(map(str, flat.tolist())), _joined(flat, path)
         as_text = [",".join(shown[a:b]) for a, b in zip(ends[:-1], ends[1:])]
         as_bytes = [b"".join(piece[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-        names, counts, texts_ = [], [], []
-        decoded, doc_ids = [], []
-        for sizes, blob, own in zip(one.column("sizes").to_pylist(), one.column("places").to_pylist(), one.column("doc_ids").to_pylist()):
-            place = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            at = 0
+        doc_ids, counts, texts_, decoded = [], [], [], []
+        for sizes, file, own in zip(one.column("sizes").to_pylist(), one.column("file").to_pylist(), one.column("doc_ids").to_pylist()):
+            place, at = unsqueezed(bytes(mapped(file))), 0
+            doc_ids += own
             for n in sizes:
                 mine = place[at : at + n]
                 at += n
                 counts.append(int(size[mine].sum()))
                 mine = mine.tolist()
-                texts_.append(hashlib.sha256(",".join(map(as_text.__getitem__, mine)).encode()).hexdigest())
+                texts_.append(hashlib.sha256(",".join(filter(None, map(as_text.__getitem__, mine))).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(as_bytes.__getitem__, mine)).decode("utf-8", "replace").encode()).hexdigest())
-            doc_ids += own
         return pa.table([pa.array(doc_ids, one.column("doc_ids").type.value_type), pa.array(counts, pa.int64()), pa.array(texts_, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    left = split.select("slice", "doc_ids", "sizes", "places").groupBy("slice")
+    left = split.select("slice", "doc_ids", "sizes", "file").groupBy("slice")
     return left.cogroup(ids.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -245,15 +287,13 @@ def _joined(ids, path: str) -> list[bytes]:
     """The pieces of ids, in order: a join of ids to the id-to-piece table, which is as small as the vocabulary."""
     import pyarrow as pa
 
-    places = pa.table({"id": ids.cast(pa.int32()), "at": pa.array(range(len(ids)), pa.int64())})
+    places = pa.table({"id": pa.array(ids.astype(np.int32)), "at": pa.array(np.arange(len(ids)))})
     return places.join(pieces(path), "id", join_type="left outer").sort_by("at").column("piece").to_pylist()
 
 
 @lru_cache(maxsize=2)
 def pieces(path: str = BYTE_BPE):
     """The id-to-piece table: id, piece (bytes)."""
-    import json
-
     import pyarrow as pa
 
     whole = json.loads(tokenizer(path).to_str())

@@ -1,6 +1,7 @@
 """Operators against plain versions over sf0.001, and the SQL oracles."""
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 from loam.llm import queries
 
@@ -143,15 +145,22 @@ def test_bpe_by_small_slices(spark, ids, monkeypatch):
     assert {r.doc_id: r.n_tokens for r in bpe.encode_decode(docs).collect()} == {d: len(x) for d, x in ids[0].items()}
 
 
-def test_each_distinct_word_is_encoded_once(spark, ids):
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     from loam.llm import bpe
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = bpe.word_ids(bpe.split_slices(docs.repartition(5))).collect()
-    table = {r.word: r.ids for r in rows}
-    assert len({r.slice for r in rows}) > 1 and all(table[r.word] == r.ids for r in rows)
-    for word in list(table)[::50]:
-        assert table[word] == bpe.word_encoder().word(word)
+    monkeypatch.setattr(bpe, "BUCKET_WORDS", 500)
+    slices = bpe.split_slices(docs.repartition(5))
+    table, bucket_of = {}, {}
+    rows = bpe.word_ids(slices).collect()
+    for r in rows:
+        at = 0
+        flat = bpe.unsqueezed(r.ids).tolist()
+        for word, n in zip(json.loads(zstandard.decompress(r.words)), bpe.unsqueezed(r.sizes).tolist()):
+            assert table.setdefault(word, flat[at : at + n]) == flat[at : at + n] and bucket_of.setdefault(word, r.bucket) == r.bucket
+            at += n
+    assert len({r.slice for r in rows}) > 1 and len(set(bucket_of.values())) > 8 and len(table) > 1000
+    assert all(bpe.word_encoder().word(w) == x for w, x in table.items())
 
 
 def test_fingerprints(spark, texts):
