@@ -51,8 +51,15 @@ class Shard:
         self.bounds = EliasFano(raw, 48 + self.names.size)
         self.flat = np.frombuffer(raw, "<u2" if width == 2 else "<u4", self.ids, 48 + self.names.size + self.bounds.size)
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.names.all().astype(np.int64) + self.base).tolist()
+    def doc_ids(self, first: int = 0, end: int | None = None) -> list:
+        """The doc_ids of the documents from first to end, by select."""
+        end = self.docs if end is None else min(end, self.docs)
+        named = np.arange(max(first, self.nulls), end) - self.nulls
+        return [None] * max(0, min(end, self.nulls) - first) + (self.names.get(named).astype(np.int64) + self.base).tolist()
+
+    def starts(self, first: int, end: int):
+        """Where the documents from first to end start, and the last one ends, by select."""
+        return self.bounds.get(np.arange(first, min(end, self.docs) + 1)).astype(np.int64)
 
     def doc(self, i: int):
         """The ids of the i-th document of the shard, by select."""
@@ -104,7 +111,8 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer_path: str =
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. Null doc_ids come first, equal ones in the
+    order of their texts' hashes, an empty manifest gives no rows; documents without ids don't occur, all have an end."""
     # A row a shard: its first document starts after the ids of all shards before it.
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = written(manifest.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"), "part", "shard"), "offsets")
@@ -116,12 +124,10 @@ def read_store(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = Shard(uri)
-                at = s.bounds.all().astype(np.int64)
-                names = s.doc_ids()
                 for i in range(0, s.docs, 8192):
-                    cut = at[i : i + 8193]
+                    cut = s.starts(i, i + 8192)
                     crcs = [zlib.crc32(s.flat[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 8192], pa.int64()), pa.array(cut[:-1] + base), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(i, i + 8192), pa.int64()), pa.array(cut[:-1] + base), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
