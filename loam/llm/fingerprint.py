@@ -5,7 +5,8 @@ and a document's fingerprint is the sum of its pieces' vectors modulo powers of
 and the vector of a piece inserted or deleted is added or subtracted. The vector has two parts: 8 dense lanes modulo
 2^32, for equality, and 1024 sparse lanes modulo 2^8 of which a piece touches one, for likeness. Sparse lanes are 32 levels
 of 32; a piece's level is the number of trailing zeros of its hash, so each level holds half as many as the one before,
-and no text has too many pieces for the last. Lanes in use are written as number and value, five hex digits together.
+and no text has too many pieces for the last. Lanes other than 0 are written as number and value, five hex digits
+together. inserted() and deleted() add and subtract fingerprints lane by lane.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from loam.llm.shared import table, texts
 
 DENSE, LEVELS, LANES = 4, 32, 32
-#: Likeness is read from the first level of which at most this many lanes are in use, and those above.
+#: Likeness is read from the first level of which at most this many lanes are other than 0, and those above.
 FEW = 20
 PIECES = r" (?<=[.!?] )|(?<=\n)"
 
@@ -64,7 +65,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def summed(rows: DataFrame, keys: list[str], units: str) -> DataFrame:
-    """For each of the keys dense (8 lanes), used (lanes in use, ascending, each as number * 256 + value) and few, the
+    """For each of the keys dense (8 lanes), used (lanes other than 0, ascending, each as number * 256 + value) and few, the
     level from which likeness is read. rows: keys and an array of pieces."""
     h = F.xxhash64("piece")
     some = F.col("piece").isNotNull()
@@ -82,8 +83,8 @@ def summed(rows: DataFrame, keys: list[str], units: str) -> DataFrame:
     )
     by_slot = split.groupBy(*keys, "slot").agg(F.sum("v").alias("v"), *[F.sum(d).alias(d) for d in lanes])
     v = (F.col("v") % 256).cast("int")
-    at = [F.count_if((F.col("slot") >= j * LANES) & (F.col("slot") < (j + 1) * LANES)).alias(f"c{j}") for j in range(LEVELS - 1)]
-    whole = by_slot.groupBy(*keys).agg(F.collect_list(F.when(F.col("slot").isNotNull(), F.col("slot") * 256 + v)).alias("used"), *[F.sum(d).alias(d) for d in lanes], *at)
+    at = [F.count_if((v != 0) & (F.col("slot") >= j * LANES) & (F.col("slot") < (j + 1) * LANES)).alias(f"c{j}") for j in range(LEVELS - 1)]
+    whole = by_slot.groupBy(*keys).agg(F.collect_list(F.when(F.col("slot").isNotNull() & (v != 0), F.col("slot") * 256 + v)).alias("used"), *[F.sum(d).alias(d) for d in lanes], *at)
     few = F.coalesce(*[F.when(F.col(f"c{j}") <= FEW, j) for j in range(LEVELS - 1)], F.lit(LEVELS - 1))
     return whole.select(*keys, F.array(*[F.col(d) % (1 << 32) for d in lanes]).alias("dense"), F.array_sort("used").alias("used"), few.alias("few"))
 
@@ -93,6 +94,31 @@ def as_hex(dense, used):
     return F.concat(F.array_join(F.transform(dense, lambda x: pad(x, 8)), ""), F.lit("."), F.array_join(F.transform(used, lambda x: pad(x, 5)), ""))
 
 
+def _merged(a, b, sign: int):
+    """The fingerprint whose lanes are those of a plus, or minus, those of b."""
+    number = lambda col, at, n: F.conv(F.substring(col, at, F.lit(n)), 16, 10).cast("long")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(2 * DENSE - 1)), lambda i: F.pmod(number(a, i * 8 + 1, 8) + sign * number(b, i * 8 + 1, 8), F.lit(1 << 32)))
+
+    def lanes(col):
+        listed = F.substring_index(col, ".", -1)
+        each = F.transform(F.when(listed != "", F.sequence(F.lit(0), F.floor(F.length(listed) / 5).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda i: number(listed, i * 5 + 1, 5))
+        return F.map_from_entries(F.transform(each, lambda x: F.struct(F.floor(x / 256), x % 256)))
+
+    held = F.map_zip_with(lanes(a), lanes(b), lambda k, x, y: F.pmod(F.coalesce(x, F.lit(0)) + sign * F.coalesce(y, F.lit(0)), F.lit(256)))
+    used = F.array_sort(F.transform(F.filter(F.map_entries(held), lambda e: e.value != 0), lambda e: e.key * 256 + e.value))
+    return as_hex(dense, used)
+
+
+def inserted(fingerprint, part):
+    """The fingerprint of a text with more pieces in it: part is the fingerprint of these. Null if either is."""
+    return _merged(fingerprint, part, 1)
+
+
+def deleted(fingerprint, part):
+    """The fingerprint of a text without some of its pieces: part is the fingerprint of these. Null if either is."""
+    return _merged(fingerprint, part, -1)
+
+
 def likeness(used_a, few_a, used_b, few_b):
     """0 to 1: equal lanes among the lanes in use, from the first level on where both texts use few; an estimate of the
     share of pieces that the two have in common."""
