@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from loam.llm.shared import crc_mod, table
 
-#: What the dictionaries are fitted on: for each language, in each of BUCKETS buckets of documents (by hash), the
-#: SAMPLE_DOCS rows of least hash, SAMPLE_CHARS characters from the start of each. At most 128 KB of text a language.
-BUCKETS, SAMPLE_DOCS, SAMPLE_CHARS = 32, 2, 2000
+#: What the dictionaries are fitted on, a bounded sample of whole labelled rows: of the texts of at most ROW_BYTES bytes, in
+#: each of BUCKETS buckets (by hash) the SAMPLE_ROWS different ones of least hash, and of these, by hash, as many as fit
+#: LANG_BYTES bytes a language.
+BUCKETS, SAMPLE_ROWS, ROW_BYTES, LANG_BYTES = 32, 4, 1 << 13, 1 << 17
 #: Texts are compressed in blocks of so many bytes, so that a text's own beginning doesn't stand in for the dictionary.
 BLOCK = 4096
 #: A lazy match finder of small tables: deep enough to find words of the dictionary, quick enough for every language.
@@ -27,15 +28,29 @@ HELD_OUT = (4, 2)
 
 
 def fit(labelled: DataFrame, seed: int = 0) -> dict[str, bytes]:
-    """lang -> dictionary content, from rows of text and lang. Rows without text, letters or lang teach nothing."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit(seed), F.substring("text", 1, SAMPLE_CHARS)).alias("h"))
-    rows = rows.withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    w = Window.partitionBy("lang", "b").orderBy("h", "text")
-    taken = rows.dropDuplicates(["lang", "b", "h"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_DOCS)
+    """lang -> dictionary content, from rows of text and lang. Rows without text, letters or lang teach nothing, nor do texts
+    of more than ROW_BYTES bytes; equal texts of a language count once; an empty table teaches no language."""
+    telling = F.col("lang").isNotNull() & (F.octet_length("text") <= ROW_BYTES) & F.rlike("text", F.lit(r"\p{L}"))
+    rows = labelled.filter(telling).select("lang", "text", F.xxhash64(F.lit(seed), F.col("text")).alias("h"))
+    w = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h")
+    # Hashes alone are shuffled; the texts of the sampled ones are fetched.
+    chosen = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_ROWS)
+    taken = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     found: dict[str, list] = {}
-    for r in taken.select("lang", "h", "text").collect():  # BUCKETS * SAMPLE_DOCS rows a language
+    for r in taken.collect():  # at most BUCKETS * SAMPLE_ROWS rows of ROW_BYTES a language
         found.setdefault(r.lang, []).append((r.h, r.text))
-    return {lang: "\n".join(t for _, t in sorted(rows)).lower().encode() for lang, rows in sorted(found.items())}
+    return {lang: _within(sorted(rows)) for lang, rows in sorted(found.items())}
+
+
+def _within(rows: list[tuple[int, str]]) -> bytes:
+    """The texts, lower-cased, a line each, that fit LANG_BYTES: one that doesn't is passed over."""
+    out, size = [], 0
+    for _, text in rows:
+        raw = text.lower().encode()
+        if size + len(raw) + 1 <= LANG_BYTES:
+            out.append(raw)
+            size += len(raw) + 1
+    return b"\n".join(out)
 
 
 def different(raw: bytes) -> bytes:
