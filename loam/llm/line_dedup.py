@@ -1,9 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame operations only).
 
 State is a set of runs: Parquet tables of (h1, h2, n), sorted by hash, n being the number of documents that hold a line.
-A new batch is reduced to its distinct line hashes, anti-joined against what the compacted runs already have over the
-threshold (those lines need no more counting) and written as a run of level 0. When a level holds `fanout` runs they are
-merged into one run of the next level.
+A new batch is reduced to its distinct line hashes and their counts, merge-anti-joined with what all runs together have
+over the threshold (those lines need no more counting) and written as a run of level 0. When a level holds `fanout` runs
+they are merged into one run of the next level.
+
+Texts are parsed once into a table of line hashes with their places; the batches, and later the places of the lines that
+go, are read from it. What stays of a text is put together from the stretches between the places that go.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import ascii_lower, few_files, scratch, table, texts
+from loam.llm.shared import ascii_lower, few_files, scratch, spare, table, texts, written
 
 #: Hashes of lines over the threshold are broadcast up to this many rows (16 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 200_000
@@ -24,18 +27,28 @@ def line_key(line):
 
 def key_hash(key):
     """128 bits; the two halves come from different seeds."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(77), key).alias("h2"))
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(77), key).alias("h2")]
+
+
+def lines_of(text):
+    return F.split(text, "\n", -1)
 
 
-def doc_lines(docs: DataFrame) -> DataFrame:
-    """Every text with its lines and row, a hash that need not be unique: rows that share it only share look-ups."""
-    return docs.select("*", F.split("text", "\n", -1).alias("lines"), F.xxhash64("doc_id", "text").alias("row"))
+def row_hash(doc_id: str = "doc_id", text: str = "text"):
+    """128 bits of a row. Rows that share them have the same doc_id and text, and so the same lines to lose."""
+    return [F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(F.lit(77), text, doc_id).alias("r2")]
 
 
-def line_hashes(lines: DataFrame, *cols: str) -> DataFrame:
-    """One row for each distinct non-empty key of each document."""
-    keys = F.array_distinct(F.transform("lines", line_key))
-    return lines.select(*cols, F.explode(keys).alias("key")).filter(F.length("key") > 0).select(*cols, F.inline(F.array(key_hash(F.col("key")))))
+def line_places(docs: DataFrame) -> DataFrame:
+    """r1, r2, h1, h2, place, first: each line of at least one character of each row of docs (doc_id, text) by the hash of
+    its key, with its place in the text and whether it is the first of its key there."""
+    keyed = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("place")))
+    hashed = F.transform(F.filter(keyed, lambda x: x.key != ""), lambda x: F.struct(*key_hash(x.key), x.place.alias("place")))
+    # Sorted, equal keys are neighbours.
+    rows = docs.select(*row_hash(), F.array_sort(hashed).alias("ls"))
+    before = lambda i: F.get("ls", i - 1)
+    marked = F.transform("ls", lambda x, i: F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.place.alias("place"), ((i == 0) | (x.h1 != before(i).h1) | (x.h2 != before(i).h2)).alias("first")))
+    return rows.select("r1", "r2", F.inline(marked))
 
 
 class LineRuns:
@@ -51,54 +64,53 @@ class LineRuns:
         """What another session needs to go on: LineRuns(spark, state=...)."""
         return {"root": self.root, "levels": self.levels, "made": self.made}
 
-    def _write(self, runs: DataFrame, kind: str) -> str:
+    def _write(self, runs: DataFrame) -> str:
         self.made += 1
-        path = f"{self.root}/{kind}-{self.made}"
+        path = f"{self.root}/run-{self.made}"
         few_files(runs).sortWithinPartitions("h1", "h2").write.parquet(path)
         return path
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
-
-    def _unsettled(self, counts: DataFrame) -> DataFrame:
-        """counts without the lines that a compacted run has over the threshold: they need no more counting."""
-        compacted = [p for level, paths in self.levels.items() if level for p in paths]
-        if not compacted:
-            return counts
-        settled = self._read(compacted).filter(F.col("n") >= self.min_docs).select("h1", "h2")
-        return counts.join(bounded(settled)[0], ["h1", "h2"], "left_anti")
+    def counts(self) -> DataFrame:
+        """h1, h2, n of all lines that the runs hold, merged. A line counted off once it had reached min_docs stays so."""
+        runs = [p for paths in self.levels.values() for p in paths]
+        held = self.spark.read.schema("h1 long, h2 long, n long")
+        return (held.parquet(*runs) if runs else self.spark.createDataFrame([], "h1 long, h2 long, n long")).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def add(self, docs: DataFrame) -> None:
-        """One batch of documents becomes one run of level 0; full levels are compacted."""
-        counts = line_hashes(doc_lines(texts(docs))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        self.levels.setdefault(0, []).append(self._write(self._unsettled(counts), "run"))
+        """One batch of documents (doc_id, text) becomes one run of level 0; full levels are compacted. An empty batch
+        becomes an empty run; null texts count as empty and have no lines to count."""
+        self.add_lines(line_places(texts(docs)))
+
+    def add_lines(self, places: DataFrame) -> None:
+        """add() for a batch that line_places() gave."""
+        fresh = places.filter("first").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+        if self.levels:
+            # Both sides by hash and in its order: a merge.
+            fresh = fresh.join(self.frequent().hint("merge"), ["h1", "h2"], "left_anti")
+        self.levels.setdefault(0, []).append(self._write(fresh))
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             self.compact(level)
             level += 1
 
     def unseen(self, docs: DataFrame) -> DataFrame:
-        """(h1, h2) of the lines of docs that no run holds yet: a merge-anti-join against all runs."""
-        fresh = line_hashes(doc_lines(texts(docs))).select("h1", "h2").distinct()
-        for path in (p for paths in self.levels.values() for p in paths):
-            fresh = fresh.join(self._read([path]), ["h1", "h2"], "left_anti")
-        return fresh
+        """(h1, h2) of the lines of docs that no run holds yet; without lines or documents, none."""
+        fresh = line_places(texts(docs)).select("h1", "h2").distinct()
+        return fresh.join(self.counts().hint("merge"), ["h1", "h2"], "left_anti")
 
     def compact(self, level: int) -> None:
         paths = self.levels.pop(level)
-        merged = self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        self.levels.setdefault(level + 1, []).append(self._write(merged, "run"))
+        merged = self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        self.levels.setdefault(level + 1, []).append(self._write(merged))
 
     def frequent(self) -> DataFrame:
         """(h1, h2) of all lines that at least min_docs documents hold."""
-        runs = [p for paths in self.levels.values() for p in paths]
-        return self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.min_docs).select("h1", "h2")
+        return self.counts().filter(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
-def bounded(hashes: DataFrame) -> tuple[DataFrame, int]:
-    """Broadcast after its rows were counted and found few, else as it is; and the count up to the bound."""
-    n = hashes.limit(BROADCAST_ROWS + 1).count()
-    return (F.broadcast(hashes) if n <= BROADCAST_ROWS else hashes), n
+def bounded(hashes: DataFrame) -> DataFrame:
+    """Broadcast after its rows were counted and found few, else as it is."""
+    return F.broadcast(hashes) if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hashes
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
@@ -109,17 +121,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, fanout: i
     that loses every line becomes empty; repeated rows count as documents of their own; an empty table gives no rows.
     The documents arrive as `batches` batches by hash, as they would day by day; the result doesn't depend on that.
     """
-    base = docs.drop("lines", "row", "hits", "kept_text", "n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
+    base = docs.drop("kept_text", "n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
+    places = written(line_places(base.select("doc_id", "text")), "line-places")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
-    batch = F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(batches))
+    batch = F.pmod(F.xxhash64("r1", "r2"), F.lit(batches))
     for b in range(batches):
-        runs.add(base.filter(batch == b))
-    frequent, _ = bounded(runs.frequent())
-    lines = doc_lines(base)
-    hits = line_hashes(doc_lines(texts(base)), "row").join(frequent, ["h1", "h2"]).groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
-    held = lines.join(hits, "row", "left")
-    keep = F.when(F.col("hits").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.length(line_key(x)) == 0) | ~F.array_contains(F.col("hits"), key_hash(line_key(x)))))
-    return held.withColumn("kept", keep).select(*base.columns, F.concat_ws("\n", "kept").alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
+        runs.add_lines(places.filter(batch == b))
+    r1, r2, gone = (spare(base, x) for x in ("r1", "r2", "gone"))
+    # Repeated rows have one set of places.
+    hits = places.join(bounded(runs.frequent()), ["h1", "h2"]).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+    named = hits.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("gone").alias(gone))
+    one, two = row_hash()
+    held = base.withColumns({r1: one, r2: two}).join(named, [r1, r2], "left")
+    lines = lines_of(F.col("text"))
+    none = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+    # Stretches between the places that go: before the first, after each one up to the next, and after the last.
+    start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(gone, j - 1) + 1)
+    end = lambda j: F.coalesce(F.get(gone, j), F.size(lines))
+    stretches = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.slice(lines, start(j) + 1, end(j) - start(j)))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.flatten(stretches)))
+    return held.select(*base.columns, kept.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.size(none).cast("long").alias("n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
