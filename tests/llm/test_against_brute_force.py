@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 import zstandard
 
+import plain
 from loam.llm import queries
 
 SF = "/root/testdata/sf0.001"
@@ -107,6 +109,18 @@ def test_language(spark):
     assert sum(r.rejected for r in out) / len(out) < 0.03
 
 
+def test_language_by_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    out = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    books = plain.dictionaries((r.text, r.lang) for r in rows if not out(r.doc_id))
+    got = {r.doc_id: r for r in queries.QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows) and all(len(x) > 50_000 for x in books.values())
+    for r in rows[::3]:
+        lang, score, bad = plain.language(r.text, books)
+        mine = got[r.doc_id]
+        assert (mine.held_out, mine.lang_pred, mine.rejected) == (out(r.doc_id), lang, bad) and math.isclose(mine.score, score, abs_tol=1e-12)
+
+
 def test_packing(spark, ids):
     from loam.llm import packing
 
@@ -166,19 +180,43 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
 def test_fingerprints(spark, texts):
     order = sorted(texts, reverse=True)
     got = {r.doc_id: r for r in queries.QUERIES["op9_fingerprints"](spark, SF).collect()}
-    prints = defaultdict(set)
     for i, d in enumerate(order):
         t, after = texts[d], texts[order[(i + 1) % len(order)]]
         h = len(t) // 2
         edited = t[: len(t) - h] + after[:h]
-        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        prints[t].add(got[d].fingerprint)
-        assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
-    assert all(len(p) == 1 for p in prints.values()) and len(set().union(*prints.values())) == len(prints)
+        x, y, z = plain.lanes(t), plain.lanes(edited), plain.lanes(after)
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), plain.sha(edited))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain.fingerprint(*x), plain.fingerprint(*y))
+        assert math.isclose(r.near_edited, plain.likeness(x, y)) and math.isclose(r.near_next, plain.likeness(x, z))
+    prints = defaultdict(set)
+    for d in order:
+        prints[texts[d]].add(got[d].fingerprint)
+    assert len(set().union(*prints.values())) == len(prints)
     better = [got[d].near_edited > got[d].near_next for d in order if len(texts[d]) > 500]
     assert sum(better) / len(better) > 0.9
 
 
+def test_fingerprints_add_and_subtract(spark):
+    """Pieces put in or taken out, in any order, by the fingerprints alone."""
+    from loam.llm import fingerprint
+
+    rng = random.Random(9)
+    pieces = [f"piece {i}.\n" for i in range(400)]
+    rows = []
+    for i in range(60):
+        whole = rng.choices(pieces, k=rng.randrange(0, 90))
+        cut = rng.randrange(len(whole) + 1)
+        mixed = list(whole)
+        rng.shuffle(mixed)
+        rows.append((i, "".join(whole[:cut]), "".join(whole[cut:]), "".join(mixed)))
+    docs = spark.createDataFrame(rows, "doc_id int, a string, b string, ab string")
+    prints = {c: fingerprint.fingerprints(docs, c, "doc_id").withColumnRenamed("fingerprint", c) for c in ("a", "b", "ab")}
+    both = prints["a"].join(prints["b"], "doc_id").join(prints["ab"], "doc_id")
+    out = both.select("*", fingerprint.inserted("a", "b").alias("sum"), fingerprint.deleted("ab", "b").alias("rest")).collect()
+    assert len(out) == 60 and all(r["sum"] == r.ab and r.rest == r.a for r in out) and len({r.ab for r in out}) > 50
+
+
 def test_fingerprint_is_a_sum(spark):
     from loam.llm import fingerprint
 
@@ -295,21 +333,55 @@ def test_topk_sends_few_blocks(spark, monkeypatch):
     assert {(r.query_id, r.rank): r.score for r in rows} == {(q, i + 1): int(x) for q in range(0, 4096, 50) for i, x in enumerate(np.sort(np.delete(w @ w[q], q))[::-1][:5])}
 
 
-def test_pipeline(spark):
-    """The stages' decisions take effect, each on what its predecessor kept."""
+def test_pipeline(spark, ids):
+    """Each stage against a plain version, on what its predecessor kept."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    columns = docs.columns
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, columns = docs.collect(), docs.columns
+    named = dict(p.STAGES)
+    assert list(named) == ["language_id", "line_dedup", "near_dedup", "packing"]
+
+    def after(name, held):
+        out = named[name](spark, held, SF)
+        assert out.columns == columns
+        return out.cache(), {r.doc_id: r for r in out.collect()}
+
+    books = plain.dictionaries((r.text, r.lang) for r in rows)
+    said = {r.doc_id: plain.language(r.text, books) for r in rows}
+    kept, got = after("language_id", docs)
+    assert {d: r.lang for d, r in got.items()} == {d: lang for d, (lang, _, bad) in said.items() if not bad}
+    order = sorted(got)
+    want = dict(zip(order, plain.without_lines([got[d].text or "" for d in order])))
+    kept, got = after("line_dedup", kept)
+    assert {d: (r.text, r.n_chars) for d, r in got.items()} == {d: (t, len(t)) for d, t in want.items()}
+    first = plain.groups([want[d] for d in order])
+    kept, got = after("near_dedup", kept)
+    assert sorted(got) == [d for i, d in enumerate(order) if first[i] == i] and len(got) < len(order)
+    packed = named["packing"](spark, kept, SF).collect()
+    x = {d: [*ids[1].encode(r.text, add_special_tokens=False).ids, 0] for d, r in got.items()}
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed) == sorted((d, a, n, crc(t[a : a + n])) for d, t in x.items() for a, n in placed(len(t)))
+    run = p.run(spark, SF)
+    assert sorted(map(tuple, run.drop("sequence_id", "offset").collect())) == sorted(tuple(r[:5]) for r in packed)
+
+
+def placed(n):
+    first = n % 2048 or 2048
+    return [(0, first)] + [(a, 2048) for a in range(first, n, 2048)]
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and doc_ids, extra columns, an empty table, a table in which nothing can be learned."""
+    import corpus_pipeline as p
+
+    text = "the water of the gate is the water of the house and the door of the house"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (4, text, "en", "b"), (4, "eine andere Zeile mit ganz anderen Wörtern und noch mehr davon", "de", "b"), (None, text, "en", None), (7, None, None, None), (8, "", "en", "c"), (9, "12 34", "en", "c")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, r1 string, gone int")
     kept = docs
-    counts = [docs.count()]
     for name, stage in p.STAGES[:-1]:
-        kept = stage(spark, kept, "/root/testdata/sf0.001").cache()
-        assert kept.columns == columns, name
-        counts.append(kept.count())
-    assert counts[0] * 0.7 < counts[3] <= counts[2] == counts[1] <= counts[0]
-    from loam.llm import near_dedup
-
-    assert near_dedup.near_duplicates(kept).filter("NOT kept").count() == 0
-    rows = p.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001")
-    assert rows.select("doc_id").distinct().count() == counts[-1]
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.lang) for r in kept.collect()), key=str) == [(1, "en"), (4, "de"), (None, "en")]
+    assert p.STAGES[-1][1](spark, kept, SF).count() == 3 and p.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+    assert p.STAGES[0][1](spark, docs.withColumn("lang", docs.lang.substr(1, 0)).filter("lang IS NULL"), SF).count() == 0

@@ -20,7 +20,7 @@ ROWS = [
     (8, "12345 67890 !!", "en"),
     (2**40, "x", None),
 ]
-CLASH = "row lines hits bucket rn th n node score rank tie part words key file length piece kept lang_pred rejected rendered spans base start h c k1 bands comp q v run block".split()
+CLASH = "r1 r2 gone place first offset part deal slice sizes words file i row lines hits bucket rn th n node score rank tie key length piece kept lang_pred rejected rendered spans base start h c k1 bands comp q v run block".split()
 
 
 def clashing(df):
@@ -77,7 +77,9 @@ def test_language_results(docs):
 def test_line_results(docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(docs, 2).collect()}
     assert out[4].n_dropped == 1 and out[4].kept_text == "" and out[1].n_lines == 1 and out[1].n_dropped == 0
-    assert out[3].kept_text == " \n\t\n" and out[6].kept_text == LONG and out[6].source if "source" in out[6] else True
+    assert out[3].kept_text == " \n\t\n" and out[6].kept_text == LONG
+    assert out[6].row == out[6].lines == out[6].hits == "clash" and out[None].kept_text == "null id" and out[2].kept_text == ""
+    assert out[7].n_lines == 1 and out[7].kept_text == ROWS[8][1]
 
 
 def test_chat(spark):
@@ -90,7 +92,22 @@ def test_chat(spark):
     for span in r.spans.split(","):
         a, b = map(int, span.split("-"))
         assert r.rendered[a:b] == "a < |end| > b<|end|>"
-    assert out[(3, "amy")].part == 4 and chat.rotate(d.limit(0)).count() == 0
+    assert out[(3, "amy")].part == out[(3, "amy")].offset == 0 and chat.rotate(d.limit(0)).count() == 0
+
+
+def test_long_dialogues_come_in_parts(spark):
+    """The parts of a dialogue, put together, are the dialogue; none is much longer than it may be."""
+    rows = [(c, t if t % 7 else None, r, f"turn {t} of {c}" * (t % 4)) for c, n in ((1, 300), (None, 90), (3, 2)) for t in range(n) for r in ("amy", "bob", "system")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {(r.conv_id, r.speaker): r for r in chat.rotate(d).collect()}
+    parts = sorted(chat.rotate(d, part_chars=3000).collect(), key=lambda r: (str(r.conv_id), r.speaker, r.part))
+    assert len(whole) == 6 and len(parts) > 40
+    for key, r in whole.items():
+        mine = [p for p in parts if (p.conv_id, p.speaker) == key]
+        assert "".join(p.rendered for p in mine) == r.rendered and sum(p.n_turns for p in mine) == r.n_turns
+        spans = [f"{a + p.offset}-{b + p.offset}" for p in mine for a, b in (map(int, s.split("-")) for s in p.spans.split(",") if s)]
+        assert ",".join(spans) == r.spans
+    assert max(len(p.rendered) for p in parts) < 3200
 
 
 def test_vectors(spark):
