@@ -1,15 +1,17 @@
 """MinHash near-dedup with odd sketches.
 
-1. Every text becomes a sketch: the size and hash of its set of shingles, MinHash bands, and an odd sketch: the least hash
-   in each of BINS bins, folded into a bitmap by parity, so that the ones in the exclusive or of two bitmaps tell how many
-   samples differ. Equal sets are one class from here on.
+1. Every text becomes a sketch: the size and hash of its set of shingles, MinHash bands, and an odd sketch: MinHash samples
+   folded into a bitmap by parity, so that the ones in the exclusive or of two bitmaps tell how many samples differ. The
+   samples are the whole set where it is small (any permutation's least SMALL hashes), else the least hash in each of BINS
+   bins. Equal sets are one class from here on.
 2. Classes that share a band are candidates. A bucket may hold any number of them, so its members are first compared
    with one member, the bucket's hub; each class goes on with the hub that its odd sketch says is nearest. What is linked
    so forms components. Then the members outside a bucket's largest component are compared with all others that are
    still apart from them, so no candidate link between components is lost, and no pair within one is made. Members meet
    only others of like size, and a bucket that would make too many pairs is dealt to several keys.
-3. A candidate goes on only if the sizes allow the similarity and the odd sketches are within FAR standard deviations of
-   it; it is then confirmed on the full sets of shingles, word by word and not by hash.
+3. A candidate goes on only if the sizes and the odd sketches allow the similarity: those of whole sets can't err, as there
+   are never more ones than differing shingles; those of samples have to be within FAR standard deviations of it. It is
+   then confirmed on the full sets of shingles, word by word and not by hash.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 #: Samples and bits of the odd sketch; and how far under the threshold, in standard deviations, an estimate may be.
 BINS, BITS, FAR = 1 << 10, 1 << 11, 5
+#: Sets of at most so many shingles are sampled whole. Those of more than three quarters of it are sampled by bins, so that
+#: any two that may be linked have one kind of sketch in common.
+SMALL = 1 << 10
 #: Rounds of comparisons with hubs.
 HUBS = 2
 #: Pairs that a key of the last comparison may make before its bucket is dealt to more keys.
@@ -41,7 +46,7 @@ _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
 #: What is known of a class without its text.
-SKETCH = ["n", "filled", "odd"]
+SKETCH = ["n", "odd", "filled", "bins"]
 
 
 def differing(ones: int) -> float:
@@ -49,7 +54,18 @@ def differing(ones: int) -> float:
     return -BITS / 2 * math.log(max(1 - 2 * ones / BITS, 1e-9))
 
 
+def bitmaps(doc, bit, docs: int):
+    """Of each text the parities of its bits, as longs."""
+    parity = np.bincount(doc * BITS + bit.astype(np.int64), minlength=docs * BITS) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(np.int64)
+
+
 def odd_sketch(s, n):
+    """Bitmaps of the whole sets of texts, whose different shingle hashes s lie one after the other, n a text."""
+    return bitmaps(np.repeat(np.arange(len(n)), n), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(BITS - 1), len(n))
+
+
+def binned_sketch(s, n):
     """(samples, bitmaps) of texts whose shingle hashes s lie one after the other, n a text."""
     docs = len(n)
     owner = np.repeat(np.arange(docs, dtype=np.uint64), n)
@@ -60,21 +76,22 @@ def odd_sketch(s, n):
     least = key[np.concatenate([[True], slot[1:] != slot[:-1]])] if len(key) else key
     doc = (least >> np.uint64(44)).astype(np.int64)
     bit = mix(least & np.uint64((1 << 44) - 1)) & np.uint64(BITS - 1)
-    parity = np.bincount(doc * BITS + bit.astype(np.int64), minlength=docs * BITS) & 1
-    return np.bincount(doc, minlength=docs), np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(np.int64)
+    return np.bincount(doc, minlength=docs), bitmaps(doc, bit, docs)
 
 
 def sketch(texts: list[bytes]):
-    """For each text: set size, two set hashes, bands, samples of the odd sketch and its bitmap."""
+    """For each text: set size, two set hashes, bands, odd sketch of the whole set, samples by bins and their odd sketch."""
     lanes, n = shingles(texts, WORDS)
     s = np.ascontiguousarray(lanes[:, 0])
     docs = len(texts)
     size, k1, k2 = np.zeros(docs, np.int64), np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
     bands = np.zeros((docs, BANDS), np.uint64)
     at = np.concatenate([[0], np.cumsum(n)])
+    sets = [s[:0]] * docs
     for i in np.flatnonzero(n):
         u, row = np.unique(s[at[i] : at[i + 1]], return_index=True)
         size[i], k1[i], k2[i] = len(u), mix(u).sum(dtype=np.uint64), mix(lanes[at[i] + row, 1]).sum(dtype=np.uint64)
+        sets[i] = u
     some = np.flatnonzero(n)
     if len(some):
         h, starts = (s >> np.uint64(32)).astype(np.uint32), at[:-1][some]
@@ -86,25 +103,36 @@ def sketch(texts: list[bytes]):
         for r in range(ROWS):
             b = mix(b * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, r])
         bands[some] = b
-    filled, odd = odd_sketch(s, n)
-    return size, k1.view(np.int64), k2.view(np.int64), bands.view(np.int64), filled, odd
+    small, large = np.flatnonzero(size <= SMALL), np.flatnonzero(size * 4 > SMALL * 3)
+    odd, bins = np.zeros((docs, BITS // 64), np.int64), np.zeros((docs, BITS // 64), np.int64)
+    filled = np.zeros(docs, np.int64)
+    pick = lambda which: (np.concatenate([s[:0], *(sets[i] for i in which)]), size[which])
+    odd[small] = odd_sketch(*pick(small))
+    filled[large], bins[large] = binned_sketch(*pick(large))
+    return size, k1.view(np.int64), k2.view(np.int64), bands.view(np.int64), odd, filled, bins
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n (size of the set), k1, k2, bands, filled, odd."""
+    """doc_id, th (hash of the text), n (size of the set), k1, k2, bands, odd, filled, bins (odd, or filled and bins, null or
+    0 where the other kind is enough)."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def lists(x, some=None):
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            return held if some is None else pc.if_else(pa.array(some), held, pa.scalar(None, held.type))
 
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+        names = ["doc_id", "th", "n", "k1", "k2", "bands", "odd", "filled", "bins"]
         for batch in batches:
             for first, raw in steps(batch.column(2)):
-                n, k1, k2, bands, filled, odd = sketch(raw)
+                n, k1, k2, bands, odd, filled, bins = sketch(raw)
                 held = batch.slice(first, len(raw))
-                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(n), pa.array(k1), pa.array(k2), lists(bands), pa.array(filled, pa.int32()), lists(odd)], ["doc_id", "th", "n", "k1", "k2", "bands", "filled", "odd"])
+                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(n), pa.array(k1), pa.array(k2), lists(bands), lists(odd, n <= SMALL), pa.array(filled, pa.int32()), lists(bins, n * 4 > SMALL * 3)], names)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return base.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, filled int, odd array<long>")
+    return base.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, odd array<long>, filled int, bins array<long>")
 
 
 def of(side: str) -> list:
@@ -112,26 +140,38 @@ def of(side: str) -> list:
     return [F.col(c).alias(c + side) for c in SKETCH]
 
 
-def ones():
-    return F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def ones(kind: str):
+    return F.aggregate(F.zip_with(kind + "a", kind + "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def both_small():
+    return F.greatest("na", "nb") <= SMALL
 
 
 def likely():
     """Whether sizes and odd sketches leave it possible that sides a and b are similar enough.
 
-    At the threshold t the two sets' union has (na + nb) / (1 + t) shingles, which fill u bins, and of these a share t has
-    equal samples; nearer sets have more. The variance is that of sampling (little where most shingles are sampled), of
-    how many bins the union fills, and of the parity bitmap."""
+    At the threshold t the two sets' union has (na + nb) / (1 + t) shingles, of which a share 1 - t is in one set only: whole
+    sets' sketches may have no more ones than that. Samples by bins: the union fills u bins, and of these a share t has
+    equal samples; nearer sets have more. The variance is that of sampling (little where most shingles are sampled), of how
+    many bins the union fills, and of the parity bitmap."""
     t = PERCENT / 100
+    near = ones("odd") * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)
     union = (F.col("na") + F.col("nb")) / (1 + t)
     load = union / BINS
     u = BINS * (1 - F.exp(-load))
     fill = BINS * (F.exp(-load) - (1 + load) * F.exp(-2 * load))
-    z = F.least(F.lit(BITS / 2 - 1), ones()).cast("double")
+    z = F.least(F.lit(BITS / 2 - 1), ones("bins")).cast("double")
     d = -BITS / 2 * F.log(1 - 2 * z / BITS)
     e = F.exp(-4 * d / BITS)
     spread = t * (1 - t) * u * (1 - u / union) + t * t * fill + (BITS / 4 * (1 - e) - d * e) / e / 4 + 0.5
-    return (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & ((F.col("filleda") + F.col("filledb") - d) / 2 >= t * u - FAR * F.sqrt(spread))
+    by_bins = (F.col("filleda") + F.col("filledb") - d) / 2 >= t * u - FAR * F.sqrt(spread)
+    return (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & F.when(both_small(), near).otherwise(by_bins)
+
+
+def apart():
+    """How far apart sides a and b look: the share of their samples that differ."""
+    return F.when(both_small(), ones("odd") / (F.col("na") + F.col("nb"))).otherwise(ones("bins") / (F.col("filleda") + F.col("filledb")))
 
 
 def confirm(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -248,7 +288,7 @@ def nearest_hubs(multi: DataFrame, labels: DataFrame, known: DataFrame, seed: in
     pairs = multi.select("bucket", "node").join(hub, "bucket").filter("node <> hub").select("node", "hub").distinct()
     pairs = pairs.join(labels, "node").join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").filter("comp <> hub_comp").select("node", "hub")
     both = pairs.join(known.select("node", *of("a")), "node").join(known.select(F.col("node").alias("hub"), *of("b")), "hub").filter(likely())
-    best = both.groupBy("node").agg(F.min_by("hub", F.struct(ones(), "hub")).alias("hub"))
+    best = both.groupBy("node").agg(F.min_by("hub", F.struct(apart(), "hub")).alias("hub"))
     return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
