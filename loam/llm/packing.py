@@ -4,8 +4,10 @@ Documents are cut into pieces of at most `capacity` ids; only the histogram of p
 comes to the driver. A configuration is a multiset of lengths that fits a sequence. The program "fewest sequences, each
 length covered" is solved by multiplicative weights: every length has a weight that falls as it gets covered, a knapsack
 by dynamic programming prices the heaviest configuration, and that one is used for a step that covers a fixed share of
-its scarcest length. Rounded down, the solution leaves a remainder of at most one sequence for each configuration, which
-best-fit decreasing packs, again on the histogram. Pieces get their places by their rank among those of their length.
+its scarcest length. The weights are a solution of the dual, too, once they are divided by the price: each round so proves
+a number of sequences that no packing goes below, and passes end when the packing is near the best such bound. Rounded
+down, the solution leaves a remainder of at most one sequence for each configuration, which best-fit decreasing packs,
+again on the histogram. Pieces get their places by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ CAPACITY = 2048
 STEP = 0.5
 #: A round steps along all configurations whose weight is so near that of the heaviest.
 SLACK = 0.01
-#: More passes follow, with the lengths that ended in roomy sequences weighing more, while sequences exceed the least
-#: conceivable number by more than this share.
+#: More passes follow, with the lengths that ended in roomy sequences weighing more, while sequences exceed the proven bound
+#: by more than this share.
 GAP, PASSES = 0.001, 12
 #: Rounds at most; what they leave uncovered is packed by best-fit.
 ROUNDS = 300
+#: Rounds for a better bound, where the passes' bound leaves a gap.
+DUAL = 200
 
 
 def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,20 +65,23 @@ def configuration(anchor: int, room: int, first: np.ndarray, lengths: np.ndarray
     return config
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step: float = STEP, rounds: int = ROUNDS, worth_of: dict[int, float] | None = None) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often (a fraction) each is used; no length is used more often than it occurs.
+def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step: float = STEP, rounds: int = ROUNDS, worth_of: dict[int, float] | None = None) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations and how often (a fraction) each is used, no length more often than it occurs; and the best bound: a
+    number that no cover by configurations, whole or in fractions, goes below.
 
     Each round prices once and steps along every configuration whose weight is within SLACK of the heaviest, the best
     one for each length it may hold. What the rounds leave uncovered is left to the caller. worth_of: factors of the
     lengths' weights.
     """
     left = {n: float(c) for n, c in histogram.items() if c > 0}
+    bound, alone = 0.0, 0
     whole = dict(left)
     used: dict[tuple, float] = {}
     # A piece that not even the smallest fits beside has a sequence to itself.
     least = min(left, default=0)
     for n in [n for n in left if n + least > capacity]:
         used[((n, 1),)] = left.pop(n)
+        alone += histogram[n]
     for _ in range(rounds):
         left = {n: c for n, c in left.items() if c >= 1}
         if not left:
@@ -82,6 +89,8 @@ def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step:
         lengths = np.array(sorted(left, reverse=True))
         weights = np.array([n / capacity * (worth_of or {}).get(n, 1.0) * math.exp(-(1 - left[n] / whole[n]) / 8) for n in lengths.tolist()])
         best, first = price(weights, lengths, capacity)
+        # No configuration weighs more than the price, so every sequence covers at most that much of the whole weight.
+        bound = max(bound, sum(w * whole[n] for n, w in zip(lengths.tolist(), weights.tolist())) / best[capacity])
         worth = weights + best[capacity - lengths]
         weight = dict(zip(lengths.tolist(), weights.tolist()))
         stepped = False
@@ -102,7 +111,32 @@ def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, step:
             stepped = True
         if not stepped:
             break
-    return [(dict(k), x) for k, x in used.items()]
+    return [(dict(k), x) for k, x in used.items()], alone + bound
+
+
+def proved(histogram: dict[int, int], capacity: int, rounds: int = DUAL) -> float:
+    """A number of sequences that no packing goes below: the dual of the program.
+
+    Weights of a known kind come first: for any k, pieces within k of the capacity count whole, those under k nothing and
+    the others by their length. Then multiplicative weights: each round prices the weights; the heaviest configurations for each length are taken as a mixture, and a length weighs
+    less the more of it, for its count, the mixture takes."""
+    lengths = np.array(sorted(histogram, reverse=True))
+    count = np.array([histogram[n] for n in lengths.tolist()], float)
+    weights = lengths / capacity
+    kinds = (np.where(lengths > capacity - k, 1.0, np.where(lengths < k, 0.0, weights)) for k in range(capacity // 2 + 1))
+    best_bound = max(float(w @ count) for w in kinds)
+    for k in range(rounds):
+        best, first = price(weights, lengths, capacity)
+        best_bound = max(best_bound, float(weights @ count) / best[capacity])
+        worth = weights + best[capacity - lengths]
+        taken = np.zeros(len(lengths))
+        place = {n: i for i, n in enumerate(lengths.tolist())}
+        for i in np.flatnonzero(worth >= (1 - SLACK) * worth.max()).tolist():
+            for n, c in configuration(int(lengths[i]), capacity - int(lengths[i]), first, lengths).items():
+                taken[place[n]] += c
+        share = taken / count
+        weights = weights * np.exp(-(share / share.max() - 0.5) / (4 + k / 4))
+    return best_bound
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> dict[tuple, int]:
@@ -144,29 +178,38 @@ def _open(room: dict, order: list[int], r: int, config: tuple, times: int) -> No
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
     """(configuration, how many sequences) that use every piece exactly once: the best of the passes."""
+    return bounded_plan(histogram, capacity)[0]
+
+
+def bounded_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple, int]], int]:
+    """plan(), and the least number of sequences that the passes prove any packing to need."""
     histogram = {n: c for n, c in histogram.items() if c > 0}
     least = -(-sum(n * c for n, c in histogram.items()) // capacity)
-    best, worth_of = None, dict.fromkeys(histogram, 1.0)
+    best, worth_of, improved = best_fit(histogram, capacity), dict.fromkeys(histogram, 1.0), False
     for _ in range(PASSES):
-        made = _rounded(histogram, capacity, worth_of)
-        if best is None or sum(made.values()) < sum(best.values()):
+        made, bound = _rounded(histogram, capacity, worth_of)
+        least = max(least, math.ceil(bound - 1e-6 * (1 + bound)))
+        if sum(made.values()) < sum(best.values()):
             best = made
         if sum(best.values()) <= max(least + 1, least * (1 + GAP)):
             break
+        if not improved:
+            improved, least = True, max(least, math.ceil(proved(histogram, capacity) * (1 - 1e-9)))
         room = dict.fromkeys(histogram, 0.0)
         for config, times in made.items():
             waste = 1 - sum(n * k for n, k in config) / capacity
             for n, k in config:
                 room[n] += times * k * waste / histogram[n]
         worth_of = {n: w * (1 + room[n] / 2) for n, w in worth_of.items()}
-    return sorted(best.items())
+    return sorted(best.items()), least
 
 
-def _rounded(histogram: dict[int, int], capacity: int, worth_of: dict[int, float]) -> dict[tuple, int]:
-    """A pass: the program's solution rounded down, and best-fit for the rest."""
+def _rounded(histogram: dict[int, int], capacity: int, worth_of: dict[int, float]) -> tuple[dict[tuple, int], float]:
+    """A pass: the program's solution rounded down, and best-fit for the rest; and the program's bound."""
     left = dict(histogram)
     made: dict[tuple, int] = {}
-    for config, x in configuration_lp(left, capacity, worth_of=worth_of):
+    solved, bound = configuration_lp(left, capacity, worth_of=worth_of)
+    for config, x in solved:
         times = min([int(x + 1e-9), *(left.get(n, 0) // k for n, k in config.items())])
         if times > 0:
             key = tuple(sorted(config.items(), reverse=True))
@@ -175,7 +218,7 @@ def _rounded(histogram: dict[int, int], capacity: int, worth_of: dict[int, float
                 left[n] -= k * times
     for key, times in best_fit({n: c for n, c in left.items() if c > 0}, capacity).items():
         made[key] = made.get(key, 0) + times
-    return made
+    return made, bound
 
 
 def slots(made: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:

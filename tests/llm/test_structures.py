@@ -71,7 +71,9 @@ def test_packing_plan(histogram):
     least = -(-sum(n * c for n, c in histogram.items()) // 64)
     first_fit = sum(packing.best_fit(histogram, 64).values())
     assert least <= sum(t for _, t in made) <= first_fit + len(histogram)
-    lp = packing.configuration_lp(histogram, 64)
+    made_of, least_of = packing.bounded_plan(histogram, 64)
+    assert least <= least_of <= sum(t for _, t in made_of)
+    lp, _ = packing.configuration_lp(histogram, 64)
     used = {}
     for config, x in lp:
         for n, k in config.items():
@@ -79,6 +81,18 @@ def test_packing_plan(histogram):
     assert all(used[n] <= histogram[n] + 1e-6 for n in used)
 
 
+def test_packing_bound_beats_the_volume():
+    """Adverse histograms: pieces of which two, or three, fill a sequence badly. Volume says little there, the dual much."""
+    for histogram, gap in (({33: 1000}, 0), ({22: 900}, 0), ({30: 500, 36: 300, 20: 200}, 0.02), ({n: 97 for n in range(17, 34)}, 0.02), ({n: 40 + n for n in range(1, 65)}, 0.01)):
+        made, least = packing.bounded_plan(histogram, 64)
+        sequences = sum(t for _, t in made)
+        assert -(-sum(n * c for n, c in histogram.items()) // 64) <= least <= sequences <= least * (1 + gap) + 1
+    rng = np.random.default_rng(8)
+    whole = {int(n): int(c) for n, c in zip(*np.unique(np.clip(rng.lognormal(6, 1, 30000), 1, 2048).astype(int), return_counts=True))}
+    made, least = packing.bounded_plan(whole)
+    assert sum(t for _, t in made) <= least * 1.001 + 1
+
+
 def test_packing_beats_best_fit():
     histogram = {31: 300, 33: 300, 22: 300, 21: 600}
     assert sum(t for _, t in packing.plan(histogram, 64)) == -(-sum(n * c for n, c in histogram.items()) // 64) or sum(t for _, t in packing.plan(histogram, 64)) <= sum(packing.best_fit(histogram, 64).values())
