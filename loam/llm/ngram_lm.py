@@ -5,8 +5,9 @@ word, the words seen after it; level 3, for every pair of level 2, the words see
 among the successors of the pair's second word (context-relative, so the numbers are small). In levels 2 and 3 a node is
 the sum of its parent's base and its own number, which makes the level one monotone sequence: Elias-Fano coded, and
 searched by successor. Pointers and bases are Elias-Fano coded too. Next to the nodes lie their smoothed log
-probabilities and their backoff weights, quantised to 16 bits. Each level is cut by ranges of the first word into shards,
-files that are memory-mapped by the tasks that read them.
+probabilities and their backoff weights, quantised to 16 bits. Each level is cut into shards, files that are memory-mapped
+by the tasks that read them: level 2 by ranges of the first word (a word has no more successors than there are words),
+level 3 by ranges of pairs, cut so that the pairs of a shard occur about equally often, whatever word they begin with.
 
 Counts are gathered as sorted runs: a task merges the n-grams of its texts, and sends each shard its part as one
 compressed run of key differences and counts.
@@ -198,6 +199,7 @@ class Trie:
         self.n, self.v, self.width = meta["n"], meta["v"], meta["width"]
         self.files2, self.files3 = meta.get("level2", []), meta.get("level3", [])
         self.first2 = np.concatenate([[0], np.cumsum([n for _, _, n in self.files2])]).astype(np.int64)
+        self.edges3 = np.array(meta.get("edges3", [0]), np.int64)
         self.level2 = [Level(f) for _, f, _ in self.files2]
         self.level3 = [Level(f) for _, f, _ in self.files3]
 
@@ -238,7 +240,7 @@ class Trie:
 
     def trigrams(self, node, rel):
         """(whether found, log p, log backoff of the pair). node: of the first two words; rel: of the third after the second."""
-        found, _, log_p, back = self._nodes(node, rel, self.level3, self.first2)
+        found, _, log_p, back = self._nodes(node, rel, self.level3, self.edges3)
         return found >= 0, log_p, back
 
     @staticmethod
@@ -337,7 +339,10 @@ def smoothed(parents: int, parent, counts, lower, discount: float):
 
 
 def build(train: DataFrame, path: str | None = None, order: int = ORDER, discount: float = DISCOUNT) -> dict:
-    """Counts all n-grams of train (text; null: empty) up to the order (1 to 3) and writes the trie below path."""
+    """Counts all n-grams of train (text; null: empty) up to the order (1 to 3) and writes the trie below path.
+
+    Repeated rows count as often as they stand there; other columns are ignored; of an empty table nothing is learned. Keys
+    of n-grams have 64 bits: some 3 * 10^9 different words, or pairs times words of 2^63, are refused with an error."""
     spark = train.sparkSession
     path = path or scratch(spark, "lm")
     counts = written(count_words(train), "word-counts", few=True)
@@ -348,6 +353,8 @@ def build(train: DataFrame, path: str | None = None, order: int = ORDER, discoun
     if order < 2 or not n:
         return meta
     base, width = v + 1, meta["width"]
+    if base * base >= 1 << 63:
+        raise ValueError("too many words for 64-bit keys of pairs; build with order=1")
     share = spark.sparkContext.broadcast
     shared = share(meta)
 
@@ -364,13 +371,23 @@ def build(train: DataFrame, path: str | None = None, order: int = ORDER, discoun
         parents = min(width, base - s * width)
         p, back = smoothed(parents, u, c, 10.0 ** trie.unigram(trie.words.counts_of(w)), discount)
         uri = put_bytes(f"{path}/level2/{s:06d}", level_bytes(parents, u, w, p, back))
-        return pd.DataFrame({"shard": [s], "file": [uri], "n": [len(keys)]})
+        # Where the pairs so far have come to another shard's worth of tokens, level 3 is cut.
+        worth = (np.cumsum(c) - c) // SHARD_TOKENS
+        return pd.DataFrame({"shard": [s], "file": [uri], "n": [len(keys)], "cuts": [np.flatnonzero(np.diff(worth, prepend=-1) > 0).tolist()]})
 
     runs = gathered(train, bigram_keys, lambda keys: keys // base // width)
-    meta = meta | {"level2": _filled(runs, write2, meta, path, 2)}
+    none = np.zeros(0, np.int64)
+    rows = {r.shard: r for r in runs.groupBy("shard").applyInPandas(write2, "shard int, file string, n long, cuts array<long>").collect()}  # a row a shard
+    level2 = []
+    for s in range(-(-base // width)):
+        parents = min(width, base - s * width)
+        level2.append((s, rows[s].file, rows[s].n) if s in rows else (s, put_bytes(f"{path}/level2/{s:06d}", level_bytes(parents, none, none, none * 1.0, np.zeros(parents))), 0))
     if order < 3:
-        return meta
-    pairs = sum(n for _, _, n in meta["level2"])
+        return meta | {"level2": level2}
+    first2 = np.concatenate([[0], np.cumsum([n for _, _, n in level2])]).astype(np.int64)
+    pairs = int(first2[-1])
+    edges3 = sorted({int(first2[s]) + c for s, r in rows.items() for c in r.cuts}) + [pairs]
+    meta = meta | {"level2": level2, "edges3": edges3}
     if pairs * base >= 1 << 63:
         raise ValueError("too many pairs of words for 64-bit keys; build with order=2")
     shared = share(meta)
@@ -380,19 +397,20 @@ def build(train: DataFrame, path: str | None = None, order: int = ORDER, discoun
         some = earlier >= 0
         return earlier[some] * base + rel[some]
 
-    first2 = np.concatenate([[0], np.cumsum([n for _, _, n in meta["level2"]])]).astype(np.int64)
+    edges = np.array(edges3, np.int64)
 
     def write3(key, pdf):
         import pandas as pd
 
         s, trie = int(key[0]), opened(shared)
         keys, c = shard_counts(pdf)
-        node, rel = keys // base - first2[s], keys % base
-        level = trie.level2[s]
+        node, rel = keys // base - edges[s], keys % base
+        # A shard's pairs are of one shard of level 2.
+        t = int(np.searchsorted(first2, edges[s], side="right")) - 1
+        parents = int(edges[s + 1] - edges[s])
         # The second word of each pair, whose successors rel counts, and the probability of the third after it.
-        parents = level.n
         own, back_to = np.unique(node, return_inverse=True)
-        second = _second(level, own)[back_to]
+        second = _second(trie.level2[t], own + (edges[s] - first2[t]))[back_to]
         lower = np.zeros(len(node))
         for t, other, rows in trie._by_shard(second // width, trie.level2):
             at = other.pointers.get(second[rows] - t * width).astype(np.int64) + rel[rows]
@@ -401,8 +419,13 @@ def build(train: DataFrame, path: str | None = None, order: int = ORDER, discoun
         uri = put_bytes(f"{path}/level3/{s:06d}", level_bytes(parents, node, rel, p, back))
         return pd.DataFrame({"shard": [s], "file": [uri], "n": [len(keys)]})
 
-    runs = gathered(train, trigram_keys, lambda keys: np.searchsorted(first2, keys // base, side="right") - 1)
-    return meta | {"level3": _filled(runs, write3, meta, path, 3)}
+    runs = gathered(train, trigram_keys, lambda keys: np.searchsorted(edges, keys // base, side="right") - 1)
+    rows = {r.shard: r for r in runs.groupBy("shard").applyInPandas(write3, "shard int, file string, n long").collect()}  # a row a shard
+    level3 = []
+    for s in range(len(edges3) - 1):
+        parents = edges3[s + 1] - edges3[s]
+        level3.append((s, rows[s].file, rows[s].n) if s in rows else (s, put_bytes(f"{path}/level3/{s:06d}", level_bytes(parents, none, none, none * 1.0, np.zeros(parents))), 0))
+    return meta | {"level3": level3}
 
 
 def _second(level: Level, node):
@@ -413,19 +436,6 @@ def _second(level: Level, node):
     return (value - level.bases.all()[parent]).astype(np.int64)
 
 
-def _filled(runs: DataFrame, write, meta: dict, path: str, level: int) -> list[tuple]:
-    """The files of a level, and empty ones for shards without n-grams."""
-    rows = runs.groupBy("shard").applyInPandas(write, "shard int, file string, n long").collect()  # a row a shard
-    files = {r.shard: (r.shard, r.file, r.n) for r in rows}
-    base, width = meta["v"] + 1, meta["width"]
-    for s in range(-(-base // width)):
-        if s not in files:
-            parents = min(width, base - s * width) if level == 2 else meta["level2"][s][2]
-            none = np.zeros(0, np.int64)
-            files[s] = (s, put_bytes(f"{path}/level{level}/{s:06d}", level_bytes(parents, none, none, none * 1.0, np.zeros(parents))), 0)
-    return [files[s] for s in sorted(files)]
-
-
 def score(docs: DataFrame, meta: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row. Null text: empty, one token, its end. Repeated rows
     get equal scores; an empty table gives no rows; with nothing learned every token has probability 1."""

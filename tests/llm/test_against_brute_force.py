@@ -72,7 +72,13 @@ def test_store_select(spark, ids):
             assert s.doc(i).tolist() == ids[0][d] + [2]
 
 
-def test_lm(spark, texts):
+@pytest.mark.parametrize("tokens", [None, 300])
+def test_lm(spark, texts, monkeypatch, tokens):
+    from loam.llm import ngram_lm
+
+    if tokens:
+        # Many shards, level 3 cut within a first word.
+        monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", tokens)
     words = {d: re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOW)) + ["</s>"] for d, t in texts.items()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
     one, two, three = Counter(), defaultdict(Counter), defaultdict(Counter)
