@@ -17,6 +17,26 @@ HTML_TAG = (
     r"font|center|small|big|blockquote|pre|code|figure|figcaption|section|article|header|footer|nav|main|aside|form|input|button|label|select|option|"
     r"textarea|iframe|sup|sub|strike|del|ins|caption|colgroup|col)\b[^>]{0,200}>"
 )
+#: HTML to text, in order: what goes, and what stands in its place.
+HTML_STEPS = [
+    (r"(?is)<(script|style|noscript|svg).*?</\1>", " "),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</(p|div|li|h[1-6]|tr)>", "\n"),
+    (r"<[^>]+>", " "),
+    (r"[ \t\u00a0]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
+#: HTML to paragraphs, before and after entities are decoded; the last step's paragraphs are lines of their own.
+PARAGRAPH_STEPS = [
+    (r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " "),
+    (r"(?is)<br\s*/?>", "\n"),
+    (r"(?is)</(p|div|li|h[1-6])>", "\n"),
+    (r"(?is)<[^>]+>", " "),
+]
+TIGHTEN_STEPS = [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
+LEADING_MARKS = r"(?m)^[\-—=·•\s]+"
+SOURCE_CITE = r"\[来源[:：]\s*([^\]\[#]+)"
+BRACKETED = r"[（(][^）)]*[)）]"
 NOISE_LINE = r"(?iU)^\s*(页眉|页脚|水印|保密|机密|confidential|draft|第\s*\d+\s*页|copyright).*$"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 #: What a spoken text loses or changes, in order; $1 is what the first group held.
@@ -34,6 +54,7 @@ SPEECH = [
     ("\n{2,}", "\n"),
 ]
 NARRATION_HEADING = r"(?m)^\s{0,3}#{1,6}\s*(?:第\s*|Page\s*|PAGE\s*|Slide\s*|SLIDE\s*)?(\d{1,4})\s*(?:页|张)?\b[^\n]*$"
+NARRATION_RULE = r"(?m)^\s*(?:-{3,}|\*{3,}|_{3,})\s*$"
 NARRATION_PAGE = r"第\s*(\d{1,4})\s*页"
 EXTENSIONS = [".txt", ".md", ".docx", ".pptx", ".pdf", ".xlsx", ".xlsm", ".csv", ".html", ".htm", ".json", ".epub", ".jpg", ".jpeg", ".png", ".bmp", ".webp", ".gif"]
 ENTITY_CN = (
@@ -143,12 +164,16 @@ def clean_text(col, mask: bool = True) -> Column:
     return squeeze(drop_noise_lines(F.regexp_replace(out, HTML_TAG, "")))
 
 
+def stepwise(col, steps: list[tuple[str, str]]) -> Column:
+    """The patterns of steps replaced one after the other."""
+    out = _c(col)
+    for pattern, put in steps:
+        out = F.regexp_replace(out, pattern, put)
+    return out
+
+
 def html_to_text(col) -> Column:
-    s = F.regexp_replace(_c(col), r"(?is)<(script|style|noscript|svg).*?</\1>", " ")
-    s = F.regexp_replace(s, r"(?i)<br\s*/?>", "\n")
-    s = F.regexp_replace(s, r"(?i)</(p|div|li|h[1-6]|tr)>", "\n")
-    s = F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), r"[ \t\u00a0]+", " ")
-    return strip(F.regexp_replace(s, "\n{3,}", "\n\n"))
+    return strip(stepwise(col, HTML_STEPS))
 
 
 def unescape_basic(col) -> Column:
@@ -160,18 +185,13 @@ def unescape_basic(col) -> Column:
 
 
 def tighten(col) -> Column:
-    s = F.regexp_replace(F.regexp_replace(_c(col), "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
-    return strip(F.regexp_replace(s, r"(?m)^[\-—=·•\s]+", ""))
+    return strip(F.regexp_replace(strip(stepwise(col, TIGHTEN_STEPS)), LEADING_MARKS, ""))
 
 
 def html_to_markdown(col) -> Column:
     """Tags to line breaks and blanks, entities decoded, one paragraph a line."""
-    s = F.regexp_replace(_c(col), r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " ")
-    s = F.regexp_replace(s, r"(?is)<br\s*/?>", "\n")
-    s = F.regexp_replace(s, r"(?is)</(p|div|li|h[1-6])>", "\n")
-    s = unescape_basic(F.regexp_replace(s, r"(?is)<[^>]+>", " "))
-    body = F.filter(F.transform(F.split(s, "\n"), strip), lambda x: x != "")
-    return tighten(F.array_join(body, "\n\n"))
+    lines = F.transform(F.split(unescape_basic(stepwise(col, PARAGRAPH_STEPS)), "\n"), strip)
+    return tighten(F.array_join(F.filter(lines, lambda x: x != ""), "\n\n"))
 
 
 def clean_speech(col) -> Column:
@@ -208,6 +228,24 @@ def extension(name) -> Column:
     return F.lower(F.regexp_extract(_c(name), r"[^/.](\.[A-Za-z0-9]+)$", 1))
 
 
+def section_title(section) -> Column:
+    """A section's heading without its number and what stands in brackets."""
+    return strip(F.element_at(F.split(F.regexp_replace(_c(section), BRACKETED, ""), "、"), -1))
+
+
+def source_cites(body) -> Column:
+    """The sources that a body cites, in order, repeats included; none for a null body."""
+    return F.transform(F.regexp_extract_all(F.coalesce(_c(body), F.lit("")), F.lit(SOURCE_CITE), F.lit(1)), strip)
+
+
+def spare(df, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def wiki_links(body) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(_c(body), F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), strip), lambda x: x != ""))
 

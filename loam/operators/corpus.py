@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +50,25 @@ def exact_dedup(chunks: DataFrame) -> DataFrame:
     return out.select("c.*", "src_all")
 
 
-def near_pairs(vectors: DataFrame, threshold: float = NEAR, blocks: int = 8) -> DataFrame:
-    """a, b, sim of all pairs a < b of cosine above threshold. Every pair of blocks is one task of bounded size: the
-    exact path, quadratic by nature, in which each vector is sent once for each block."""
-    v = vectors.filter(F.col("embedding").isNotNull()).select(F.col("chunk_ord").alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    v = v.withColumn("e", F.transform("e", lambda x: x / F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, y: s + y * y)))).withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = v.select("i", "e", F.col("b").alias("p"), F.explode(all_blocks).alias("q"))
-    right = v.select(F.col("i").alias("j"), F.col("e").alias("f"), F.explode(all_blocks).alias("p"), F.col("b").alias("q"))
+#: Vectors of a block: a task compares two blocks, some 128 MB of scores.
+BLOCK_ROWS = 4096
+
+
+def near_pairs(vectors: DataFrame, threshold: float = NEAR, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b, sim of all pairs a < b of cosine above threshold. Each pair of blocks p <= q is one task of bounded size: the
+    exact path, quadratic by nature, in which each vector is sent once for each block.
+
+    Vectors that are null, empty, of length zero or hold null or non-finite components have no pairs; vectors meet only
+    those of as many dimensions. Rows of one chunk_ord are no pair; an empty table gives no rows."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    v = vectors.filter(F.col("embedding").isNotNull()).select(F.col("chunk_ord").alias("i"), e.alias("e")).filter(~F.exists("e", lambda x: x.isNull() | F.isnan(x)))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, y: s + y * y))
+    v = v.withColumn("norm", norm).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    v = v.select("i", F.size("e").alias("d"), F.transform("e", lambda x: x / F.col("norm")).alias("e"))
+    last = max(1, -(-v.count() // block_rows)) - 1
+    v = v.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(last + 1)).cast("int"))
+    left = v.select("i", "e", "d", F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), F.lit(last))).alias("q"))
+    right = v.select(F.col("i").alias("j"), F.col("e").alias("f"), F.col("d").alias("d2"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("p2"), F.col("b").alias("q2"))
 
     def score(key, a, b):
         import numpy as np
@@ -67,10 +79,10 @@ def near_pairs(vectors: DataFrame, threshold: float = NEAR, blocks: int = 8) ->
         s = np.array(a["e"].tolist()) @ np.array(b["f"].tolist()).T
         x, y = np.nonzero(s > threshold)
         i, j = a["i"].to_numpy()[x], b["j"].to_numpy()[y]
-        keep = i < j
-        return pd.DataFrame({"a": i[keep], "b": j[keep], "sim": s[x, y][keep]})
+        keep = i < j if key[0] == key[1] else i != j
+        return pd.DataFrame({"a": np.minimum(i, j)[keep], "b": np.maximum(i, j)[keep], "sim": s[x, y][keep]})
 
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(score, "a long, b long, sim double")
+    return left.groupBy("p", "q", "d").cogroup(right.groupBy("p2", "q2", "d2")).applyInPandas(score, "a long, b long, sim double")
 
 
 def near_dedup(chunks: DataFrame, threshold: float = NEAR) -> DataFrame:
@@ -109,10 +121,12 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def promote(private: DataFrame, public: DataFrame, limit: int | None = None) -> DataFrame:
-    """Private chunks whose text is not yet public, one of each text, in order."""
-    fresh = private.join(public.select("text").distinct(), "text", "left_anti")
-    key = F.sha2(F.col("text").cast("binary"), 256)
-    fresh = fresh.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*private.columns), F.col("chunk_ord")).alias("c")).select("c.*")
+    """Private chunks whose text is not yet public, one of each text, in order. Texts meet by their hashes. A null text is
+    equal to no public one, and null texts among themselves are one."""
+    key = lambda df, name: df.withColumn(name, F.sha2(F.col("text").cast("binary"), 256))
+    k = T.spare(private, "k")
+    fresh = key(private, k).join(key(public, k).select(k).distinct(), k, "left_anti")
+    fresh = fresh.groupBy(k).agg(F.min_by(F.struct(*private.columns), F.col("chunk_ord")).alias("c")).select("c.*")
     return fresh if limit is None else fresh.orderBy("chunk_ord").limit(limit)
 
 
@@ -128,7 +142,9 @@ def reindex(chunks: DataFrame, embed, force: bool = False) -> DataFrame:
 
 
 def edit(chunks: DataFrame, changes: DataFrame, at: str, note: str = "edit") -> DataFrame:
-    """chunks with the texts of changes (kb, chunk_ord, new_text); the old text becomes the next revision."""
+    """chunks with the texts of changes (kb, chunk_ord, new_text); the old text becomes the next revision. Of several changes
+    of one chunk the one of the greatest text counts; changes of chunks that aren't there, or to null, change nothing."""
+    changes = changes.groupBy("kb", "chunk_ord").agg(F.max("new_text").alias("new_text"))
     rev = F.struct((F.size(F.coalesce("revs", F.array().cast(chunks.schema["revs"].dataType))) + 1).alias("v"), F.col("text"), F.lit(at).alias("at"), F.lit(note).alias("note"))
     out = chunks.join(changes, ["kb", "chunk_ord"], "left")
     changed = F.col("new_text").isNotNull() & (F.col("new_text") != F.col("text"))
@@ -161,10 +177,59 @@ def bulk_replace(chunks: DataFrame, find: str, put: str) -> DataFrame:
 
 
 def unique_slugs(names: DataFrame) -> DataFrame:
-    """names (ord, name) with slug: name, name2, name3, in order."""
-    base = F.when(T.slugify("name") == "", "item").otherwise(T.slugify("name"))
-    k = F.row_number().over(Window.partitionBy("_s").orderBy("ord"))
-    return names.withColumn("_s", base).withColumn("slug", F.concat("_s", F.when(k == 1, "").otherwise(k.cast("string")))).drop("_s")
+    """names (ord, name) with slug: in order, each name's slug, or the first free one of slug2, slug3, ….
+
+    Only slugs that agree but for digits at their end can clash, so these are dealt out together. A null or empty name is
+    `item`; an empty table gives no rows."""
+    s, root = T.spare(names, "s"), T.spare(names, "root")
+    base = F.when(F.coalesce(T.slugify("name"), F.lit("")) == "", "item").otherwise(T.slugify("name"))
+    rows = names.withColumn(s, base).withColumn(root, F.regexp_replace(s, "[0-9]+$", ""))
+
+    def allot(pdf):
+        taken, out = set(), []
+        pdf = pdf.sort_values(["ord", s], kind="stable")
+        for name in pdf[s]:
+            k, slug = 2, name
+            while slug in taken:
+                k, slug = k + 1, f"{name}{k}"
+            taken.add(slug)
+            out.append(slug)
+        return pdf.drop(columns=[s, root]).assign(slug=out)
+
+    from pyspark.sql import types as Y
+
+    return rows.groupBy(root).applyInPandas(allot, Y.StructType([*names.schema.fields, Y.StructField("slug", Y.StringType())]))
+
+
+def replace_in_json(rows: DataFrame, find: str, put: str, column: str = "json") -> DataFrame:
+    """rows with find replaced in every string value, at any depth, of the JSON in a column; n (occurrences) and residual
+    (whether some are left). Keys stay; what is no JSON, or null, stays as it is, with n 0."""
+    import json
+
+    def walk(value, count):
+        if isinstance(value, str):
+            count[0] += value.count(find)
+            return value.replace(find, put)
+        if isinstance(value, list):
+            return [walk(x, count) for x in value]
+        return {k: walk(x, count) for k, x in value.items()} if isinstance(value, dict) else value
+
+    @F.pandas_udf("text string, n long, residual boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            count, left = [0], [0]
+            try:
+                new = walk(json.loads(text), count)
+                walk(new, left)
+                text = json.dumps(new, ensure_ascii=False) if count[0] else text
+            except (TypeError, ValueError):
+                pass
+            out.append((text, count[0], left[0] > 0))
+        return pd.DataFrame(out, columns=["text", "n", "residual"])
+
+    done = T.spare(rows, "done")
+    return rows.withColumn(done, run(column)).withColumns({column: F.col(f"{done}.text"), "n": F.col(f"{done}.n"), "residual": F.col(f"{done}.residual")}).drop(done)
 
 
 def chunk_search(chunks: DataFrame, q: str, limit: int = 50) -> DataFrame:

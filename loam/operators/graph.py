@@ -16,8 +16,26 @@ def postings(mentions: DataFrame, most: int = MAX_ENTITIES) -> DataFrame:
     return found.join(df, "term").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("chunk_ord", "term")
 
 
-def nodes(held: DataFrame, least: int = MIN_DF) -> DataFrame:
-    return held.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+def nodes(held: DataFrame, least: int = MIN_DF, seeds: tuple[str, ...] = ()) -> DataFrame:
+    """term, df of the terms of at least `least` chunks; seed terms of 2 to 12 characters are nodes however rare, of df 1 at
+    least."""
+    df = held.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+    wanted = sorted({t for s in seeds if 2 <= len(t := s.strip()) <= 12})
+    if not wanted:
+        return df
+    extra = held.sparkSession.createDataFrame([(t, 1) for t in wanted], "term string, df long")
+    return df.unionByName(extra).groupBy("term").agg(F.max("df").alias("df"))
+
+
+def top_nodes(nodes_: DataFrame, n: int = 20) -> DataFrame:
+    """The n most frequent nodes, ties by term."""
+    return nodes_.orderBy(F.col("df").desc(), "term").limit(n)
+
+
+def kept_edges(edges_: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """The edges between nodes."""
+    end = lambda c: nodes_.select(F.col("term").alias(c))
+    return edges_.join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi").select("a", "b", "w")
 
 
 def edges(held: DataFrame, least: int = MIN_WEIGHT) -> DataFrame:
@@ -46,6 +64,33 @@ def augment(hits: DataFrame, held: DataFrame, edges_: DataFrame, extra: int = 4)
     return found.join(hits.select("chunk_ord"), "chunk_ord", "left_anti")
 
 
+def augment_chain(hits: DataFrame, held: DataFrame, nodes_: DataFrame, edges_: DataFrame, extra: int = 3, hops: int = 1, wide: int = 5) -> DataFrame:
+    """chunk_ord, via, term, weight, score: chunks that are no hits but hold a neighbour of an entity of the hits, each with
+    the first way to it.
+
+    The hits' entities are taken from the most frequent on, until `extra` chunks are found; each leads to its `extra`
+    heaviest neighbours and, with two hops, where it has fewer, on to theirs (of `wide` neighbours each `wide`, by the sum
+    of both weights). Ties go by term. score: weight * 0.05, at most 1."""
+    own = held.join(hits.select("chunk_ord"), "chunk_ord", "left_semi").select("term").distinct().join(nodes_, "term")
+    ranked = own.withColumn("e", F.row_number().over(Window.orderBy(F.col("df").desc(), "term"))).select("e", F.col("term").alias("via"))  # the hits' terms
+    both = edges_.select("a", "b", "w").unionByName(edges_.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    near = both.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("w").desc(), "b")))
+    ways = ranked.join(near, F.col("via") == F.col("a")).select("e", "via", F.lit(1).alias("hop"), F.col("k").alias("first"), F.lit(0).alias("then"), F.col("b").alias("term"), F.col("w").alias("weight"))
+    if hops > 1:
+        on = near.filter(F.col("k") <= wide).select(F.col("a").alias("m"), F.col("b").alias("far"), F.col("w").alias("w2"), F.col("k").alias("k2"))
+        further = ways.filter(F.col("first") <= wide).join(on, F.col("term") == F.col("m")).filter("far <> via")
+        ways = ways.unionByName(further.select("e", "via", F.lit(2).alias("hop"), "first", F.col("k2").alias("then"), F.col("far").alias("term"), (F.col("weight") + F.col("w2")).alias("weight")))
+    ways = ways.withColumn("n", F.row_number().over(Window.partitionBy("e").orderBy("hop", "first", "then"))).filter(F.col("n") <= extra)
+    # A term, and a chunk, is found once: by the first entity, and there by the first neighbour, that leads to it.
+    terms = ways.groupBy("term").agg(F.min(F.struct("e", "n", "via", "weight")).alias("w"))
+    found = terms.join(held, "term").join(hits.select("chunk_ord"), "chunk_ord", "left_anti").groupBy("chunk_ord").agg(F.min(F.struct("w", "term")).alias("f"))
+    found = found.select("chunk_ord", F.col("f.w.e").alias("e"), F.col("f.w.via").alias("via"), "f.term", F.col("f.w.weight").alias("weight"))
+    sums = found.groupBy("e").agg(F.count("*").alias("c"))
+    before = sums.select("e", F.coalesce(F.sum("c").over(Window.orderBy("e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row an entity of the hits
+    out = found.join(before, "e").filter(F.col("before") < extra)
+    return out.select("chunk_ord", "via", "term", "weight", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(0.05)), 4).alias("score"))
+
+
 def two_hops(edges_: DataFrame) -> DataFrame:
     """a, b, w of terms two edges apart, by the sum of both weights, the heaviest way."""
     both = edges_.select("a", "b", "w").unionByName(edges_.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))

@@ -106,3 +106,74 @@ def pipeline_status(files: DataFrame, stages: list[tuple[str, str]]) -> DataFram
     """stage, files, done over a listing (path, length): non-empty files whose path matches the stage's pattern."""
     one = files.agg(*[F.count_if(F.rlike("path", F.lit(p)) & (F.col("length") > 0)).alias(n) for n, p in stages])
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("files"), (F.col(n) > 0).alias("done")) for n, _ in stages])))
+
+
+def resolve_person(wanted: DataFrame, persons: DataFrame, files: DataFrame) -> DataFrame:
+    """id, person, avatar, file of each wanted (id, person, avatar; the latter two may be null or unknown).
+
+    persons: person, ord, is_default, active (the default's chosen avatar), avatars array<struct<avatar,file>>. A person
+    not known is the default one, or the first; an avatar not known is the default person's chosen one, or the first. file
+    is null where files (file) lack it, or there is nobody. persons is one installation's list."""
+    p = persons.select("person", "ord", F.coalesce("is_default", F.lit(False)).alias("is_default"), "active", "avatars")
+    first = p.agg(F.min_by("person", F.struct(~F.col("is_default"), "ord")).alias("chosen"), F.min_by("person", "ord").alias("first"), F.bool_or("is_default").alias("any"))
+    asked = wanted.select("id", F.col("person").alias("named"), F.col("avatar").alias("face")).crossJoin(F.broadcast(first))
+    asked = asked.join(p.select(F.col("person").alias("known")), F.col("named") == F.col("known"), "left")
+    # Nobody named: the default. Somebody unknown: the first.
+    who = F.coalesce("known", F.when(F.col("named").isNull() & F.col("any"), F.col("chosen")).otherwise(F.col("first")))
+    held = asked.select("id", who.alias("person"), "face").join(p, "person", "left")
+    face = F.coalesce(F.when(F.col("face") != "", F.col("face")), F.when(F.col("is_default"), F.col("active")))
+    found = F.coalesce(F.get(F.filter("avatars", lambda a: a.avatar == face), F.lit(0)), F.get("avatars", F.lit(0)))
+    out = held.select("id", "person", found.alias("a")).select("id", "person", F.col("a.avatar").alias("avatar"), F.col("a.file").alias("f"))
+    return out.join(files.select(F.col("file").alias("f"), F.lit(True).alias("there")).distinct(), "f", "left").select("id", "person", "avatar", F.when(F.col("there"), F.col("f")).alias("file"))
+
+
+def version_create(versions: DataFrame, project: str, version: str, title: str = "") -> DataFrame:
+    """versions (project, version, ord, title, current) with one more, which becomes current; one that is there already is
+    only made current."""
+    mine = F.col("project") == project
+    place = versions.filter(mine).agg(F.coalesce(F.max("ord") + 1, F.lit(1)).alias("ord"), F.count_if(F.col("version") == version).alias("held"))
+    fresh = place.filter("held = 0").select(F.lit(project).alias("project"), F.lit(version).alias("version"), F.col("ord").cast(versions.schema["ord"].dataType).alias("ord"), F.lit(title or version).alias("title"), F.lit(False).alias("current"))
+    return version_switch(versions.unionByName(fresh), project, version)
+
+
+def version_switch(versions: DataFrame, project: str, version: str) -> DataFrame:
+    """versions with that one current in its project; an unknown one changes nothing."""
+    mine = F.col("project") == project
+    known = versions.agg(F.coalesce(F.bool_or(mine & (F.col("version") == version)), F.lit(False)).alias("known"))
+    out = versions.crossJoin(F.broadcast(known))
+    return out.withColumn("current", F.when(mine & F.col("known"), F.col("version") == version).otherwise(F.col("current"))).select(*versions.columns)
+
+
+def version_rename(versions: DataFrame, project: str, version: str, title: str) -> DataFrame:
+    """versions with that one's title changed; a blank title changes nothing."""
+    hit = (F.col("project") == project) & (F.col("version") == version) & F.lit(bool(title.strip()))
+    return versions.withColumn("title", F.when(hit, F.lit(title.strip())).otherwise(F.col("title")))
+
+
+def version_delete(versions: DataFrame, project: str, version: str) -> DataFrame:
+    """versions without that one, unless it is its project's last; if it was current, the first that is left becomes so."""
+    mine = F.col("project") == project
+    others = versions.filter(mine & (F.col("version") != version)).agg(F.count("*").alias("others"), F.min_by("version", "ord").alias("heir"))
+    was = versions.agg(F.coalesce(F.bool_or(mine & (F.col("version") == version) & F.col("current")), F.lit(False)).alias("was"))
+    out = versions.crossJoin(F.broadcast(others)).crossJoin(F.broadcast(was)).filter(~(mine & (F.col("version") == version) & (F.col("others") > 0)))
+    heir = mine & F.col("was") & (F.col("others") > 0)
+    return out.withColumn("current", F.when(heir, F.col("version") == F.col("heir")).otherwise(F.col("current"))).select(*versions.columns)
+
+
+def outline(sections: DataFrame, pages: int, topic: str = "") -> DataFrame:
+    """ord, title of a deck of so many pages: the sections' titles, as many as leave room for the page that sums up; a topic
+    takes the first page. sections: ord (from 1), raw."""
+    title = T.section_title("raw")
+    keep = max(2, pages) - 1
+    kept = sections.select("ord", title.alias("title")).filter("title <> ''").orderBy("ord").limit(keep)
+    kept = kept.withColumn("ord", F.row_number().over(Window.orderBy("ord")))  # fewer rows than pages
+    if topic:
+        kept = kept.withColumn("title", F.when(F.col("ord") == 1, F.lit(f"{topic} · 背景与现状")).otherwise(F.col("title")))
+    last = kept.agg((F.count("*") + 1).cast("int").alias("ord")).withColumn("title", F.lit("总结与下一步"))
+    return kept.unionByName(last)
+
+
+def term_sheet(terms: DataFrame) -> DataFrame:
+    """name, text: each profile's terms (name, ord, term, meaning) in order, on a line."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "meaning"))), lambda x: F.concat(x.term, F.lit("："), F.coalesce(x.meaning, F.lit(""))))
+    return terms.groupBy("name").agg(F.array_join(line, "；").alias("t")).select("name", F.concat(F.lit("【"), F.col("name"), F.lit("】"), F.col("t")).alias("text"))

@@ -43,18 +43,20 @@ def bm25(chunks: DataFrame, question: str, by: list[str] | None = None) -> DataF
     ascii_, cjk = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
     parts = [rf"(?<![a-z0-9])(?:{'|'.join(ascii_)})(?![a-z0-9])"] * bool(ascii_) + [f"[{''.join(cjk)}]"] * bool(cjk)
     hits = F.regexp_extract_all(text, F.lit("|".join(parts)), F.lit(0)) if parts else F.array().cast("array<string>")
-    times_in = lambda w: F.size(F.filter("_h", lambda x: x == w))
+    h, dl, tfs, n_, avg, dfs = (T.spare(chunks, c) for c in ("_h", "_dl", "_tf", "_n", "_avg", "_df"))
+    times_in = lambda w: F.size(F.filter(h, lambda x: x == w))
     tf = F.array(*[times_in(w) for w in words]) if words else F.array().cast("array<int>")
-    counted = chunks.withColumn("_h", hits).withColumn("_dl", F.size(T.tokens(text))).withColumn("_tf", tf).drop("_h")
+    counted = chunks.withColumn(h, hits).withColumn(dl, F.size(T.tokens(text))).withColumn(tfs, tf).drop(h)
     n = len(words)
-    stats = counted.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), F.array(*[F.sum((F.col("_tf")[i] > 0).cast("int")) for i in range(n)]).alias("_df"))
-    joined = counted.join(F.broadcast(stats), by) if by else counted.crossJoin(F.broadcast(stats))
+    stats = counted.groupBy(*by).agg(F.count("*").alias(n_), F.avg(dl).alias(avg), F.array(*[F.sum((F.col(tfs)[i] > 0).cast("int")) for i in range(n)]).alias(dfs))
+    # One row, or one a store: of stores there may be many, so their join is left to the planner.
+    joined = counted.join(stats, by) if by else counted.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(n):
-        idf = F.log(1 + (F.col("_n") - F.col("_df")[i] + 0.5) / (F.col("_df")[i] + 0.5))
-        tf_i = F.col("_tf")[i]
-        score = score + F.when(tf_i > 0, times[i] * idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
-    return joined.withColumn("bm25", score).drop("_dl", "_tf", "_n", "_avg", "_df")
+        idf = F.log(1 + (F.col(n_) - F.col(dfs)[i] + 0.5) / (F.col(dfs)[i] + 0.5))
+        tf_i = F.col(tfs)[i]
+        score = score + F.when(tf_i > 0, times[i] * idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col(dl) / F.col(avg)))).otherwise(0.0)
+    return joined.withColumn("bm25", score).drop(dl, tfs, n_, avg, dfs)
 
 
 def _tokens(question: str) -> list[str]:
@@ -173,3 +175,20 @@ def related_slide(hits: DataFrame, by: str) -> DataFrame:
     """by, page: the slide of the best of the first eight hits that name one; of equal scores the last."""
     page = F.coalesce(F.col("page"), F.nullif(F.regexp_extract("label", r"第\s*(\d+)\s*页", 1), F.lit("")).cast("int"))
     return hits.filter(F.col("rank") <= 8).withColumn("_p", page).filter(F.col("_p").isNotNull()).groupBy(by).agg(F.max_by("_p", F.struct("score", "rank")).alias("page"))
+
+
+def format_context(hits: DataFrame) -> DataFrame:
+    """One row, context: the hits (ord, label, text; as many as a search returns), each under its label, in order. A hit
+    without a label is the knowledge base's; no hits give an empty context."""
+    block = F.concat(F.lit("["), F.coalesce("label", F.lit("知识库")), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    rows = hits.agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), block.alias("block")))).alias("b"))
+    return rows.select(F.array_join(F.transform("b", lambda x: x.block), "\n\n").alias("context"))
+
+
+def expansions(answer, question, most: int = 3):
+    """The questions of a model's answer, as an array: a JSON list of strings or of {q}, at most three, blanks and repeats
+    out; the question itself where there are none. answer: what json_recover(…, "array") gives."""
+    named = F.transform(F.from_json(answer, "array<struct<q:string>>"), lambda x: x.q)
+    found = F.when(F.contains(answer, F.lit('{"q"')), named).otherwise(F.from_json(answer, "array<string>"))
+    kept = F.slice(F.array_distinct(F.filter(found, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")), 1, most)
+    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(F.array(question))

@@ -5,19 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions import text as T
+
 
 def trace_tail(events: DataFrame, kind: str, limit: int = 50) -> DataFrame:
     return events.filter(F.col("kind") == kind).orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
 
 
-def trace_stats(events: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """kind, n, secs, ok, err, last_ts, avg_secs."""
+def trace_stats(events: DataFrame, kinds: list[str] | None = None, newest: int | None = None) -> DataFrame:
+    """kind, n, secs, tokens, ok, err, last_ts, avg_secs; of each kind the newest events only, if so many are named. tokens is
+    0 where events have none."""
     rows = events if kinds is None else events.filter(F.col("kind").isin(kinds))
+    if newest is not None:
+        r = T.spare(rows, "r")
+        rows = rows.withColumn(r, F.row_number().over(Window.partitionBy("kind").orderBy(F.col("ts").desc()))).filter(F.col(r) <= newest).drop(r)
     ok = F.col("status").isin("ok", "done")
-    out = rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("secs", F.lit(0.0))), 1).alias("secs"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "error").alias("err"), F.max("ts").alias("last_ts"))
+    spent = F.coalesce(F.sum("tokens"), F.lit(0)).cast("long") if "tokens" in rows.columns else F.lit(0).cast("long")
+    out = rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("secs", F.lit(0.0))), 1).alias("secs"), spent.alias("tokens"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "error").alias("err"), F.max("ts").alias("last_ts"))
     return out.withColumn("avg_secs", F.round(F.col("secs") / F.col("n"), 2))
 
 
+def lip_ratios(samples: DataFrame, by: str, pos: str, value: str, window: int, low: float, amp: float, reach: float) -> DataFrame:
+    """by, frame, rms, ratio: the loudness of each frame of `window` samples, as a share of the loudest, raised to 0.7 and
+    averaged with its neighbours' (silence beyond the ends), over the ratio `low` by at most `reach`."""
+    frames = samples.groupBy(by, F.floor(F.col(pos) / window).alias("frame")).agg(F.sqrt(F.avg(F.col(value).cast("double") * F.col(value))).alias("rms"))
+    top = F.max("rms").over(Window.partitionBy(by))
+    share = F.when(top > 1e-6, F.col("rms") / top).otherwise(F.col("rms"))
+    loud = frames.withColumn("loud", F.pow(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), 0.7))
+    smooth = smoothed_envelope(loud, by, ["frame"], "loud")
+    most = max(low, min(1.0, low + reach))
+    return smooth.select(by, "frame", "rms", F.least(F.greatest(low + amp * F.col("smooth"), F.lit(low)), F.lit(most)).alias("ratio"))
+
+
+def qa_add(log: DataFrame, records: DataFrame, keep: int = 500) -> DataFrame:
+    """The log with records; the newest `keep` by id remain."""
+    return log.unionByName(records, allowMissingColumns=True).orderBy(F.col("id").desc()).limit(keep)
+
+
+def qa_clear(log: DataFrame, before: int | None = None) -> DataFrame:
+    """An empty log, or one without the records of smaller id."""
+    return log.limit(0) if before is None else log.filter(F.col("id") >= before)
+
+
+def qa_export(log: DataFrame) -> DataFrame:
+    """id, text: each record as a question and its answer in markdown."""
+    return log.select("id", F.concat(F.lit("**"), F.coalesce("question", F.lit("")), F.lit("**\n\n"), F.coalesce("answer", F.lit(""))).alias("text"))
+
+
 def motion_peaks(frames: DataFrame, by: str, order: list[str], value: str, control: str, above: float = 1.5) -> DataFrame:
     """by, n, peak, low, mean, peaks: absolute differences of neighbours, and how many exceed the control's mean by `above`."""
     d = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(by).orderBy(*order)))

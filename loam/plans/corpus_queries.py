@@ -105,7 +105,15 @@ def _with_checkpoint(spark):
         spark.sparkContext.setCheckpointDir(root)
 
 
-@query("near_dedup")
+#: The greedy rule as it is told: row by row, in order, against the survivors so far.
+GREEDY = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nb AS (SELECT b.vec_id, list(a.vec_id) FILTER (a.vec_id IS NOT NULL) AS l FROM v b LEFT JOIN v a ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > 0.35 GROUP BY 1),
+r AS (SELECT -1::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT i + 1, CASE WHEN list_has_any(coalesce(nb.l, []), kept) THEN kept ELSE list_append(kept, i + 1) END FROM r JOIN nb ON nb.vec_id = i + 1)
+SELECT unnest(kept) AS chunk_ord FROM r WHERE i = (SELECT max(vec_id) FROM embeddings)"""
+
+
+@query("near_dedup", GREEDY)
 def _(spark, sf):
     _with_checkpoint(spark)
     v = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_ord")
@@ -250,7 +258,7 @@ def _(spark, sf):
 
 @query("trace_stats", "SELECT event_type AS kind, count(*) AS n, round(sum(value), 1) AS secs, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS err, round(round(sum(value), 1) / count(*), 2) AS avg_secs FROM events GROUP BY 1")
 def _(spark, sf):
-    return L.trace_stats(events(spark, sf)).drop("last_ts")
+    return L.trace_stats(events(spark, sf)).drop("last_ts", "tokens")
 
 
 @query("motion_peaks", """WITH d AS (SELECT event_type, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS d FROM events), m AS (SELECT avg(d) AS m FROM d WHERE event_type = 'view')

@@ -23,8 +23,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def upsert_sink(path: str, existing, upsert):
-    """foreachBatch: each batch of chunks is upserted by source hash into the store at path. A batch is written beside
-    the last one and then named current, so a failed batch leaves the store as it was."""
+    """foreachBatch: each batch of chunks is upserted by source hash into the store at path. A batch is written beside the
+    last one, as v and its epoch, so a failed batch leaves the store as it was: a reader takes latest(). A batch that is
+    run again overwrites what it wrote. Each batch writes the whole store: for stores that are small beside their batches."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         held = existing(batch.sparkSession)
@@ -33,6 +34,16 @@ def upsert_sink(path: str, existing, upsert):
     return run
 
 
+def latest(spark, path: str) -> DataFrame | None:
+    """The newest store below path that was written to its end; None before the first batch."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(root)] if files.exists(root) else []
+    done = sorted(p.toString() for p in found if files.exists(fs.Path(p, "_SUCCESS")))
+    return spark.read.parquet(done[-1]) if done else None
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what there is, and returns the result."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

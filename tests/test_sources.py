@@ -52,7 +52,7 @@ FILES = {
 }
 TEXTS = {
     "a.docx": "一\n\n二\t三",
-    "b.pptx": "【PPT第1页 标题】\n\n内容\n\n备注\n\n【PPT第2页 短】\n\n正文",
+    "b.pptx": "【PPT第2页 标题】\n\n内容\n\n备注\n\n【PPT第10页 短】\n\n正文",
     "c.xlsx": "【工作表 表一】\n甲 | 3",
     "d.csv": "x | y\n1 | 2",
     "e.html": "a\nb",
@@ -82,7 +82,7 @@ def test_extract(spark, folder):
 
 def test_slides(spark, folder):
     rows = S.slides(S.scan(spark, f"file://{folder}", (".pptx",))).orderBy("idx").collect()
-    assert [(r.idx, r.title, r.text, r.notes, r.images) for r in rows] == [(1, "标题", "内容", "备注", ["i.png"]), (2, "短", "正文", "", [])]
+    assert [(r.idx, r.title, r.text, r.notes, r.images) for r in rows] == [(2, "标题", "内容", "备注", ["i.png"]), (10, "短", "正文", "", [])]
 
 
 def test_trace_lines(spark, tmp_path):
