@@ -14,10 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import ascii_lower, few_files, scratch, spare, table, texts, written
+from loam.llm.shared import ascii_lower, bounded, few_files, scratch, spare, table, texts, written
 
-#: Hashes of lines over the threshold are broadcast up to this many rows (16 bytes each), and shuffled beyond.
-BROADCAST_ROWS = 200_000
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -108,11 +106,6 @@ class LineRuns:
         return self.counts().filter(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
-def bounded(hashes: DataFrame) -> DataFrame:
-    """Broadcast after its rows were counted and found few, else as it is."""
-    return F.broadcast(hashes) if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hashes
-
-
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
     """doc_id, text, kept_text, n_lines, n_dropped for every row of docs; other columns ride along, save those names.
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.shared import slices, spare, table, written
+from loam.llm.shared import bounded, slices, spare, table, written
 from loam.llm.words import exact_sets, mix, shingles, steps
 
 WORDS = 5
@@ -271,15 +271,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Decided row by row: of two rows of one doc_id with different texts one may go and the other stay. Rows whose text is
     null, empty or blank, and rows without a doc_id, all stay. All columns ride along; an empty table gives no rows.
     """
-    base = id_and_text(docs)
-    rows = written(grouped(base).filter("component_id IS NOT NULL"), "groups", few=True)
     first = (F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("rep_th"))
-    i, h = spare(docs, "i"), spare(docs, "h")
-    named = lambda df: df.select(F.col("doc_id").alias(i), F.col("th").alias(h))
-    gone = named(rows.filter(~first)).distinct()
-    again = named(rows.filter(first).groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1"))
-    stay = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, [i, h], "left_anti")
-    return stay.join(again, [i, h], "left_anti").unionByName(stay.join(again, [i, h], "left_semi").dropDuplicates([i, h])).select(*docs.columns)
+    rows = grouped(id_and_text(docs)).filter("component_id IS NOT NULL").groupBy("doc_id", "th").agg(F.bool_or(first).alias("again"), F.count("*").alias("c"))
+    i, h, again = spare(docs, "i"), spare(docs, "h"), spare(docs, "again")
+    # Rows that go, and rows that stay once: the others aren't named.
+    marks = written(rows.filter(~F.col("again") | (F.col("c") > 1)).select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("again").alias(again)), "marks", few=True)
+    held = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.coalesce("text", F.lit("")))).join(bounded(marks), [i, h], "left")
+    return held.filter(F.col(again).isNull()).unionByName(held.filter(again).dropDuplicates([i, h])).select(*docs.columns)
 
 
 def nearest_hubs(multi: DataFrame, labels: DataFrame, known: DataFrame, seed: int) -> DataFrame:

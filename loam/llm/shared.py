@@ -51,6 +51,15 @@ def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Tables of a few numbers a row are broadcast up to this many rows, and shuffled beyond.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Broadcast after its rows were counted and found few, else as it is."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
