@@ -241,18 +241,3 @@ def _(spark, sf):
 @query("chunk_strategy", rf"""WITH {PROFILE} SELECT doc_id, CASE WHEN numbered + all_caps + separators + chapters_en + chapters_de >= 5 OR chapters_en + chapters_de > 0 THEN 'heuristic,recursive' ELSE 'recursive' END AS chain FROM p""")
 def _(spark, sf):
     return C.chunk_strategy(C.doc_profile(table(spark, sf, "documents"))).select("doc_id", F.array_join("chain", ",").alias("chain"))
-
-
-@query("chunk_documents")
-def _(spark, sf):
-    return C.chunk_documents(table(spark, sf, "documents"))
-
-
-@query("chunk_recursive")
-def _(spark, sf):
-    return C.chunk_documents(table(spark, sf, "documents"), strategy="recursive")
-
-
-@query("chunk_parent_child")
-def _(spark, sf):
-    return C.chunk_parent_child(table(spark, sf, "documents"))
