@@ -233,6 +233,12 @@ def section_title(section) -> Column:
     return strip(F.element_at(F.split(F.regexp_replace(_c(section), BRACKETED, ""), "、"), -1))
 
 
+def version_key(name) -> Column:
+    """The first three numbers of a version, to be ordered by; [0] where there are none."""
+    found = F.transform(F.slice(F.regexp_extract_all(F.coalesce(_c(name), F.lit("")), F.lit(r"\d+"), F.lit(0)), 1, 3), lambda x: x.try_cast("decimal(38,0)"))
+    return F.when(F.size(found) == 0, F.array(F.lit(0).cast("decimal(38,0)"))).otherwise(found)
+
+
 def source_cites(body) -> Column:
     """The sources that a body cites, in order, repeats included; none for a null body."""
     return F.transform(F.regexp_extract_all(F.coalesce(_c(body), F.lit("")), F.lit(SOURCE_CITE), F.lit(1)), strip)

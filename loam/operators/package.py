@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -177,3 +177,37 @@ def term_sheet(terms: DataFrame) -> DataFrame:
     """name, text: each profile's terms (name, ord, term, meaning) in order, on a line."""
     line = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "meaning"))), lambda x: F.concat(x.term, F.lit("："), F.coalesce(x.meaning, F.lit(""))))
     return terms.groupBy("name").agg(F.array_join(line, "；").alias("t")).select("name", F.concat(F.lit("【"), F.col("name"), F.lit("】"), F.col("t")).alias("text"))
+
+
+def _bullets(title: str, items, line) -> Column:
+    """A part of a profile's text: a heading and a bullet an item; nothing where there are none."""
+    shown = F.concat(F.array(F.lit(f"\n## {title}\n")), F.transform(items, line))
+    return F.when(F.size(F.coalesce(items, F.array())) > 0, shown).otherwise(F.array().cast("array<string>"))
+
+
+def profile_entry(profiles: DataFrame) -> DataFrame:
+    """name, text: a domain profile as a document. profiles: name, note, tri_ends, four_platforms and sources (arrays of
+    strings), metrics and terms (arrays of struct<name,meaning>); parts that are null or empty are left out."""
+    plain = lambda x: F.concat(F.lit("- "), x)
+    defined = lambda x: F.concat(F.lit("- **"), x["name"], F.lit("**："), F.coalesce(x["meaning"], F.lit("")))
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.array(F.concat(F.lit("> "), F.col("note"), F.lit("\n")))).otherwise(F.array().cast("array<string>"))
+    head = F.concat(F.array(F.concat(F.lit("# "), F.col("name"), F.lit("\n"))), note)
+    parts = [("三端", "tri_ends", plain), ("四平台", "four_platforms", plain), ("指标口径", "metrics", defined), ("术语口径", "terms", defined), ("权威来源", "sources", plain)]
+    return profiles.select("name", F.array_join(F.concat(head, *[_bullets(title, F.col(c), line) for title, c, line in parts]), "\n").alias("text"))
+
+
+def profile_hint(profiles: DataFrame, most: int = 12) -> DataFrame:
+    """name, hint: a profile's rules in one line, to stand before a question; its first `most` terms by name."""
+    short = lambda c: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: T.strip(F.split(x, "[（(]")[0])), "、")
+    names = lambda c, n: F.array_join(F.transform(n, lambda x: x["name"]), "、")
+    some = lambda c: F.size(F.coalesce(c, F.array())) > 0
+    frame = F.when(some(F.col("tri_ends")) & some(F.col("four_platforms")), F.concat(F.lit("按「三端（"), short("tri_ends"), F.lit("）+ 四平台（"), short("four_platforms"), F.lit("）」的口径回答")))
+    terms = F.when(some(F.col("terms")), F.concat(F.lit("术语按下述口径（释义以知识库原文为准）："), names("terms", F.slice("terms", 1, most))))
+    metrics = F.when(some(F.col("metrics")), F.concat(F.lit("指标口径："), names("metrics", F.col("metrics"))))
+    return profiles.select("name", F.concat_ws("；", frame, terms, metrics).alias("hint"))
+
+
+def profile_terms(profiles: DataFrame) -> DataFrame:
+    """name, ord, term: a profile's terms of 2 to 12 characters, the seeds of an entity graph."""
+    kept = F.filter(F.transform(F.coalesce("terms", F.array().cast(profiles.schema["terms"].dataType)), lambda x: x["name"]), lambda x: F.char_length(x).between(2, 12))
+    return profiles.select("name", F.posexplode(kept).alias("ord", "term"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.markup import html_to_markdown as html_elements
 from loam.operators import corpus as C
 from loam.operators import graph as G
 from loam.operators import package as P
@@ -179,7 +180,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.drop_noise_lines("text").cast("binary")).alias("digest"))
 
 
-@query("clean_text", rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(regexp_replace({MASKED}, '{T.HTML_TAG.replace("{0,200}", "*")}', '', 'g'), '\r\n|[\n\r\x0B\f]'), lambda x: NOT regexp_matches(x, '{NOISE}')), chr(10)), '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), {WS})) AS digest FROM documents""")
+KNOWN_TAG = r"(?i)</?(html|head|body|title|meta|link|script|style|div|span|p|br|hr|img|a|table|thead|tbody|tr|td|th|ul|ol|li|dl|dt|dd|h[1-6]|strong|b|i|u|em|font|center|small|big|blockquote|pre|code|figure|figcaption|section|article|header|footer|nav|main|aside|form|input|button|label|select|option|textarea|iframe|sup|sub|strike|del|ins|caption|colgroup|col)\b[^>]*>"
+
+
+@query("clean_text", rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(regexp_replace({MASKED}, '{KNOWN_TAG}', '', 'g'), '\r\n|[\n\r\x0B\f]'), lambda x: NOT regexp_matches(x, '{NOISE}')), chr(10)), '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), {WS})) AS digest FROM documents""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_text("text").cast("binary")).alias("digest"))
 
@@ -207,6 +211,21 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(T.html_to_markdown("html").cast("binary")).alias("digest"))
 
 
+ELEMENTS = rf"""WITH p AS (SELECT page_id, replace(html, '&nbsp;', ' ') AS html FROM pages),
+a AS (SELECT *, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM p),
+s AS (SELECT page_id, CASE WHEN list_sum(list_transform(regexp_split_to_array(art, '<[^>]+>'), lambda x: length(trim(regexp_replace(x, '\s+', ' ', 'g'))))) > 120 THEN art
+ ELSE regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<title.*?</title>|<style.*?</style>|<script.*?</script>|<nav.*?</nav>', '', 'g'), '(?s)<div class="ad">.*?</div>', '', 'g') END AS x FROM a),
+l AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(x, '[\s\x{{A0}}]+', ' ', 'g'), '<h1[^>]*>(.*?)</h1>', chr(10) || '# \1' || chr(10), 'g'), '</?(article|body|footer|p|div|br|li|ul)\b[^>]*>', chr(10), 'g'), chr(10)) AS ls FROM s),
+t AS (SELECT page_id, array_to_string(list_filter(list_transform(list_transform(ls, lambda y: replace(replace(y, '&copy;', '©'), '&middot;', '·')), lambda y: array_to_string(list_filter(list_transform(regexp_split_to_array(y, '<[^>]+>'), lambda x: trim(x)), lambda x: x <> ''), ' ')), lambda y: y <> ''), chr(10) || chr(10)) AS s FROM l)
+SELECT page_id, split_part({_unescape_sql('s')}, chr(10), 1) AS first, md5(trim(regexp_replace({_unescape_sql('s')}, '(?m)^[\-—=·•\s]+', '', 'g'), {WS})) AS digest FROM t"""
+
+
+@query("html_to_md_elements", ELEMENTS)
+def _(spark, sf):
+    md = table(spark, sf, "pages").select("page_id", html_elements("html", ("nav", "div.ad"), ("article",)).alias("md"))
+    return md.select("page_id", F.split("md", "\n")[0].alias("first"), F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
 @query("ext_dispatch", r"""SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/[^/]*[^/.](\.[A-Za-z0-9]+)$', 1)) AS ext FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.extension(T.media_basename("url")).alias("ext"))

@@ -52,7 +52,9 @@ def query(name: str, sql: str | None = None):
 
 WORDS = list(dict.fromkeys(QUESTION.split()))
 CHUNKS = "chunks AS (SELECT d.doc_id AS chunk_ord, d.lang AS kb, d.source, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"
-TOK = f"regexp_extract_all(lower(text), '{T.TOKEN}')"
+# Patterns of the oracles, written apart from those of the library.
+WORD = r"[0-9a-z]+|[\x{4E00}-\x{9FFF}]"
+TOK = f"regexp_extract_all(lower(text), '{WORD}')"
 
 
 def bm25_sql(by: str = "") -> str:
@@ -80,8 +82,8 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("kinds"), F.md5(F.array_join(t, ",").cast("binary")).alias("digest"))
 
 
-@query("token_estimates", f"""SELECT doc_id, CAST(floor(zh + 1.3 * len(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS BIGINT) AS est,
-CAST(floor(zh / 1.6 + (length(text) - zh) / 4.0) + 1 AS BIGINT) AS trace_est FROM (SELECT doc_id, text, length(text) - length(regexp_replace(text, '{T.CJK}', '', 'g')) AS zh FROM documents)""")
+@query("token_estimates", rf"""SELECT doc_id, CAST(floor(zh + 1.3 * len(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS BIGINT) AS est,
+CAST(floor(zh / 1.6 + (length(text) - zh) / 4.0) + 1 AS BIGINT) AS trace_est FROM (SELECT doc_id, text, length(text) - length(regexp_replace(text, '[\x{{4E00}}-\x{{9FFF}}]', '', 'g')) AS zh FROM documents)""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.est_tokens("text").alias("est"), T.trace_tokens("text").alias("trace_est"))
 
@@ -157,7 +159,7 @@ HITS = f"""h0 AS (SELECT doc_id, source AS label, text, len(list_intersect(list_
 h1 AS (SELECT *, row_number() OVER (ORDER BY hit DESC, doc_id) AS ord FROM h0), hits AS (SELECT ord, doc_id, label, text, hit / {len(WORDS)}.0 AS score FROM h1 WHERE ord <= 12)"""
 SENT = rf"""{HITS}, s0 AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> '') AS ss FROM hits),
 s1 AS (SELECT ord, doc_id, label, score, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0),
-s2 AS (SELECT *, list_distinct(regexp_extract_all(lower(sentence), '{T.TOKEN}')) AS uq FROM s1),
+s2 AS (SELECT *, list_distinct(regexp_extract_all(lower(sentence), '{WORD}')) AS uq FROM s1),
 s3 AS (SELECT *, len(list_intersect(uq, {IN_Q})) AS hit FROM s2),
 s4 AS (SELECT *, CASE WHEN len(uq) = 0 THEN 0.0 ELSE (0.7 * hit / len(uq) + 0.3 * least(1.0, hit / 4.0)) * (CASE WHEN length(sentence) <= 80 THEN 1.0 ELSE greatest(0.5, 80.0 / length(sentence)) END) * (0.6 + 0.8 * score) END AS s_score FROM s3)"""
 
@@ -224,10 +226,10 @@ PROFILE = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 f AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13)) LIKE '```%' AS fence FROM l), g AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM f),
 b AS (SELECT *, regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$') AND regexp_matches(line, '[A-Za-z一-鿿]') AS head FROM g WHERE NOT fence AND NOT inside),
 p AS (SELECT doc_id, avg(length(line)) AS avg_len, stddev_pop(length(line)) AS std_len, count(*) FILTER (head) AS headings,
- count(*) FILTER (NOT head AND regexp_matches(line, '{C.NUMBERED}')) AS numbered, count(*) FILTER (NOT head AND regexp_matches(line, '{C.ALL_CAPS}')) AS all_caps,
- count(*) FILTER (NOT head AND regexp_matches(line, '{C.SEPARATOR}')) AS separators, count(*) FILTER (NOT head AND regexp_matches(line, '{C.FOOTER}')) AS footers,
- count(*) FILTER (NOT head AND regexp_matches(line, '{C.CHAPTER_EN}')) AS chapters_en, count(*) FILTER (NOT head AND regexp_matches(line, '{C.CHAPTER_DE}')) AS chapters_de,
- bool_or(NOT head AND regexp_matches(line, '{C.TABLE_ROW}')) AS has_tables FROM b GROUP BY doc_id),
+ count(*) FILTER (NOT head AND regexp_matches(line, '^[ \t]*(\d+(\.\d+){{1,3}}\.?|\d+\.|[IVX]{{1,5}}\.)[ \t]+\S.{{0,200}}$')) AS numbered, count(*) FILTER (NOT head AND regexp_matches(line, '^[ \t]*[A-ZÄÖÜ][A-ZÄÖÜ \-]{{3,80}}:?\s*$')) AS all_caps,
+ count(*) FILTER (NOT head AND regexp_matches(line, '^[ \t]*(---+|===+|\*\*\*+|___+)[ \t]*$')) AS separators, count(*) FILTER (NOT head AND regexp_matches(line, '^[ \t]*([Ss][Ee][Ii][Tt][Ee]|[Pp][Aa][Gg][Ee]|页|页码)\s+\d+(\s*([Vv][Oo][Nn]|[Oo][Ff]|/)\s*\d+)?[ \t]*$')) AS footers,
+ count(*) FILTER (NOT head AND regexp_matches(line, '^[ \t]*(Chapter|Section|Part)\s+([0-9]+|[IVX]{{1,5}})[.: ].{{0,200}}$')) AS chapters_en, count(*) FILTER (NOT head AND regexp_matches(line, '^[ \t]*(Kapitel|Abschnitt|Teil)\s+([0-9]+|[IVX]{{1,5}})[.: ].{{0,200}}$')) AS chapters_de,
+ bool_or(NOT head AND regexp_matches(line, '^[ \t]*\|.*\|[ \t]*$')) AS has_tables FROM b GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS total_lines, count(*) FILTER (fence) AS fences FROM f GROUP BY doc_id)"""
 
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources.files import load_store
+
 SCHEMA_VERSION = 1
 
 
@@ -25,17 +27,20 @@ def append_log(events: DataFrame, path: str) -> None:
 
 
 def backup(chunks: DataFrame, path: str) -> dict:
-    """Parquet and a manifest of schema, version and counts."""
+    """Parquet, a manifest of schema, version and counts, and a table of the sources of each store."""
     chunks.write.mode("overwrite").partitionBy("kb").parquet(f"{path}/chunks")
     per = [(r.kb, r.n) for r in chunks.groupBy("kb").agg(F.count("*").alias("n")).orderBy("kb").collect()]  # a row a store
+    if "source" in chunks.columns:
+        chunks.groupBy("kb", "source").agg(F.count("*").alias("chunks")).write.mode("overwrite").parquet(f"{path}/sources")
     manifest = {"version": SCHEMA_VERSION, "chunk_total": sum(n for _, n in per), "stores": dict(per), "schema": json.loads(chunks.schema.json())}
     chunks.sparkSession.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
 
 def restore(spark: SparkSession, path: str, current: DataFrame | None = None, merge: bool = True) -> DataFrame:
-    """The backed-up stores, with those of current that the backup doesn't hold if merge is on."""
-    saved = spark.read.parquet(f"{path}/chunks")
+    """The backed-up stores, with those of current that the backup doesn't hold if merge is on. A path that ends in .json is
+    one store as a JSON document, the oldest form of a backup."""
+    saved = load_store(spark, path)[0] if path.endswith(".json") else spark.read.parquet(f"{path}/chunks")
     if current is None or not merge:
         return saved
     return saved.unionByName(current.join(saved.select("kb").distinct(), "kb", "left_anti"), allowMissingColumns=True)
@@ -46,26 +51,57 @@ def numbered(rows: DataFrame, order: str, line) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x.l), "\n").alias("text"))
 
 
-def report(sections: DataFrame) -> DataFrame:
-    return numbered(sections, "ord", F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("body"), F.lit("\n")))
+def _headed(head: str, body: DataFrame, tail: str = "") -> DataFrame:
+    return body.select(F.concat(F.lit(head), F.col("text"), F.lit(tail)).alias("text"))
+
+
+def _text(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def report(sections: DataFrame, topic: str, hits: int, at: str) -> DataFrame:
+    """sections: ord, title, body; hits: of how many pieces the report is made, at: when."""
+    body = numbered(sections, "ord", F.concat(F.lit("## "), _text("title"), F.lit("\n\n"), _text("body"), F.lit("\n")))
+    return _headed(f"# {topic} · 分析报告\n\n> 生成时间：{at}　|　来源：本地知识库（{hits} 条片段）\n\n", body)
+
+
+def quiz(items: DataFrame, topic: str) -> DataFrame:
+    """items: ord, question, options, answer, explain (null or empty: no line)."""
+    options = F.array_join(F.transform(F.coalesce("options", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")
+    why = F.when(_text("explain") != "", F.concat(F.lit("- 解析："), F.col("explain"), F.lit("\n"))).otherwise("")
+    return _headed(f"# {topic} · 测验题\n\n", numbered(items, "ord", F.concat(F.lit("## "), F.col("ord").cast("string"), F.lit(". "), _text("question"), F.lit("\n"), options, F.lit("- **答案**："), _text("answer"), F.lit("\n"), why)))
+
+
+def flashcards(items: DataFrame, topic: str) -> DataFrame:
+    """items: ord, front, back."""
+    return _headed(f"# {topic} · 记忆卡片\n\n", numbered(items, "ord", F.concat(F.lit("## "), F.col("ord").cast("string"), F.lit(". "), _text("front"), F.lit("\n- "), _text("back"), F.lit("\n"))))
 
 
-def quiz(items: DataFrame) -> DataFrame:
-    options = F.array_join(F.transform("options", lambda x, i: F.concat(F.lit("  "), F.substring(F.lit("ABCDEFGH"), i + 1, F.lit(1)), F.lit(". "), x)), "\n")
-    return numbered(items, "ord", F.concat(F.col("ord").cast("string"), F.lit(". "), F.col("question"), F.lit("\n"), options, F.lit("\n  答案："), F.col("answer")))
+def mindmap(nodes: DataFrame, topic: str) -> DataFrame:
+    """nodes (ord, depth from 1, label) below the topic as a mermaid mind map and as an outline."""
+    tree = numbered(nodes, "ord", F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), _text("label"))).select(F.col("text").alias("tree"))
+    outline = numbered(nodes, "ord", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), _text("label")))
+    end = lambda c: F.when(F.col(c) == "", "").otherwise(F.concat(F.lit("\n"), F.col(c)))
+    head = f"# {topic} · 思维导图\n\n## 中心主题\n- **{topic}**\n\n```mermaid\nmindmap\n  root(({topic}))"
+    return tree.crossJoin(outline).select(F.concat(F.lit(head), end("tree"), F.lit(f"\n```\n\n## 文本大纲\n- {topic}"), end("text")).alias("text"))  # one row each
 
 
-def flashcards(items: DataFrame) -> DataFrame:
-    return numbered(items, "ord", F.concat(F.lit("**"), F.col("front"), F.lit("**\n"), F.col("back"), F.lit("\n")))
+def markdown_table(rows: DataFrame, order: str, columns: list[str], topic: str) -> DataFrame:
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_text(c) for c in columns]), F.lit(" |"))
+    head = f"# {topic} · 数据表\n\n| {' | '.join(columns)} |\n|{'|'.join(['---'] * max(1, len(columns)))}|\n"
+    return _headed(head, numbered(rows, order, line))
 
 
-def mindmap(nodes: DataFrame) -> DataFrame:
-    """nodes (ord, depth, label) as a mermaid mind map."""
-    return numbered(nodes, "ord", F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.regexp_replace("label", r"[()\[\]{}]", " "))).select(F.concat(F.lit("mindmap\n"), F.col("text")).alias("text"))
+def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """The columns with a header line, quoted where needed, quotes doubled; any number of files."""
+    rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def markdown_table(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("/"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
-    head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
-    return numbered(rows, order, line).select(F.concat(F.lit(head), F.col("text")).alias("text"))
+def podcast(scripts: DataFrame) -> DataFrame:
+    """topic, text, takes of scripts (topic, script): the script as a document, and what is spoken at a time: four lines each of
+    those over 12 characters that are no headings; the beginning of the script where there are none."""
+    spoken = F.filter(F.transform(F.split(_text("script"), "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (F.char_length(x) > 12) & ~F.startswith(x, F.lit("#")))
+    rows = scripts.select("topic", _text("script").alias("script"), spoken.alias("l"))
+    take = lambda k: F.array_join(F.slice("l", k * 4 + 1, 4), " ")
+    takes = F.when(F.size("l") == 0, F.array(F.substring("script", 1, 800))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 4).cast("int")), take))
+    return rows.select("topic", F.concat(F.lit("# "), F.col("topic"), F.lit(" · 播客讲稿\n\n"), F.col("script"), F.lit("\n")).alias("text"), takes.alias("takes"))

@@ -1,5 +1,6 @@
 """Files in every format that the extractors read, made here, and stores, backups and streams."""
 
+import csv
 import io
 import json
 import zipfile
@@ -149,3 +150,28 @@ def test_settings_and_routes():
     assert r.call("chat", 1) == 2
     with pytest.raises(RuntimeError):
         r.call("embed", 1)
+
+
+def test_oldest_backup_and_sources(spark, tmp_path):
+    (tmp_path / "k1.json").write_text('{"name": "k1", "chunks": [{"text": "a", "source": "s"}]}')
+    current = spark.createDataFrame([("k1", 0, "old", "s"), ("k2", 0, "b", "t")], "kb string, chunk_ord int, text string, source string")
+    assert sorted((r.kb, r.text) for r in K.restore(spark, f"{tmp_path}/k1.json", current).collect()) == [("k1", "a"), ("k2", "b")]
+    K.backup(current, f"{tmp_path}/backup")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/backup/sources").collect())) == [("k1", "s", 1), ("k2", "t", 1)]
+
+
+def test_csv_product(spark, tmp_path):
+    rows = spark.createDataFrame([('a "b", c', None), ("d", "e")], "x string, y string").coalesce(1)
+    K.write_csv(rows, f"{tmp_path}/csv", ["x", "y"])
+    with open(next((tmp_path / "csv").glob("*.csv"))) as f:
+        assert list(csv.reader(f)) == [["x", "y"], ['a "b", c', ""], ["d", "e"]]
+
+
+def test_pages_of_odd_nesting():
+    from loam.functions.markup import page_markdown
+
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert page_markdown(deep) == "x"
+    assert page_markdown(None) == page_markdown("") == "" and page_markdown("</p>a<") == "a<"
+    assert page_markdown("<h2></h2><p>a</p></div><p>b") == "a\nb"
+    assert page_markdown("<main>" + "x" * 121 + "</main>y", (), ("main",)) == "x" * 121
