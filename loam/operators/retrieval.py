@@ -7,7 +7,7 @@ counted within each row, so no posting list is shuffled and BM25 costs one pass
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -22,41 +22,77 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a, b):
-    """0 for a null or zero vector; the longer vector is cut to the shorter."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def cosine(a, b, norm_b=None):
+    """0 for a null or zero vector; the longer vector is cut to the shorter. norm_b: b's length, where it is known."""
+    norm = F.sqrt(dot(a, a)) * (F.sqrt(dot(b, b)) if norm_b is None else norm_b)
     return F.when(a.isNull() | b.isNull() | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
+def _beside(chunks: DataFrame, query: DataFrame) -> tuple[DataFrame, Column, list[str]]:
+    """chunks beside the query's one row, their cosine to its qv, and the columns to be dropped after it."""
+    v, n = T.spare(chunks, "_qv"), T.spare(chunks, "_qn")
+    row = query.select(F.col("qv").alias(v), F.sqrt(dot(F.col("qv"), F.col("qv"))).alias(n))
+    return chunks.crossJoin(F.broadcast(row)), cosine(F.col("embedding"), F.col(v), F.col(n)), [v, n]
+
+
 def vector_topk(chunks: DataFrame, query: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k chunks of highest cosine to the one row of query (qv)."""
-    return chunks.filter(F.col("embedding").isNotNull()).crossJoin(F.broadcast(query)).withColumn("vec", cosine(F.col("embedding"), F.col("qv"))).orderBy(F.col("vec").desc(), "chunk_ord").limit(k)
+    rows, likeness, extra = _beside(chunks.filter(F.col("embedding").isNotNull()), query)
+    return rows.withColumn("vec", likeness).drop(*extra).orderBy(F.col("vec").desc(), "chunk_ord").limit(k)
 
 
-def bm25(chunks: DataFrame, question: str, by: list[str] | None = None) -> DataFrame:
-    """chunks with bm25, by store where `by` names the columns of a store. All chunks count, those without tokens too."""
-    by = by or []
+def _counted(chunks: DataFrame, question: str) -> tuple[DataFrame, str, str]:
+    """chunks with their length in tokens and how often each of the question's words occurs, and the names of both columns."""
     words = list(dict.fromkeys(_tokens(question)))
-    times = [_tokens(question).count(w) for w in words]
     text = F.lower(T.embed_text("text", "breadcrumb") if "breadcrumb" in chunks.columns else F.coalesce("text", F.lit("")))
     # The question's tokens are picked by a pattern of their own, so the counts below run over a handful of them.
     ascii_, cjk = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
     parts = [rf"(?<![a-z0-9])(?:{'|'.join(ascii_)})(?![a-z0-9])"] * bool(ascii_) + [f"[{''.join(cjk)}]"] * bool(cjk)
     hits = F.regexp_extract_all(text, F.lit("|".join(parts)), F.lit(0)) if parts else F.array().cast("array<string>")
-    h, dl, tfs, n_, avg, dfs = (T.spare(chunks, c) for c in ("_h", "_dl", "_tf", "_n", "_avg", "_df"))
+    h, dl, tf = (T.spare(chunks, c) for c in ("_h", "_dl", "_tf"))
     times_in = lambda w: F.size(F.filter(h, lambda x: x == w))
-    tf = F.array(*[times_in(w) for w in words]) if words else F.array().cast("array<int>")
-    counted = chunks.withColumn(h, hits).withColumn(dl, F.size(T.tokens(text))).withColumn(tfs, tf).drop(h)
-    n = len(words)
-    stats = counted.groupBy(*by).agg(F.count("*").alias(n_), F.avg(dl).alias(avg), F.array(*[F.sum((F.col(tfs)[i] > 0).cast("int")) for i in range(n)]).alias(dfs))
+    tfs = F.array(*[times_in(w) for w in words]) if words else F.array().cast("array<int>")
+    return chunks.withColumn(h, hits).withColumn(dl, F.size(T.tokens(text))).withColumn(tf, tfs).drop(h), dl, tf
+
+
+def _scored(rows: DataFrame, counts: DataFrame, question: str, by: list[str], dl: str, tf: str) -> DataFrame:
+    """rows with bm25, by statistics of counts: chunks of equal length and counts as one row each, weighted by _m."""
+    words = list(dict.fromkeys(_tokens(question)))
+    n_, avg, dfs = (T.spare(rows, c) for c in ("_n", "_avg", "_df"))
+    m = F.col("_m")
+    df = F.array(*[F.sum(F.when(F.col(tf)[i] > 0, m).otherwise(0)) for i in range(len(words))])
+    stats = counts.groupBy(*by).agg(F.sum(m).alias(n_), (F.sum(F.col(dl) * m) / F.sum(m)).alias(avg), df.alias(dfs))
     # One row, or one a store: of stores there may be many, so their join is left to the planner.
-    joined = counted.join(stats, by) if by else counted.crossJoin(F.broadcast(stats))
+    joined = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
-    for i in range(n):
+    for i, w in enumerate(words):
         idf = F.log(1 + (F.col(n_) - F.col(dfs)[i] + 0.5) / (F.col(dfs)[i] + 0.5))
-        tf_i = F.col(tfs)[i]
-        score = score + F.when(tf_i > 0, times[i] * idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col(dl) / F.col(avg)))).otherwise(0.0)
-    return joined.withColumn("bm25", score).drop(dl, tfs, n_, avg, dfs)
+        f = F.col(tf)[i]
+        score = score + F.when(f > 0, _tokens(question).count(w) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col(dl) / F.col(avg)))).otherwise(0.0)
+    return joined.withColumn("bm25", score).drop(n_, avg, dfs)
+
+
+def _kinds(counted: DataFrame, by: list[str], dl: str, tf: str) -> DataFrame:
+    # The filter drops nothing: it keeps the count in the plan of those who don't need it, so that all use one exchange.
+    return counted.groupBy(*by, dl, tf).agg(F.count("*").alias("_m")).filter("_m > 0")
+
+
+def bm25(chunks: DataFrame, question: str, by: list[str] | None = None) -> DataFrame:
+    """chunks with bm25, by store where `by` names the columns of a store. All chunks count, those without tokens too."""
+    by = by or []
+    counted, dl, tf = _counted(chunks, question)
+    return _scored(counted, _kinds(counted, by, dl, tf), question, by, dl, tf).drop(dl, tf)
+
+
+def bm25_scaled(chunks: DataFrame, question: str, by: list[str] | None = None) -> DataFrame:
+    """bm25 and norm, as minmax(bm25(...)) gives them. Chunks of equal length and counts score alike, so one table of those
+    kinds, which holds only numbers, gives both the statistics and the ends; texts are tokenised for it and for the scores."""
+    by = by or []
+    counted, dl, tf = _counted(chunks, question)
+    kinds = _kinds(counted, by, dl, tf)
+    lo, hi = T.spare(counted, "_lo"), T.spare(counted, "_hi")
+    ends = _scored(kinds, kinds, question, by, dl, tf).groupBy(*by).agg(F.min("bm25").alias(lo), F.max("bm25").alias(hi))
+    return _scale(_scored(counted, kinds, question, by, dl, tf).drop(dl, tf), ends, "bm25", by, lo, hi)
 
 
 def _tokens(question: str) -> list[str]:
@@ -68,17 +104,22 @@ def _tokens(question: str) -> list[str]:
 def minmax(scored: DataFrame, column: str = "bm25", by: list[str] | None = None) -> DataFrame:
     """scored with norm, the column scaled to 0..1 over the whole store; 0 where all are equal."""
     by = by or []
-    ends = scored.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    joined = scored.join(F.broadcast(ends), by) if by else scored.crossJoin(F.broadcast(ends))
-    norm = F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    return joined.withColumn("norm", norm).drop("_lo", "_hi")
+    lo, hi = T.spare(scored, "_lo"), T.spare(scored, "_hi")
+    return _scale(scored, scored.groupBy(*by).agg(F.min(column).alias(lo), F.max(column).alias(hi)), column, by, lo, hi)
+
+
+def _scale(scored: DataFrame, ends: DataFrame, column: str, by: list[str], lo: str, hi: str) -> DataFrame:
+    joined = scored.join(ends, by) if by else scored.crossJoin(F.broadcast(ends))
+    norm = F.when(F.col(hi) == F.col(lo), 0.0).otherwise((F.col(column) - F.col(lo)) / (F.col(hi) - F.col(lo)))
+    return joined.withColumn("norm", norm).drop(lo, hi)
 
 
 def fused(chunks: DataFrame, question: str, query: DataFrame, alpha: float = ALPHA, threshold: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """chunks with bm25, norm, vec (cosine, at least 0) and score; the vector threshold comes after the scaling."""
-    scored = minmax(bm25(chunks, question, by), "bm25", by).crossJoin(F.broadcast(query))
-    vec = F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("qv")))
-    scored = scored.withColumn("vec", vec).drop("qv").filter(F.col("vec") >= threshold)
+    rows, likeness, extra = _beside(bm25_scaled(chunks, question, by), query)
+    scored = rows.withColumn("vec", F.greatest(F.lit(0.0), likeness)).drop(*extra)
+    if threshold > 0:
+        scored = scored.filter(F.col("vec") >= threshold)
     return scored.withColumn("score", alpha * F.col("vec") + (1 - alpha) * F.col("norm"))
 
 
@@ -90,16 +131,18 @@ def multi_scope_topk(chunks: DataFrame, question: str, query: DataFrame, k: int
     """Each store of column kb has its own statistics and k hits; private hits are raised, then the k best of all."""
     scored = fused(chunks, question, query, alpha, by=["kb"])
     w = Window.partitionBy("kb").orderBy(F.col("score").desc(), "chunk_ord")
-    own = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).withColumn("score", F.round("score", 4))
+    r = T.spare(scored, "_r")
+    own = scored.withColumn(r, F.row_number().over(w)).filter(F.col(r) <= k).withColumn("score", F.round("score", 4))
     boosted = own.withColumn("score", F.when(F.col("kb") == public, F.col("score")).otherwise(F.round(F.col("score") * PRIVATE_BOOST, 4)))
-    return boosted.orderBy(F.col("score").desc(), "kb", "_r").limit(k).drop("_r")
+    return boosted.orderBy(F.col("score").desc(), "kb", r).limit(k).drop(r)
 
 
 def retrieve_multi(hits: DataFrame, most: int = 12) -> DataFrame:
     """hits of several questions (q_ord, rank, text, score): first of equal text beginnings, then the best `most`."""
     fp = F.md5(F.substring("text", 1, 400).cast("binary"))
     w = Window.partitionBy(fp).orderBy("q_ord", "rank")
-    return hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r").orderBy(F.col("score").desc(), "q_ord", "rank").limit(most)
+    r = T.spare(hits, "_r")
+    return hits.withColumn(r, F.row_number().over(w)).filter(F.col(r) == 1).drop(r).orderBy(F.col("score").desc(), "q_ord", "rank").limit(most)
 
 
 def sentence_scores(hits: DataFrame, question: str) -> DataFrame:
