@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loam.operators import corpus, graph, package, retrieval, trace
+from loam.operators import articles, corpus, graph, package, retrieval, trace
 from loam.streaming import trace as streams
 
 CHUNKS = "chunk_ord long, text string, breadcrumb string, source string, embedding array<double>, _n string, _df int, _tf int, _dl int, _avg int, _h int, k int, s string, root string"
@@ -93,3 +93,22 @@ def test_upsert_sink(spark, tmp_path):
         q = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(streams.upsert_sink(store, held, corpus.upsert)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted((r.src, r.text) for r in streams.latest(spark, store).collect()) == [("h1", "A"), ("h2", "c")]
+
+
+def test_scaled_scores_are_those_of_minmax(spark):
+    d = chunks(spark).withColumn("_m", F.lit(1)).withColumn("_lo", F.lit("x")).withColumn("_hi", F.lit("x"))
+    for by in (None, ["source"]):
+        want = retrieval.minmax(retrieval.bm25(d, "gate up", by), by=by)
+        got = retrieval.bm25_scaled(d, "gate up", by)
+        rows = lambda x: sorted((r.chunk_ord, round(r.bm25, 9), round(r.norm, 9)) for r in x.collect())
+        assert rows(got) == rows(want) and sorted(got.columns) == sorted(want.columns)
+    assert retrieval.bm25_scaled(d.limit(0), "gate").count() == 0
+
+
+def test_articles_and_profiles(spark):
+    none = spark.createDataFrame([], "doc_id int, text string, breadcrumb string, prefix string, title string, summary string, keywords string, faqs array<struct<q:string,a:string>>, category string")
+    assert articles.article_lines(none).count() == articles.article_document(none, "a", "v", "o").count() == articles.article_index(none).count() == 0
+    odd = spark.createDataFrame([(1, "|a|\n|b|c|\n\n|d|e|\n# x\n![](i)", "B", "P", "x"), (1, "", None, None, "x")], "doc_id int, text string, breadcrumb string, prefix string, l string")
+    assert sorted((r.body, r.figures) for r in articles.article_lines(odd).collect()) == [([], []), (["【P】b：c。", "【P】d：e。"], [])]
+    empty = spark.createDataFrame([], "name string, note string, tri_ends array<string>, four_platforms array<string>, metrics array<struct<name:string,meaning:string>>, terms array<struct<name:string,meaning:string>>, sources array<string>")
+    assert package.profile_entry(empty).count() == package.profile_hint(empty).count() == package.profile_terms(empty).count() == 0
