@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, ngram_lm, packing, token_store, topk
+from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, ngram_lm, packing, suffix_dedup, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
-ORACLE_SQL = {"op7_topk": topk.SQL, "op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op7_topk": topk.SQL, "op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL, "op13_suffix_dedup": suffix_dedup.SQL}
