@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, ngram_lm, packing, suffix_dedup, token_store, topk
+from loam.llm import bpe, chat, fingerprint, langid, line_dedup, near_dedup, ngram_lm, packing, resampling, spelling, suffix_dedup, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_resampling": resampling.op12_resampling,
     "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
-ORACLE_SQL = {"op7_topk": topk.SQL, "op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL, "op13_suffix_dedup": suffix_dedup.SQL}
+ORACLE_SQL = {"op7_topk": topk.SQL, "op2_near_dedup": near_dedup.SQL, "op6_chat_formatting": chat.SQL, "op10_line_dedup": line_dedup.SQL, "op11_spelling_variants": spelling.SQL, "op12_resampling": resampling.SQL, "op13_suffix_dedup": suffix_dedup.SQL}
