@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from loam.llm.shared import crc_mod, table
 
-#: What the dictionaries are fitted on, a bounded sample of whole labelled rows: of the texts of at most ROW_BYTES bytes, in
-#: each of BUCKETS buckets (by hash) the SAMPLE_ROWS different ones of least hash, and of these, by hash, as many as fit
-#: LANG_BYTES bytes a language.
-BUCKETS, SAMPLE_ROWS, ROW_BYTES, LANG_BYTES = 32, 4, 1 << 13, 1 << 17
+#: What the dictionaries are fitted on, a bounded sample of labelled rows: in each of BUCKETS buckets (by hash) the
+#: SAMPLE_ROWS different texts of least hash, and of these, by hash, as many whole ones as fit LANG_BYTES bytes a language.
+#: More than LANGUAGES different labels are refused: each is tried on every text.
+BUCKETS, SAMPLE_ROWS, LANG_BYTES, LANGUAGES = 32, 4, 1 << 17, 500
 #: Texts are compressed in blocks of so many bytes, so that a text's own beginning doesn't stand in for the dictionary.
 BLOCK = 4096
 #: A lazy match finder of small tables: deep enough to find words of the dictionary, quick enough for every language.
@@ -28,29 +28,39 @@ HELD_OUT = (4, 2)
 
 
 def fit(labelled: DataFrame, seed: int = 0) -> dict[str, bytes]:
-    """lang -> dictionary content, from rows of text and lang. Rows without text, letters or lang teach nothing, nor do texts
-    of more than ROW_BYTES bytes; equal texts of a language count once; an empty table teaches no language."""
-    telling = F.col("lang").isNotNull() & (F.octet_length("text") <= ROW_BYTES) & F.rlike("text", F.lit(r"\p{L}"))
+    """lang -> dictionary content, from rows of text and lang. Rows without text, letters or lang teach nothing; texts of any
+    length may be drawn, and equal texts of a language count once; an empty table teaches no language. More than LANGUAGES
+    different langs raise an error."""
+    telling = F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))
     rows = labelled.filter(telling).select("lang", "text", F.xxhash64(F.lit(seed), F.col("text")).alias("h"))
+    known = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if known > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different languages")
     w = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h")
-    # Hashes alone are shuffled; the texts of the sampled ones are fetched.
-    chosen = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_ROWS)
-    taken = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # Hashes and lengths alone are shuffled and chosen from; the texts of the chosen ones are fetched.
+    drawn = rows.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("size")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_ROWS)
+    sizes: dict[str, list] = {}
+    for r in drawn.collect():  # at most BUCKETS * SAMPLE_ROWS rows of numbers a language
+        sizes.setdefault(r.lang, []).append((r.h, r.size))
+    chosen = [(lang, h) for lang, held in sizes.items() for h in _within(sorted(held))]
+    wanted = labelled.sparkSession.createDataFrame(chosen, "lang string, h long")
+    # One text that alone is over the budget is cut in its own row, before it travels.
+    taken = rows.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, LANG_BYTES)).alias("text"))
     found: dict[str, list] = {}
-    for r in taken.collect():  # at most BUCKETS * SAMPLE_ROWS rows of ROW_BYTES a language
+    for r in taken.collect():  # some LANG_BYTES a language
         found.setdefault(r.lang, []).append((r.h, r.text))
-    return {lang: _within(sorted(rows)) for lang, rows in sorted(found.items())}
+    return {lang: b"\n".join(text.lower().encode() for _, text in sorted(held)) for lang, held in sorted(found.items())}
 
 
-def _within(rows: list[tuple[int, str]]) -> bytes:
-    """The texts, lower-cased, a line each, that fit LANG_BYTES: one that doesn't is passed over."""
+def _within(rows: list[tuple[int, int]]) -> list[int]:
+    """The hashes of the texts (hash, bytes) that together fit LANG_BYTES with a line end each: one that doesn't is passed
+    over, but where none fits the first is taken, and will be cut."""
     out, size = [], 0
-    for _, text in rows:
-        raw = text.lower().encode()
-        if size + len(raw) + 1 <= LANG_BYTES:
-            out.append(raw)
-            size += len(raw) + 1
-    return b"\n".join(out)
+    for h, n in rows:
+        if size + n + 1 <= LANG_BYTES:
+            out.append(h)
+            size += n + 1
+    return out or [h for h, _ in rows[:1]]
 
 
 def different(raw: bytes) -> bytes:

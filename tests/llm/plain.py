@@ -22,21 +22,22 @@ def spark_hash(seed, text):
 
 
 def dictionaries(rows):
-    """rows: (text, lang). Of the texts of at most 8 KB, in each of 32 buckets by hash the 4 of least hash; 128 KB a language."""
+    """rows: (text, lang). In each of 32 buckets by hash the 4 texts of least hash; 128 KB a language, of whole texts unless
+    the first alone is longer and nothing else fits."""
     buckets = defaultdict(set)
     for text, lang in rows:
-        if lang is not None and text is not None and len(text.encode()) <= 8192 and regex.search(r"\p{L}", text):
+        if lang is not None and text is not None and regex.search(r"\p{L}", text):
             h = spark_hash(0, text)
             buckets[lang, h % 32].add((h, text))
     out = {}
     for lang in sorted({k for k, _ in buckets}):
         taken, size = [], 0
-        for _, text in sorted(x for (k, _), held in buckets.items() if k == lang for x in sorted(held)[:4]):
-            raw = text.lower().encode()
-            if size + len(raw) + 1 <= 131072:
-                taken.append(raw)
-                size += len(raw) + 1
-        out[lang] = b"\n".join(taken)
+        drawn = sorted(x for (k, _), held in buckets.items() if k == lang for x in sorted(held)[:4])
+        for _, text in drawn:
+            if size + len(text.encode()) + 1 <= 131072:
+                taken.append(text.lower().encode())
+                size += len(text.encode()) + 1
+        out[lang] = b"\n".join(taken or [drawn[0][1][:131072].lower().encode()])
     return out
 
 
