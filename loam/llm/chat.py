@@ -73,7 +73,8 @@ def _in_parts(rows: DataFrame, long: DataFrame, same, size, part_chars: int) ->
     """rows with part. The turns of long dialogues are range-partitioned by their order, so one dialogue has many tasks; a
     turn's place is what its partition holds before it plus what earlier partitions of its dialogue hold."""
     order = ["turn", "role", "text"]
-    dealt = rows.join(long, same, "left_semi").repartitionByRange("conv_id", "turn", "role", F.xxhash64("text"), "text")
+    # Texts that begin alike share a range, so ranges are in the order of whole texts; bounds hold no long ones.
+    dealt = rows.join(long, same, "left_semi").repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64))
     dealt = written(dealt.withColumn("deal", F.spark_partition_id()).withColumn("chars", size), "long-turns")
     held = dealt.groupBy("conv_id", "deal").agg(F.sum("chars").alias("held"))
     earlier = Window.partitionBy("conv_id").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)

@@ -110,6 +110,35 @@ def test_long_dialogues_come_in_parts(spark):
     assert max(len(p.rendered) for p in parts) < 3200
 
 
+def test_parts_in_many_ranges(spark):
+    """The parts are the dialogue however its turns are dealt."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        test_long_dialogues_come_in_parts(spark)
+        rows = [(1, None, r, f"{'same beginning ' * (t % 3)}turn {t * 7919 % 300}") for t in range(300) for r in ("amy", "bob")]
+        d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+        whole = {r.speaker: r.rendered for r in chat.rotate(d).collect()}
+        parts = sorted(chat.rotate(d, part_chars=3000).collect(), key=lambda r: r.part)
+        assert {s: "".join(p.rendered for p in parts if p.speaker == s) for s in whole} == whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_languages_of_long_texts_only(spark):
+    """Long labelled texts teach their language, be they longer than the budget too."""
+    import random
+
+    rng = random.Random(3)
+    said = {"en": "the of and to in that was his with for", "fr": "le la des les une dans pour est que pas", "de": "der die und ist nicht ein das mit von sich"}
+    text = lambda lang, size: " ".join(rng.choice(said[lang].split()) + rng.choice(["", "s", "e"]) for _ in range(size // 4))
+    rows = [(text("en", 20000), "en") for _ in range(3)] + [(text("fr", 200000), "fr") for _ in range(2)] + [(text("de", 900), "de")]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    books = langid.fit(labelled)
+    assert set(books) == {"en", "fr", "de"} and max(map(len, books.values())) <= langid.LANG_BYTES
+    asked = spark.createDataFrame([(i, text(k, 3000), k) for i, k in enumerate(said)], "doc_id long, text string, want string")
+    assert all(r.lang_pred == r.want for r in langid.classify(asked, books).collect())
+
+
 def test_vectors(spark):
     rows = [(0, [0.5, 0.25]), (50, [1.0, 1.0]), (50, [2.0, 1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (8, [1.0]), (9, [1e300, -1e300]), (100, [1e308, 1.0]), (10, [-1e7, 1e6]), (150, [1e7, -3e6])]
     d = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
