@@ -237,8 +237,8 @@ def grouped(base: DataFrame) -> DataFrame:
     held = written(base.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     labels = nodes.select("node", F.col("node").alias("comp"))
     for seed in range(HUBS):
-        labels = merged(labels, written(confirm(nearest_hubs(multi, labels, known, seed), held), "links", few=True))
-    labels = merged(labels, written(confirm(still_apart(multi, labels, known), held), "links", few=True))
+        labels = merged(labels, written(confirm(nearest_hubs(multi, labels, known, seed), held), "links"))
+    labels = merged(labels, written(confirm(still_apart(multi, labels, known), held), "links"))
     named = classes.select("node", "doc_id", "th").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
     of_class = classes.select("node", "k1", "k2", "n").join(named.select("node", "comp"), "node").join(least, "comp")
