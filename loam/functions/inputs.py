@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 # Parts of hosts and what they are, in order. ----------------------------------------------------------
 PASTE_HOSTS = ["douyin.com", "xiaohongshu.com", "kuaishou.com", "instagram.com"]
 REMOVED_HOSTS = ["youtube.com", "youtu.be", "x.com", "twitter.com", "medium.com"]
-SITES = [("mp.weixin.qq.com", "weixin"), ("xiaoyuzhoufm.com", "podcast"), ("ximalaya.com", "podcast"), ("bilibili.com", "video"), ("weibo.com", "weibo"), ("toutiao.com", "news"), ("baijiahao.baidu.com", "news")]
-SITE_NAMES = [
-    ("mp.weixin.qq.com", "微信公众号"), ("xiaoyuzhoufm.com", "小宇宙播客"), ("ximalaya.com", "喜马拉雅"), ("bilibili.com", "B站视频"), ("weibo.com", "微博"), ("toutiao.com", "今日头条"),
-    ("baijiahao.baidu.com", "百家号"), ("weread.qq.com", "微信读书"), ("zhihu.com", "知乎"), ("juejin.cn", "掘金"), ("csdn.net", "CSDN"), ("jianshu.com", "简书"), ("sspai.com", "少数派"),
-    ("36kr.com", "36氪"), ("infoq.cn", "InfoQ"), ("water.gov.cn", "水利部"), ("mwr.gov.cn", "水利部"), ("mee.gov.cn", "生态环境部"), ("ihchina.cn", "中国古迹遗址保护协会"),
-    ("hikvision.com", "海康威视"), ("dahuatech.com", "大华技术"), ("huaweicloud.com", "华为云"), (".gov.cn", "政务网站"),
+#: (part of a host, name of the site, what an address of it is; None: any web page)
+SITES = [
+    ("mp.weixin.qq.com", "微信公众号", "weixin"), ("xiaoyuzhoufm.com", "小宇宙播客", "podcast"), ("ximalaya.com", "喜马拉雅", "podcast"), ("bilibili.com", "B站视频", "video"),
+    ("weibo.com", "微博", "weibo"), ("toutiao.com", "今日头条", "news"), ("baijiahao.baidu.com", "百家号", "news"), ("weread.qq.com", "微信读书", None), ("zhihu.com", "知乎", None),
+    ("juejin.cn", "掘金", None), ("csdn.net", "CSDN", None), ("jianshu.com", "简书", None), ("sspai.com", "少数派", None), ("36kr.com", "36氪", None), ("infoq.cn", "InfoQ", None),
+    ("water.gov.cn", "水利部", None), ("mwr.gov.cn", "水利部", None), ("mee.gov.cn", "生态环境部", None), ("ihchina.cn", "中国古迹遗址保护协会", None), ("hikvision.com", "海康威视", None),
+    ("dahuatech.com", "大华技术", None), ("huaweicloud.com", "华为云", None), (".gov.cn", "政务网站", None),
 ]
 INTENTS = {
     "audio": "podcast", "播客": "podcast", "音频": "podcast", "语音": "podcast", "slide-deck": "pptx", "ppt": "pptx", "幻灯片": "pptx", "演示": "pptx", "slide_deck": "pptx",
@@ -29,7 +30,7 @@ def input_type(col, supported: list[str]) -> Column:
     s = F.trim(F.col(col) if isinstance(col, str) else col)
     host = F.lower(F.regexp_extract(s, r"^https?://(?:[^/@]*@)?([^/:?#]+)", 1))
     ext = F.lower(F.regexp_extract(s, r"(\.[A-Za-z0-9]+)$", 1))
-    site = F.coalesce(*[F.when(F.contains(host, F.lit(h)), "paste") for h in PASTE_HOSTS], *[F.when(F.contains(host, F.lit(h)), "removed") for h in REMOVED_HOSTS], *[F.when(F.contains(host, F.lit(h)), kind) for h, kind in SITES], F.lit("url"))
+    site = F.coalesce(*[F.when(F.contains(host, F.lit(h)), "paste") for h in PASTE_HOSTS], *[F.when(F.contains(host, F.lit(h)), "removed") for h in REMOVED_HOSTS], *[F.when(F.contains(host, F.lit(h)), kind) for h, _, kind in SITES if kind], F.lit("url"))
     kind = F.when(ext == ".epub", "epub").when(ext.isin(AUDIO), "audio").when(ext == ".zip", "zip").when(ext.isin(supported), "document")
     phrase = F.rlike(s, F.lit(r"(?U)^[\w一-鿿\- ]{2,60}$"))
     return F.when(host != "", site).otherwise(F.coalesce(kind, F.when(phrase, "search"), F.lit("unknown")))
@@ -38,7 +39,7 @@ def input_type(col, supported: list[str]) -> Column:
 def site_name(url) -> Column:
     """The name of the first known site that the address's host contains, else that of any web page."""
     host = F.lower(F.regexp_extract(F.col(url) if isinstance(url, str) else url, r"^https?://(?:[^/@]*@)?([^/:?#]+)", 1))
-    return F.coalesce(*[F.when(F.contains(host, F.lit(h)), name) for h, name in SITE_NAMES], F.lit("网页"))
+    return F.coalesce(*[F.when(F.contains(host, F.lit(h)), name) for h, name, _ in SITES], F.lit("网页"))
 
 
 def intent(col) -> Column:

@@ -10,7 +10,7 @@ TOKEN = r"[a-z0-9]+|[一-鿿]"
 CJK = r"[一-鿿]"
 SENTENCE_ENDS = "。！？!?；;\n"
 SENTENCE_CUT = r"(?<=[。！？!?；;\n])"
-STOP_CHARS = "的是在了我你他她它们这与那和或及不也应被等都就很更要会能可把给到从对为以于其此个各上中下前后内外让使将已并而但若因由"
+STOP_CHARS = "的是在了我你他她它们这与那和或及不也应被等也都就很更要会能可把给到从对为以于其此个其各上中下前后内外的把被让使将已并而但若若因由"
 MASKS = [("idcard", r"(?U)\d{17}[\dXx]"), ("phone", r"(?U)1[3-9]\d{9}"), ("email", r"(?U)[\w.+-]+@[\w.-]+\.\w+")]
 HTML_TAG = (
     r"(?i)</?(?:html|head|body|title|meta|link|script|style|div|span|p|br|hr|img|a|table|thead|tbody|tr|td|th|ul|ol|li|dl|dt|dd|h[1-6]|strong|b|i|u|em|"
@@ -58,7 +58,7 @@ NARRATION_RULE = r"(?m)^\s*(?:-{3,}|\*{3,}|_{3,})\s*$"
 NARRATION_PAGE = r"第\s*(\d{1,4})\s*页"
 EXTENSIONS = [".txt", ".md", ".docx", ".pptx", ".pdf", ".xlsx", ".xlsm", ".csv", ".html", ".htm", ".json", ".epub", ".jpg", ".jpeg", ".png", ".bmp", ".webp", ".gif"]
 ENTITY_CN = (
-    "[一-龥]{2,8}(?:平台|系统|一张图|数字孪生|孪生|感知|网关|边缘|算法|模型|库|闸|坝|渠|泵站|涵洞|堤防|水库|清淤|疏浚|灌区|水文|水质|水量|调度|预警|"
+    "[一-龥]{2,8}(?:平台|系统|一张图|数字孪生|孪生|一张图|感知|网关|边缘|算法|模型|库|闸|坝|渠|泵站|涵洞|堤防|水库|清淤|疏浚|灌区|水文|水质|水量|调度|预警|"
     "稽核|监管|台账|档案|规范|标准|条例|办法|方案|工程|项目|设备|终端|传感|采集|传输|中枢|底座|中台)"
 )
 ENTITY_ABBREVIATION = r"(?<![A-Za-z])([A-Z][A-Z0-9\-]{1,7})(?![A-Za-z])"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators import near
 
 MIN_CHARS = 8
 NEAR = 0.97
@@ -41,12 +42,14 @@ def drop_short(chunks: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
 
 def exact_dedup(chunks: DataFrame) -> DataFrame:
-    """The first chunk of each trimmed text, with the sources of all in order of their first chunk (src_all)."""
+    """The first chunk of each trimmed text, with the sources of all in order of their first chunk (src_all, which replaces a
+    column of that name). Null texts are equal among themselves, and to no other."""
+    chunks = chunks.drop("src_all")
     key = F.sha2(T.strip("text").cast("binary"), 256)
     first = F.min_by(F.struct(*chunks.columns), F.col("chunk_ord"))
     # A text's sources are few, however many its copies: they are reduced to one row each before they meet.
-    by_source = chunks.withColumn("_k", key).groupBy("_k", "source").agg(first.alias("c"), F.min("chunk_ord").alias("o"))
-    out = by_source.groupBy("_k").agg(F.min_by("c", "o").alias("c"), F.transform(F.array_sort(F.collect_list(F.struct("o", "source"))), lambda x: x.source).alias("src_all"))
+    by_source = chunks.groupBy(key.alias("_k"), F.col("source").alias("_s")).agg(first.alias("c"), F.min("chunk_ord").alias("o"))
+    out = by_source.groupBy("_k").agg(F.min_by("c", "o").alias("c"), F.transform(F.array_sort(F.collect_list(F.struct("o", "_s"))), lambda x: x["_s"]).alias("src_all"))
     return out.select("c.*", "src_all")
 
 
@@ -86,21 +89,10 @@ def near_pairs(vectors: DataFrame, threshold: float = NEAR, block_rows: int = BL
 
 
 def near_dedup(chunks: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """Chunks that survive greedy near-dedup in order: one goes if an earlier survivor is nearer than threshold.
-
-    The rule is resolved on the pair graph: a row without an undecided earlier neighbour is decided in each round, and a
-    chain takes as many rounds as it is long. Rows without a vector survive."""
-    pairs = near_pairs(chunks, threshold).select(F.col("a").alias("early"), F.col("b").alias("late")).checkpoint()
-    gone = None
-    while True:
-        # Undecided are the rows whose earlier neighbours are not all decided.
-        open_ = pairs if gone is None else pairs.join(gone.select(F.col("n").alias("early")), "early", "left_anti").join(gone.select(F.col("n").alias("late")), "late", "left_anti")
-        sure = open_.select(F.col("early").alias("n")).distinct().join(open_.select(F.col("late").alias("n")).distinct(), "n", "left_anti")
-        fresh = open_.join(sure.withColumnRenamed("n", "early"), "early", "left_semi").select(F.col("late").alias("n")).distinct().checkpoint()
-        if fresh.isEmpty():
-            break
-        gone = fresh if gone is None else gone.unionByName(fresh).distinct().checkpoint()
-    return chunks if gone is None else chunks.join(gone.withColumnRenamed("n", "chunk_ord"), "chunk_ord", "left_anti")
+    """Chunks that survive greedy near-dedup in order: one goes if an earlier survivor is nearer than threshold. Rows without
+    a vector survive."""
+    pairs = near.pairs(chunks, threshold).select(F.col("a").alias("early"), F.col("b").alias("late"))
+    return chunks.join(near.gone(pairs).withColumnRenamed("n", "chunk_ord"), "chunk_ord", "left_anti")
 
 
 def rebuild(chunks: DataFrame, threshold: float = NEAR) -> DataFrame:
@@ -241,8 +233,9 @@ def chunk_search(chunks: DataFrame, q: str, limit: int = 50) -> DataFrame:
 
 def source_filter_fallback(hits: DataFrame, picked: list[str]) -> DataFrame:
     """Hits of the picked sources, or all of them where none is."""
-    some = hits.agg(F.coalesce(F.bool_or(F.col("source").isin(picked)), F.lit(False)).alias("_any"))
-    return hits.crossJoin(F.broadcast(some)).filter(F.col("source").isin(picked) | ~F.col("_any")).drop("_any")
+    found = T.spare(hits, "found")
+    some = hits.agg(F.coalesce(F.bool_or(F.col("source").isin(picked)), F.lit(False)).alias(found))
+    return hits.crossJoin(F.broadcast(some)).filter(F.col("source").isin(picked) | ~F.col(found)).drop(found)
 
 
 def diff(old: str, new: str) -> dict:

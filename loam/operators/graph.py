@@ -11,9 +11,9 @@ MAX_ENTITIES, MIN_DF, MIN_WEIGHT = 40, 2, 2
 def postings(mentions: DataFrame, most: int = MAX_ENTITIES) -> DataFrame:
     """chunk_ord, term: distinct mentions; a chunk keeps its `most` most frequent terms (ties by term)."""
     found = mentions.select("chunk_ord", "term").distinct()
-    df = found.groupBy("term").agg(F.count("*").alias("_df"))
-    w = Window.partitionBy("chunk_ord").orderBy(F.col("_df").desc(), "term")
-    return found.join(df, "term").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("chunk_ord", "term")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("chunk_ord").orderBy(F.col("df").desc(), "term")
+    return found.join(df, "term").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).select("chunk_ord", "term")
 
 
 def nodes(held: DataFrame, least: int = MIN_DF, seeds: tuple[str, ...] = ()) -> DataFrame:

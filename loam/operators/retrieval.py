@@ -7,6 +7,8 @@ counted within each row, so no posting list is shuffled and BM25 costs one pass
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def cosine(a, b, norm_b=None):
 def _beside(chunks: DataFrame, query: DataFrame) -> tuple[DataFrame, Column, list[str]]:
     """chunks beside the query's one row, their cosine to its qv, and the columns to be dropped after it."""
     v, n = T.spare(chunks, "_qv"), T.spare(chunks, "_qn")
-    row = query.select(F.col("qv").alias(v), F.sqrt(dot(F.col("qv"), F.col("qv"))).alias(n))
+    row = query.limit(1).select(F.col("qv").alias(v), F.sqrt(dot(F.col("qv"), F.col("qv"))).alias(n))
     return chunks.crossJoin(F.broadcast(row)), cosine(F.col("embedding"), F.col(v), F.col(n)), [v, n]
 
 
@@ -63,7 +65,7 @@ def _scored(rows: DataFrame, counts: DataFrame, question: str, by: list[str], dl
     df = F.array(*[F.sum(F.when(F.col(tf)[i] > 0, m).otherwise(0)) for i in range(len(words))])
     stats = counts.groupBy(*by).agg(F.sum(m).alias(n_), (F.sum(F.col(dl) * m) / F.sum(m)).alias(avg), df.alias(dfs))
     # One row, or one a store: of stores there may be many, so their join is left to the planner.
-    joined = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))
+    joined = _by_store(rows, stats, by)
     score = F.lit(0.0)
     for i, w in enumerate(words):
         idf = F.log(1 + (F.col(n_) - F.col(dfs)[i] + 0.5) / (F.col(dfs)[i] + 0.5))
@@ -72,6 +74,15 @@ def _scored(rows: DataFrame, counts: DataFrame, question: str, by: list[str], dl
     return joined.withColumn("bm25", score).drop(n_, avg, dfs)
 
 
+def _by_store(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """rows beside the one row of stats, or beside that of their store: a null store is a store."""
+    if not by:
+        return rows.crossJoin(F.broadcast(stats))
+    keys = {c: T.spare(rows, f"_{c}_of") for c in by}
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return rows.join(stats.withColumnsRenamed(keys), same).drop(*keys.values())
+
+
 def _kinds(counted: DataFrame, by: list[str], dl: str, tf: str) -> DataFrame:
     # The filter drops nothing: it keeps the count in the plan of those who don't need it, so that all use one exchange.
     return counted.groupBy(*by, dl, tf).agg(F.count("*").alias("_m")).filter("_m > 0")
@@ -109,7 +120,7 @@ def minmax(scored: DataFrame, column: str = "bm25", by: list[str] | None = None)
 
 
 def _scale(scored: DataFrame, ends: DataFrame, column: str, by: list[str], lo: str, hi: str) -> DataFrame:
-    joined = scored.join(ends, by) if by else scored.crossJoin(F.broadcast(ends))
+    joined = _by_store(scored, ends, by)
     norm = F.when(F.col(hi) == F.col(lo), 0.0).otherwise((F.col(column) - F.col(lo)) / (F.col(hi) - F.col(lo)))
     return joined.withColumn("norm", norm).drop(lo, hi)
 
@@ -146,9 +157,9 @@ def retrieve_multi(hits: DataFrame, most: int = 12) -> DataFrame:
 
 
 def sentence_scores(hits: DataFrame, question: str) -> DataFrame:
-    """hits (ord, text, score) cut into sentences: pos, sentence, s_score."""
+    """hits (ord, text, score) cut into sentences: pos, sentence, s_score, which replace columns of those names."""
     q = F.array(*[F.lit(t) for t in dict.fromkeys(_tokens(question)) if t not in T.STOP_CHARS]).cast("array<string>")
-    rows = hits.select("*", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    rows = hits.drop("pos", "sentence", "s_score").select("*", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
     uniq = F.array_distinct(T.tokens("sentence"))
     hit = F.size(F.array_intersect(uniq, q))
     n = F.char_length("sentence")
@@ -164,7 +175,7 @@ def compress_context(hits: DataFrame, question: str, max_tokens: int = 1200) ->
     Sentences go by score; under 6 characters or of no score are dropped; the first that would overrun the budget ends
     it, counted before repeats (of the first 40 characters) are dropped; labels come in the order of their first sentence.
     """
-    rows = sentence_scores(hits, question).filter((F.char_length("sentence") >= 6) & (F.col("s_score") > 0))
+    rows = sentence_scores(hits.select("ord", "text", "score", "label"), question).filter((F.char_length("sentence") >= 6) & (F.col("s_score") > 0))
     order = Window.orderBy(F.col("s_score").desc(), "ord", "pos")
     rows = rows.withColumn("_r", F.row_number().over(order)).withColumn("_k", F.substring("sentence", 1, 40))
     rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy("_k").orderBy("_r")) == 1)
@@ -180,16 +191,18 @@ def build_context(hits: DataFrame, by: list[str], limit: int = CONTEXT_CHARS) ->
     """Blocks of ranked hits (rank, label, breadcrumb, text) until the first that would overrun the limit."""
     head = F.concat(F.lit("【"), F.when(F.coalesce(F.col("breadcrumb"), F.lit("")) == "", F.col("label")).otherwise(F.concat("breadcrumb", F.lit(" · "), "label")), F.lit("】\n"))
     w = Window.partitionBy(*by).orderBy("rank")
-    rows = hits.withColumn("block", F.concat(head, "text")).withColumn("_n", F.char_length("block"))
+    rows = hits.select(*by, "rank", F.concat(head, "text").alias("block"))
     # Lengths are positive, so the running sum passes the limit once and for all.
-    rows = rows.withColumn("_stop", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) > limit)
-    return rows.filter(~F.col("_stop")).select(*by, "rank", "block")
+    upto = F.sum(F.char_length("block")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    stop = T.spare(rows, "stop")
+    return rows.withColumn(stop, upto > limit).filter(~F.col(stop)).select(*by, "rank", "block")
 
 
 def include_then_stop(rows: DataFrame, by: list[str], order: list, length, limit: int) -> DataFrame:
     """Keeps rows while what came before is within the limit."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_before", F.coalesce(F.sum(length).over(w), F.lit(0))).filter(F.col("_before") <= limit).drop("_before")
+    before = T.spare(rows, "before")
+    return rows.withColumn(before, F.coalesce(F.sum(length).over(w), F.lit(0))).filter(F.col(before) <= limit).drop(before)
 
 
 def budget_skip(rows: DataFrame, by: str, order: str, length: str, limit: int) -> DataFrame:
@@ -217,7 +230,8 @@ def export_context(hits: DataFrame, by: str, top: int = 10, each: int = 1600, mo
 def related_slide(hits: DataFrame, by: str) -> DataFrame:
     """by, page: the slide of the best of the first eight hits that name one; of equal scores the last."""
     page = F.coalesce(F.col("page"), F.nullif(F.regexp_extract("label", r"第\s*(\d+)\s*页", 1), F.lit("")).cast("int"))
-    return hits.filter(F.col("rank") <= 8).withColumn("_p", page).filter(F.col("_p").isNotNull()).groupBy(by).agg(F.max_by("_p", F.struct("score", "rank")).alias("page"))
+    named = hits.filter(F.col("rank") <= 8).select(by, page.alias("p"), F.struct("score", "rank").alias("best"))
+    return named.filter("p is not null").groupBy(by).agg(F.max_by("p", "best").alias("page"))
 
 
 def format_context(hits: DataFrame) -> DataFrame:

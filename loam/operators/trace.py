@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators import scan
 
 
 def trace_tail(events: DataFrame, kind: str, limit: int = 50) -> DataFrame:
@@ -17,8 +18,7 @@ def trace_stats(events: DataFrame, kinds: list[str] | None = None, newest: int |
     0 where events have none."""
     rows = events if kinds is None else events.filter(F.col("kind").isin(kinds))
     if newest is not None:
-        r = T.spare(rows, "r")
-        rows = rows.withColumn(r, F.row_number().over(Window.partitionBy("kind").orderBy(F.col("ts").desc()))).filter(F.col(r) <= newest).drop(r)
+        rows = scan.newest(rows, ["kind"], [F.col("ts").desc()], newest)
     ok = F.col("status").isin("ok", "done")
     spent = F.coalesce(F.sum("tokens"), F.lit(0)).cast("long") if "tokens" in rows.columns else F.lit(0).cast("long")
     out = rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("secs", F.lit(0.0))), 1).alias("secs"), spent.alias("tokens"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "error").alias("err"), F.max("ts").alias("last_ts"))
@@ -55,7 +55,7 @@ def qa_export(log: DataFrame) -> DataFrame:
 def motion_peaks(frames: DataFrame, by: str, order: list[str], value: str, control: str, above: float = 1.5) -> DataFrame:
     """by, n, peak, low, mean, peaks: absolute differences of neighbours, and how many exceed the control's mean by `above`."""
     d = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(by).orderBy(*order)))
-    rows = frames.withColumn("_d", d).filter(F.col("_d").isNotNull())
+    rows = frames.select(by, d.alias("_d")).filter(F.col("_d").isNotNull())
     base = rows.filter(F.col(by) == control).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("_m"))
     return rows.crossJoin(F.broadcast(base)).groupBy(by).agg(F.count("*").alias("n"), F.max("_d").alias("peak"), F.min("_d").alias("low"), F.avg("_d").alias("mean"), F.count_if(F.col("_d") > F.col("_m") + above).alias("peaks"))
 
@@ -70,7 +70,8 @@ def smoothed_envelope(rows: DataFrame, by: str, order: list[str], value: str) ->
 def history_last(turns: DataFrame, n: int = 3) -> DataFrame:
     """The last turns of each conversation."""
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return turns.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    r = T.spare(turns, "r")
+    return turns.withColumn(r, F.row_number().over(w)).filter(F.col(r) <= n).drop(r)
 
 
 def history_parse(col):
@@ -100,5 +101,5 @@ def agent_stats(runs: DataFrame) -> DataFrame:
 
 
 def compact_history(log: DataFrame, by: str, keep: int = 500) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.col("ts").desc())
-    return log.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+    """The newest `keep` records of each key, however many it has."""
+    return scan.newest(log, [by], [F.col("ts").desc()], keep)
