@@ -155,7 +155,7 @@ class _Question:
         mine = lambda rows: rows.filter(F.col("bucket").isin([zlib.crc32(w.encode()) % manifest["buckets"] for w in self.words]) & F.col("token").isin(self.words)) if self.words else rows.limit(0)
         self.dead = _read(spark, root, manifest, "dead") if any("dead" in s["has"] for s in manifest.get("segments", [])) else None
         df = mine(_read(spark, root, manifest, "dfs")).groupBy(*by).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("token") == w, F.col("n"))), F.lit(0)) for w in self.words]).cast("array<long>").alias("df"))
-        size = _read(spark, root, manifest, "totals").groupBy(*by).agg(F.sum("n").alias("all"), (F.sum("dl") / F.sum("n")).alias("avg"))
+        size = _read(spark, root, manifest, "totals").groupBy(*by).agg(F.sum("n").alias("all"), F.try_divide(F.sum("dl"), F.sum("n")).alias("avg")).filter(F.col("all") > 0)
         # A row, or one a store: words of the question and two numbers.
         same = reduce(Column.__and__, [df[c].eqNullSafe(size[c]) for c in by], F.lit(True))
         weights = df.join(size, same).select(*[df[c].alias(f"_{c}") for c in by], "df", "all", "avg")

@@ -1,6 +1,6 @@
 """Query keys over the driver's tables and their DuckDB equivalents."""
 
-from loam.plans import chunk_queries, corpus_queries, literal_queries, retrieval_queries
+from loam.plans import chunk_queries, corpus_queries, literal_queries, retrieval_queries, store_queries
 
-QUERIES = {**retrieval_queries.Q, **corpus_queries.Q, **chunk_queries.Q, **literal_queries.Q}
-ORACLE_SQL = {**retrieval_queries.SQL, **corpus_queries.SQL, **chunk_queries.SQL, **literal_queries.SQL}
+QUERIES = {**retrieval_queries.Q, **corpus_queries.Q, **chunk_queries.Q, **literal_queries.Q, **store_queries.Q}
+ORACLE_SQL = {**retrieval_queries.SQL, **corpus_queries.SQL, **chunk_queries.SQL, **literal_queries.SQL, **store_queries.SQL}

@@ -93,19 +93,6 @@ def _(spark, sf):
     return C.near_pairs(v, 0.4).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-def _with_checkpoint(spark):
-    """near_dedup cuts lineage by checkpoints: the folder is the cluster's, or a temporary one of a local session."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="loam-")
-        spark.sparkContext.setCheckpointDir(root)
-
-
 #: The greedy rule as it is told: row by row, in order, against the survivors so far.
 GREEDY = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 nb AS (SELECT b.vec_id, list(a.vec_id) FILTER (a.vec_id IS NOT NULL) AS l FROM v b LEFT JOIN v a ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > 0.35 GROUP BY 1),
@@ -116,14 +103,12 @@ SELECT unnest(kept) AS chunk_ord FROM r WHERE i = (SELECT max(vec_id) FROM embed
 
 @query("near_dedup", GREEDY)
 def _(spark, sf):
-    _with_checkpoint(spark)
     v = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_ord")
     return C.near_dedup(v, 0.35).select("chunk_ord")
 
 
 @query("rebuild_stats", f"WITH {CHUNKS}, {EXACT} SELECT (SELECT count(*) FROM chunks) AS before, count(*) AS after FROM e JOIN chunks USING (chunk_ord) WHERE length(trim(text, {WS})) >= 8")
 def _(spark, sf):
-    _with_checkpoint(spark)
     all_ = chunks(spark, sf)
     return all_.agg(F.count("*").alias("before")).crossJoin(C.rebuild(all_).agg(F.count("*").alias("after")))
 
