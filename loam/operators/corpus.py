@@ -178,13 +178,15 @@ def unique_slugs(names: DataFrame) -> DataFrame:
     rows = names.withColumn(s, base).withColumn(root, F.regexp_replace(s, "[0-9]+$", ""))
 
     def allot(pdf):
-        taken, out = set(), []
+        # Slugs are never given back, so a name's search goes on where its last one ended.
+        taken, free, out = set(), {}, []
         pdf = pdf.sort_values(["ord", s], kind="stable")
         for name in pdf[s]:
-            k, slug = 2, name
+            k, slug = free.get(name, 2), name
             while slug in taken:
                 k, slug = k + 1, f"{name}{k}"
             taken.add(slug)
+            free[name] = k
             out.append(slug)
         return pdf.drop(columns=[s, root]).assign(slug=out)
 

@@ -91,11 +91,25 @@ def augment_chain(hits: DataFrame, held: DataFrame, nodes_: DataFrame, edges_: D
     return out.select("chunk_ord", "via", "term", "weight", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(0.05)), 4).alias("score"))
 
 
-def two_hops(edges_: DataFrame) -> DataFrame:
-    """a, b, w of terms two edges apart, by the sum of both weights, the heaviest way."""
+#: Rows of a block of a self-join: no task pairs more than two blocks of one key.
+BLOCK = 512
+
+
+def dealt(rows: DataFrame, key: str, by: str, block: int = BLOCK) -> DataFrame:
+    """rows with b and parts: each key's rows in blocks of some `block` rows, by hash. Keys are counted before rows meet."""
+    many = rows.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    return rows.join(many, F.col(key) == F.col("_key")).drop("_key").withColumn("b", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+
+
+def two_hops(edges_: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b, w of terms two edges apart, by the sum of both weights, the heaviest way. A hub's edges are dealt to blocks, and
+    each pair of blocks is joined for itself."""
     both = edges_.select("a", "b", "w").unionByName(edges_.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    step = both.select(F.col("a").alias("m"), F.col("b"), F.col("w").alias("w2"))
-    return both.select("a", F.col("b").alias("m"), "w").join(step, "m").filter("a <> b").groupBy("a", "b").agg(F.max(F.col("w") + F.col("w2")).alias("w"))
+    held = dealt(both.select(F.col("a").alias("m"), F.col("b").alias("end"), "w"), "m", "end", block)
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = held.select("m", F.col("b").alias("p"), others.alias("q"), F.col("end").alias("a"), "w")
+    right = held.select("m", others.alias("p"), F.col("b").alias("q"), F.col("end").alias("b"), F.col("w").alias("w2"))
+    return left.join(right, ["m", "p", "q"]).filter("a <> b").groupBy("a", "b").agg(F.max(F.col("w") + F.col("w2")).alias("w"))
 
 
 def wiki_link_edges(pages: DataFrame) -> DataFrame:
@@ -104,10 +118,14 @@ def wiki_link_edges(pages: DataFrame) -> DataFrame:
     return links.join(pages.select(F.col("topic").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
-def wiki_cocite_edges(pages: DataFrame) -> DataFrame:
-    """a, b, source: pages a < b that cite the same source."""
-    cites = pages.select("topic", F.explode("sources").alias("source")).distinct()
-    return cites.select(F.col("topic").alias("a"), "source").join(cites.select(F.col("topic").alias("b"), "source"), "source").filter("a < b").select("a", "b", "source")
+def wiki_cocite_edges(pages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b, source: pages a < b that cite the same source. The pages of a source are dealt to blocks, and each pair of blocks
+    p <= q is joined for itself."""
+    cites = dealt(pages.select("topic", F.explode("sources").alias("source")).distinct(), "source", "topic", block)
+    left = cites.select("source", F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), F.col("parts") - 1)).alias("q"), F.col("topic").alias("x"))
+    right = cites.select("source", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("p"), F.col("b").alias("q"), F.col("topic").alias("y"))
+    pairs = left.join(right, ["source", "p", "q"]).filter("p <> q OR x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "source")
 
 
 def wiki_edges(pages: DataFrame) -> DataFrame:
@@ -133,6 +151,11 @@ def mermaid(edges_: DataFrame, most: int = 60) -> DataFrame:
     return lines.select(F.concat(F.lit("graph LR\n"), F.array_join("l", "\n")).alias("mermaid"))
 
 
+def wiki_mermaid(edges_: DataFrame, most: int = 60) -> DataFrame:
+    """One row: wiki_edges() as a mermaid graph, those first that hold for the most reasons."""
+    return mermaid(edges_.withColumn("w", F.size("via")), most)
+
+
 def fallback_topics(docs: DataFrame, want: int = 8, most_chars: int = 24) -> DataFrame:
     """doc_id, topic_ord, topic: headings, then the beginnings of paragraphs, then numbered fillers; unique."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).filter("line <> ''")

@@ -1,6 +1,9 @@
-"""Query keys over the driver's tables and their DuckDB equivalents."""
+"""Query keys over the driver's tables and their DuckDB equivalents. LITERAL and its SQL are checks over rows written out by hand,
+which tests run; they read no table and are no queries."""
 
-from loam.plans import chunk_queries, corpus_queries, literal_queries, retrieval_queries, store_queries
+from loam.plans import chunk_queries, corpus_queries, derived_queries, literal_queries, retrieval_queries, store_queries
 
-QUERIES = {**retrieval_queries.Q, **corpus_queries.Q, **chunk_queries.Q, **literal_queries.Q, **store_queries.Q}
-ORACLE_SQL = {**retrieval_queries.SQL, **corpus_queries.SQL, **chunk_queries.SQL, **literal_queries.SQL, **store_queries.SQL}
+_HELD = (retrieval_queries, corpus_queries, chunk_queries, store_queries, derived_queries)
+QUERIES = {k: v for m in _HELD for k, v in m.Q.items()}
+ORACLE_SQL = {k: v for m in _HELD for k, v in m.SQL.items()}
+LITERAL, LITERAL_SQL = literal_queries.Q, literal_queries.SQL

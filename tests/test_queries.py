@@ -27,18 +27,22 @@ def duck():
 
 
 def names():
-    from loam.plans.catalog import ORACLE_SQL
+    return sorted(every()[1])
 
-    return sorted(ORACLE_SQL)
+
+def every():
+    """The registered queries, and the checks over rows written out by hand."""
+    from loam.plans.catalog import LITERAL, LITERAL_SQL, ORACLE_SQL, QUERIES
+
+    return QUERIES | LITERAL, ORACLE_SQL | LITERAL_SQL
 
 
 @pytest.mark.parametrize("name", names())
 def test_matches_oracle(spark, duck, name):
-    from loam.plans.catalog import ORACLE_SQL, QUERIES
-
-    df = QUERIES[name](spark, SF)
+    queries, oracles = every()
+    df = queries[name](spark, SF)
     cols = sorted(df.columns)
-    want = duck.sql(ORACLE_SQL[name])
+    want = duck.sql(oracles[name])
     assert sorted(want.columns) == cols
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     assert got == sorted((tuple(norm(dict(zip(want.columns, r))[c]) for c in cols) for r in want.fetchall()), key=repr)
