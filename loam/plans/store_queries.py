@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loam.functions import tables
 from loam.operators import corpus as C
-from loam.operators import index, near, package, scan
+from loam.operators import index, memo, near, package, scan
+from loam.plans.chunk_queries import WHOLE
 from loam.plans.corpus_queries import EXACT, PLAY, WS, events
 from loam.plans.retrieval_queries import CHUNKS, QUESTION, bm25_sql, chunks, fused_sql, query_vec, table
-from loam.sources import logstore
-from loam.sources.scratch import folder
+from loam.sources import logstore, readers
+from loam.sources.scratch import folder, written
+
+CHUNKED = WHOLE + "SELECT doc_id, ord::INT AS chunk_ord, piece AS text, '' AS breadcrumb FROM c"
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -114,3 +118,75 @@ SELECT e.chunk_ord FROM e JOIN chunks USING (chunk_ord) LEFT JOIN v USING (chunk
 @query("rebuild_near", REBUILT)
 def _(spark, sf):
     return C.rebuild(chunks(spark, sf), 0.35).select("chunk_ord")
+
+
+# Embeddings are kept: the second pass over all documents sends only what the first, over some languages, has not sent. --------
+
+
+@query("reindex_memo", """WITH t AS (SELECT text, lang FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288)) <> ''), s AS (SELECT count(DISTINCT text) AS n FROM t),
+k AS (SELECT count(DISTINCT text) AS n FROM t WHERE lang <> 'de') SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM t) AS wanted, s.n AS texts, k.n AS known, s.n - k.n AS embedded, 0 AS failed FROM s, k""")
+def _(spark, sf):
+    root, provider = folder(spark, "memo"), memo.hashed_tokens()
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_ord"), "lang", "text")
+    memo.reindex(d.filter("lang <> 'de'"), root, "hashed", provider)
+    return memo.reindex(d, root, "hashed", provider)[1]
+
+
+@query("sql_chunk", CHUNKED)
+def _(spark, sf):
+    tables.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("loam_documents")
+    return spark.sql("SELECT doc_id, c.* FROM loam_documents, LATERAL chunk(text) AS c")
+
+
+def diff_documents(spark, sf):
+    """Each document against the next: no SQL, tests hold the scripts against dynamic programming."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    following = scan.prefix(d, [], [F.col("doc_id").desc()], lags={"next": "text"})
+    return tables.diffs(following, "text", "next").select("doc_id", "hunk", "old_start", "old_lines", "new_start", "new_lines", "ratio")
+
+
+Q["diff_documents"] = diff_documents
+
+
+# Pages packed into archives and events written as a log, by Spark, are read by the library's own sources. -----------------------
+
+
+@query("zip_members", "SELECT page_id, md5(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS size FROM pages")
+def _(spark, sf):
+    root = folder(spark, "archives")
+
+    def pack(batches):
+        import io
+        import uuid
+        import zipfile
+
+        import pandas as pd
+
+        from loam.sources import remote
+
+        for pdf in batches:
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                for i, html in zip(pdf["page_id"], pdf["html"]):
+                    z.writestr(f"pages/{i}.html", html or "")
+            name = f"{root}/{uuid.uuid4().hex}.zip"
+            remote.put(name, raw.getvalue())
+            yield pd.DataFrame({"name": [name]})
+
+    # The names are written, so that what a task leaves that is run again is not read.
+    names = [r.name for r in written(table(spark, sf, "pages").select("page_id", "html").mapInPandas(pack, "name string"), "archive-names").collect()]  # one for each 10,000 pages or task
+    readers.register(spark)
+    rows = spark.read.format("zip_members").option("archives", "\n".join(names)).load(root)
+    return rows.select(F.regexp_extract("member", r"(\d+)", 1).cast("long").alias("page_id"), F.md5("content").alias("digest"), "size")
+
+
+@query("jsonl_tail", "SELECT event_id AS id, user_id FROM events WHERE event_type = 'view' ORDER BY event_id DESC LIMIT 50")
+def _(spark, sf):
+    root = folder(spark, "log")
+    log = table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("kind"))
+    log.repartitionByRange("event_id").sortWithinPartitions("event_id").write.json(root)
+    readers.register(spark)
+    ends = spark.read.format("jsonl_tail").option("limit", 50).option("kind", "view").load(root)
+    held = ends.select(F.from_json("value", "event_id long, user_id long").alias("r")).select(F.col("r.event_id").alias("id"), "r.user_id")
+    return held.orderBy(F.col("id").desc()).limit(50)
