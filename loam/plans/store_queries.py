@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions import tables
+from loam.functions import text as T
 from loam.operators import corpus as C
-from loam.operators import index, memo, near, package, scan
+from loam.operators import graphstore, index, memo, near, package, scan
 from loam.plans.chunk_queries import WHOLE
-from loam.plans.corpus_queries import EXACT, PLAY, WS, events
+from loam.plans.corpus_queries import EDGES, EXACT, PLAY, WS, events
 from loam.plans.retrieval_queries import CHUNKS, QUESTION, bm25_sql, chunks, fused_sql, query_vec, table
-from loam.sources import logstore, readers
+from loam.sources import logstore, ordered, readers
 from loam.sources.scratch import folder, written
 
 CHUNKED = WHOLE + "SELECT doc_id, ord::INT AS chunk_ord, piece AS text, '' AS breadcrumb FROM c"
@@ -190,3 +191,28 @@ def _(spark, sf):
     ends = spark.read.format("jsonl_tail").option("limit", 50).option("kind", "view").load(root)
     held = ends.select(F.from_json("value", "event_id long, user_id long").alias("r")).select(F.col("r.event_id").alias("id"), "r.user_id")
     return held.orderBy(F.col("id").desc()).limit(50)
+
+
+#: The graph of all documents but those of one source, which leave after the others have come in two batches.
+LEFT = EDGES.replace("FROM documents)", "FROM documents WHERE source IS DISTINCT FROM 'src3')")
+
+
+@query("graph_upserts", f"WITH {LEFT} SELECT a, b, w FROM ed")
+def _(spark, sf):
+    root = folder(spark, "graph")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_ord"), "lang", "source", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
+    d = d.filter(F.char_length("term").between(9, 12))
+    graphstore.create(spark, root)
+    graphstore.apply(spark, root, d.filter("lang <> 'de'").select("chunk_ord", "term"))
+    rest = d.filter("lang = 'de' OR lang = 'fr' OR lang IS NULL").select("chunk_ord", "term")
+    graphstore.apply(spark, root, rest, table(spark, sf, "documents").filter("source = 'src3'").select(F.col("doc_id").alias("chunk_ord")))
+    # What came and was removed in one batch has come: it leaves with the next.
+    graphstore.apply(spark, root, removed=table(spark, sf, "documents").filter("source = 'src3'").select(F.col("doc_id").alias("chunk_ord")))
+    return graphstore.edges(spark, root, 3)
+
+
+@query("search_early", f"WITH {CHUNKS} SELECT chunk_ord, source FROM chunks WHERE contains(text, 'tion') ORDER BY chunk_ord LIMIT 50")
+def _(spark, sf):
+    root = folder(spark, "ordered")
+    ordered.write(chunks(spark, sf).select("chunk_ord", "source", "text"), root, "chunk_ord")
+    return ordered.first(spark, root, F.contains("text", F.lit("tion")), 50)[0].select("chunk_ord", "source")

@@ -49,9 +49,9 @@ def counts(spark: SparkSession, root: str, version: int | None = None) -> DataFr
     return _alive(spark, root, m, m["deltas"], _table(spark, root, m["deltas"], "counts", "src string, n long")).drop(SEQ)
 
 
-def upsert(spark: SparkSession, root: str, incoming: DataFrame, batch: str | None = None) -> int:
+def upsert(spark: SparkSession, root: str, incoming: DataFrame, batch: str | None = None, always: bool = False) -> int:
     """The version after an upsert by source: a source held with as many chunks stays, another is replaced, new ones follow
-    (as corpus.upsert). A named batch that the store has already seen changes nothing, so a stream may repeat its last one.
+    (as corpus.upsert); with always, every source that comes is replaced. A named batch that the store has already seen changes nothing, so a stream may repeat its last one.
     Null sources are a source. Columns go by name; those that the store lacks are dropped, missing ones are null."""
     number, m = versions.read(spark, root)
     if batch is not None and batch in m["batches"]:
@@ -66,7 +66,7 @@ def upsert(spark: SparkSession, root: str, incoming: DataFrame, batch: str | Non
     rows = spark.read.schema(schema).parquet(stage)
     fresh = rows.groupBy("src").agg(F.count("*").alias("n"))
     held = counts(spark, root).select(F.col("src").alias("_src"), F.col("n").alias("_n"))
-    both = fresh.join(held, F.col("src").eqNullSafe(F.col("_src")), "left").filter(F.col("_n").isNull() | (F.col("_n") != F.col("n")))
+    both = fresh.join(held, F.col("src").eqNullSafe(F.col("_src")), "left").filter(F.lit(always) | F.col("_n").isNull() | (F.col("_n") != F.col("n")))
     both.select("src", "n", F.col("_n").isNotNull().alias("old")).write.parquet(f"{root}/counts/delta={name}")
     mine = spark.read.schema("src string, n long, old boolean").parquet(f"{root}/counts/delta={name}")
     keys = mine.select(F.col("src").alias("_src"))
