@@ -25,7 +25,7 @@ from loam.llm.words import MUL, mix
 
 SIZE = 100
 #: Bytes of text after which a slice is closed; a longer text is a slice of its own. Positions that are hashed at a time.
-SLICE_BYTES, STEP = 1 << 22, 1 << 16
+SLICE_BYTES, STEP = 1 << 21, 1 << 16
 LOW = np.uint64((1 << 18) - 1)
 M1, M2 = np.uint64(MUL), np.uint64(0xD6E8FEB86659FD93)
 #: What a row says: a span with its keys, a span that goes on in any case, a repeat.
