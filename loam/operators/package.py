@@ -44,18 +44,26 @@ def version_overlay(base: DataFrame, version: DataFrame) -> DataFrame:
     return out.filter(kept).select("idx", F.col("n").alias("narration"), F.col("a").alias("audio"))
 
 
-def timeline(slides: DataFrame, by: list[str], order: str, duration: str) -> DataFrame:
-    """slides with start_at: what was played before, a gap after each; a slide without audio takes a second. A key may hold
-    any number of slides, and by may be empty: one timeline."""
-    d = F.coalesce(F.col(duration), F.lit(SILENT)).cast("double")
-    out = scan.prefix(slides, by, [order], befores={"start_at": d + GAP})
-    return out.withColumn("start_at", F.col("start_at").cast("double"))
-
-
-def asof(times: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
-    """times (by, t) with idx: the last start at or before t plus the tolerance."""
-    asked = times.select(*by, "t", (F.col("t") + TOLERANCE).alias("at"))
-    return scan.asof(asked, starts.select(*by, F.col("start_at").alias("at"), "idx"), by, "at", "idx").select(*by, "t", "idx")
+def timeline(slides: DataFrame, by: list[str], order: str, duration: str, split: bool = False) -> DataFrame:
+    """slides with start_at: what was played before, a gap after each; a slide without audio takes a second. With split a key
+    may hold any number of slides: it is scanned in ranges. by may be empty: one timeline, in ranges."""
+    d = F.coalesce(F.col(duration), F.lit(SILENT)).cast("double") + GAP
+    if split or not by:
+        return scan.prefix(slides, by, [order], befores={"start_at": d}).withColumn("start_at", F.col("start_at").cast("double"))
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return slides.withColumn("start_at", F.coalesce(F.sum(d).over(w), F.lit(0.0)))
+
+
+def asof(times: DataFrame, starts: DataFrame, by: list[str], split: bool = False) -> DataFrame:
+    """times (by, t) with idx: the last start at or before t plus the tolerance. One sort by key, no range join; with split a
+    key is scanned in ranges."""
+    if split or not by:
+        asked = times.select(*by, "t", (F.col("t") + TOLERANCE).alias("at"))
+        return scan.asof(asked, starts.select(*by, F.col("start_at").alias("at"), "idx"), by, "at", "idx").select(*by, "t", "idx")
+    marks = starts.select(*by, F.col("start_at").alias("at"), F.lit(0).alias("kind"), "idx", F.lit(None).cast("double").alias("t"))
+    asked = times.select(*by, (F.col("t") + TOLERANCE).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["idx"].dataType).alias("idx"), "t")
+    w = Window.partitionBy(*by).orderBy("at", "kind", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.unionByName(asked).withColumn("idx", F.last("idx", True).over(w)).filter(F.col("kind") == 1).select(*by, "t", "idx")
 
 
 def media_semi_join(files: DataFrame, refs: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def _(spark, sf):
 @query("ranges_asof", f"WITH {PLAY}, q AS (SELECT event_id, user_id, CAST(event_id % 97 AS DOUBLE) + 0.05 AS start_at FROM events WHERE event_type = 'purchase'), p AS (SELECT user_id, idx, round(start_at, 6) AS start_at FROM pl) SELECT q.event_id, max(p.idx) AS idx FROM q LEFT JOIN p ON p.user_id = q.user_id AND p.start_at <= q.start_at GROUP BY q.event_id")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    played = package.timeline(e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("idx"), F.col("value").alias("dur")), ["user_id"], "idx", "dur")
+    played = package.timeline(e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("idx"), F.col("value").alias("dur")), ["user_id"], "idx", "dur", split=True)
     asked = e.filter("event_type = 'purchase'").select("event_id", "user_id", ((F.col("event_id") % 97).cast("double") + 0.05).alias("start_at"))
     marks = played.select("user_id", F.round("start_at", 6).alias("start_at"), "idx")
     return scan.asof(asked, marks, ["user_id"], "start_at", "idx").select("event_id", "idx")

@@ -39,6 +39,7 @@ EVENT_OPS = {
     "motion_peaks": lambda d: trace.motion_peaks(d, "kind", ["ts", "id"], "secs", "a"),
     "smoothed": lambda d: trace.smoothed_envelope(d, "kind", ["ts", "id"], "secs"),
     "timeline": lambda d: package.timeline(d, ["kind"], "id", "secs"),
+    "timeline_split": lambda d: package.timeline(d, ["kind"], "id", "secs", True),
     "timeline_of_all": lambda d: package.timeline(d, [], "id", "secs"),
     "newest": lambda d: scan.newest(d, ["kind"], [F.col("ts").desc(), "id"], 1),
     "history_last": lambda d: trace.history_last(d.withColumnsRenamed({"kind": "conv_id", "id": "turn"}), 1),
