@@ -203,7 +203,8 @@ def split_slices(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
 
 def word_ids(slices: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     """slice, bucket, words, sizes, ids: the distinct-word table, a row for each slice and bucket of words (as JSON, by
-    zstandard) with how many ids each has, and these. A word has one bucket, and is encoded once for all slices."""
+    zstandard) with how many ids each has, and these. A word has one bucket, and is encoded once for all slices;
+    words of any length are. Slices without words have no rows."""
     spark = slices.sparkSession
     n = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_WORDS))

@@ -97,12 +97,13 @@ class LineRuns:
         return fresh.join(self.counts().hint("merge"), ["h1", "h2"], "left_anti")
 
     def compact(self, level: int) -> None:
+        """The runs of a level become one of the next; empty runs add nothing to it."""
         paths = self.levels.pop(level)
         merged = self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
         self.levels.setdefault(level + 1, []).append(self._write(merged))
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of all lines that at least min_docs documents hold."""
+        """(h1, h2) of all lines that at least min_docs documents hold; none while there are no runs."""
         return self.counts().filter(F.col("n") >= self.min_docs).select("h1", "h2")
 
 

@@ -202,7 +202,8 @@ def confirm(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) of all nodes that have an edge. Alternates large-star and small-star steps;
-    a step sends each node's neighbours to the least of them, so stars stay stars and chains halve."""
+    a step sends each node's neighbours to the least of them, so stars stay stars and chains halve. Repeated links and links of a node to itself count for nothing (a node that has
+    only such ones has no row); links of null nodes are none; no links give no rows."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", few=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -39,7 +39,8 @@ def shard_bytes(doc_ids: list, lengths: list[int], ids: list[bytes], width: int)
 
 
 class Shard:
-    """One shard by memory map. Null doc_ids come first."""
+    """One shard by memory map. Null doc_ids come first; repeated ones stand beside each other; an empty document has its end
+    id alone, and a shard without documents has none."""
 
     def __init__(self, uri: str):
         raw = mapped(uri)
