@@ -3,7 +3,7 @@
 The index of a chunk table is a folder of segments, one for each batch, named by versioned manifests. A segment holds
 
 * docs: kb, chunk_ord, length and tokens of each chunk, numbered;
-* postings, in a folder for each bucket of tokens and in the order of tokens there: a row is a block, the chunks among 1,024
+* postings, in a folder for each bucket of tokens and in the order of tokens there: a row is a block, the chunks among 8,192
   neighbours that have a token, as offsets in the block, counts and lengths, with the largest count and the least length;
 * dfs and totals: how many chunks have a token, how many there are and how long they are, negative for chunks that left;
 * dead: chunks of older segments that this one removes.
@@ -19,6 +19,7 @@ import uuid
 import zlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from loam.functions import text as T
 from loam.operators.retrieval import ALPHA, B, K1, TOP_K, cosine, dot
 from loam.sources import versions
 
-#: Chunks of a block: 2 to the power of this. Folders of tokens. Blocks that give the first k scores.
-BLOCK_BITS, BUCKETS, SEEDS = 10, 64, 16
+#: Chunks of a block: 2 to the power of this, 15 at most. Smaller blocks bound scores better, larger ones need fewer rows. Folders of tokens. Blocks that give the first k scores.
+BLOCK_BITS, BUCKETS, SEEDS = 13, 64, 16
 #: Bounds are sums of doubles in another order than scores.
 SLACK = 1 + 1e-9
 SCHEMAS = {
@@ -208,10 +209,58 @@ def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
     return rows.join(dead, ["seg", "doc"], "left_anti")
 
 
+#: Tokens of documents that a task turns into postings at a time.
+TOKENS = 1 << 21
+
+
 def _postings(docs: DataFrame, seg: int, buckets: int) -> DataFrame:
-    tf = docs.select("kb", "doc", "dl", F.explode("tokens").alias("token")).groupBy("kb", "doc", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
-    rows = _blocks(tf.select(F.lit(seg).alias("seg"), "*", _bucket(buckets)))
-    return rows.repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block")
+    """The blocks of docs. Neighbours lie together, so tasks turn them into blocks where they are, and whole blocks are
+    shuffled; a block that two tasks share has a row from each."""
+    bits = BLOCK_BITS
+
+    def invert(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            upto = np.cumsum(batch["dl"].to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TOKENS)))
+                yield from _inverted(pa.Table.from_batches([batch.slice(first, last - first)]), bits)
+                first = last
+
+    rows = docs.select("kb", "doc", "dl", "tokens").mapInArrow(invert, "kb string, token string, block long, n int, most_tf int, least_dl int, offs array<smallint>, tfs array<int>, dls array<int>")
+    return rows.select(F.lit(seg).alias("seg"), "*", _bucket(buckets)).repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block")
+
+
+def _inverted(rows, bits: int):
+    """Arrow batches of blocks of an Arrow table of kb, doc, dl, tokens."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens = rows["tokens"].combine_chunks()
+    words = pc.list_flatten(tokens).dictionary_encode()
+    if not len(words):
+        return
+    kbs = rows["kb"].combine_chunks().dictionary_encode()
+    kb = pc.fill_null(kbs.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    many = np.int64(len(words.dictionary))
+    key, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * many + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, word = np.divmod(key, many)
+    doc, dl = (rows[c].to_numpy()[row] for c in ("doc", "dl"))
+    block = doc >> bits
+    order = np.lexsort((doc, block, word, kb[row]))
+    row, word, doc, dl, block, tf = (x[order] for x in (row, word, doc, dl, block, tf))
+    new = np.ones(len(row), bool)
+    new[1:] = (kb[row][1:] != kb[row][:-1]) | (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    ends = np.append(at, len(row)).astype(np.int32)
+    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
+    store = pa.array(np.where(kb[row[at]] < 0, 0, kb[row[at]]), mask=kb[row[at]] < 0)
+    out = pa.table([
+        kbs.dictionary.take(store), words.dictionary.take(pa.array(word[at])), pa.array(block[at]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, at), pa.int32()), pa.array(np.minimum.reduceat(dl, at), pa.int32()),
+        lists(doc & ((1 << bits) - 1), pa.int16()), lists(tf, pa.int32()), lists(dl, pa.int32())], names=["kb", "token", "block", "n", "most_tf", "least_dl", "offs", "tfs", "dls"])
+    yield from out.combine_chunks().to_batches(max_chunksize=8192)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:

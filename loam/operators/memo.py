@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.sources import versions
-from loam.sources.scratch import written
 
 #: Texts of a call of the provider.
 BATCH = 64
@@ -21,7 +20,7 @@ def held(spark: SparkSession, root: str, model: str) -> DataFrame:
     _, manifest = versions.read(spark, root)
     paths = [p["path"] for p in manifest.get("parts", []) if p["model"] == model]
     schema = "key string, embedding array<double>"
-    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*paths).filter("embedding IS NOT NULL") if paths else spark.createDataFrame([], schema)
     return rows.groupBy("key").agg(F.first("embedding").alias("embedding")) if len(paths) > 1 else rows
 
 
@@ -56,13 +55,13 @@ def reindex(chunks: DataFrame, root: str, model: str, provider: Callable[[list[s
                     vectors = [None] * len(part)
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "embedding": [None if v is None else [float(x) for x in v] for v in vectors]})
 
-    answers = written(misses.mapInPandas(call, "key string, embedding array<double>"), "answers")
-    good = answers.filter(F.col("embedding").isNotNull())
+    # Failed texts stand there without an embedding, which counts as not known.
     number, manifest = versions.read(spark, root)
     path = f"{root}/part-{uuid.uuid4().hex[:12]}"
-    good.write.parquet(path)
+    misses.mapInPandas(call, "key string, embedding array<double>").write.parquet(path)
     versions.commit(spark, root, number + 1, {"parts": [*manifest.get("parts", []), {"model": model, "path": path}]})
-    both = known.unionByName(spark.read.schema("key string, embedding array<double>").parquet(path)).select(F.col("key").alias(key), F.col("embedding").alias(new))
+    answers = spark.read.schema("key string, embedding array<double>").parquet(path)
+    both = known.unionByName(answers.filter("embedding IS NOT NULL")).select(F.col("key").alias(key), F.col("embedding").alias(new))
     out = rows.join(both, key, "left").withColumn("embedding", F.coalesce(new, old))
     columns = [*chunks.columns, *([] if "embedding" in chunks.columns else ["embedding"])]
     n = rows.agg(F.count("*").alias("total"), F.count(key).alias("wanted"), F.countDistinct(key).alias("texts"))

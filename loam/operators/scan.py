@@ -38,20 +38,22 @@ def prefix(df: DataFrame, by: list[str], order: list, number: str | None = None,
     part, nth, tie, end = (helper(x) for x in ("part", "nth", "tie", "end"))
     given = {f"{kind}{i}": (name, value) for kind, group in (("s", sums), ("b", befores), ("l", lasts), ("g", lags)) for i, (name, value) in enumerate(group.items())}
     hashed = [c.name for c in df.schema.fields if not isinstance(c.dataType, (T.MapType, T.VariantType))]
-    keyed = df.withColumns({tie: F.xxhash64(*hashed)} | {helper(x): _column(v) for x, (_, v) in given.items()})
+    # A value that is a column of df is not copied.
+    source = {x: v if isinstance(v, str) else helper(x) for x, (_, v) in given.items()}
+    keyed = df.withColumns({tie: F.xxhash64(*hashed)} | {source[x]: v for x, (_, v) in given.items() if not isinstance(v, str)})
     order = [*order, tie]
     dealt = keyed.repartitionByRange(*by, *order) if by or order else keyed
     local = Window.partitionBy(part, *by).orderBy(*order)
     upto, before, all_rows = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     run = {nth: F.row_number().over(local).cast("long"), end: F.count("*").over(all_rows)}
     for x in given:
-        value = F.col(helper(x))
+        value = F.col(source[x])
         run |= {helper(x + "run"): {"s": lambda v: F.sum(v).over(upto), "b": lambda v: F.sum(v).over(before), "l": lambda v: F.last(v, True).over(upto), "g": lambda v: F.lag(v).over(local)}[x[0]](value)}
     held = written(dealt.withColumn(part, F.spark_partition_id()).withColumns(run), "ranges")
     # The last row of a key's range tells what the range comes to; the ranges before are added up.
     totals = {"n": F.col(nth)}
     for x in given:
-        own, ran = F.col(helper(x)), F.col(helper(x + "run"))
+        own, ran = F.col(source[x]), F.col(helper(x + "run"))
         totals[x] = {"s": ran, "b": F.coalesce(ran + own, ran, own), "l": ran, "g": own}[x[0]]
     ends = held.filter(F.col(nth) == F.col(end)).select(F.col(part), *by, *[v.alias(helper(f"{x}_total")) for x, v in totals.items()])
     keys = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -68,10 +70,6 @@ def prefix(df: DataFrame, by: list[str], order: list, number: str | None = None,
     return both.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in out.items()])
 
 
-def _column(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     """df with each row's place in the whole table, from 1; no task sorts more than a range."""
     return prefix(df, [], order, number=name)

@@ -28,18 +28,23 @@ def query(name: str, sql: str):
     return add
 
 
+def texts_of(spark, sf):
+    """What an index reads of documents: no vectors."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_ord"), F.col("lang").alias("kb"), "text")
+
+
 @query("index_topk", f"WITH {bm25_sql()} SELECT kb, chunk_ord, round(bm25, 6) AS bm25 FROM b WHERE bm25 > 0 ORDER BY b.bm25 DESC, chunk_ord LIMIT 20")
 def _(spark, sf):
     root = folder(spark, "index")
-    index.create(chunks(spark, sf), root)
+    index.create(texts_of(spark, sf), root)
     return index.topk(spark, root, QUESTION, 20).select("kb", "chunk_ord", F.round("bm25", 6).alias("bm25"))
 
 
 @query("index_hybrid_topk", f"WITH {fused_sql()} SELECT chunk_ord, source, round(bm25, 6) AS bm25, round(vec, 6) AS vec, round(score, 6) AS score FROM u ORDER BY u.score DESC, chunk_ord LIMIT 20")
 def _(spark, sf):
-    root, all_ = folder(spark, "index"), chunks(spark, sf)
-    index.create(all_, root)
-    hits = index.hybrid_topk(all_.drop("text"), root, QUESTION, query_vec(spark, sf), 20)
+    root, all_ = folder(spark, "index"), chunks(spark, sf).drop("text")
+    index.create(texts_of(spark, sf), root)
+    hits = index.hybrid_topk(all_, root, QUESTION, query_vec(spark, sf), 20)
     return hits.select("chunk_ord", "source", F.round("bm25", 6).alias("bm25"), F.round("vec", 6).alias("vec"), F.round("score", 6).alias("score"))
 
 
@@ -51,7 +56,7 @@ CHANGED = """chunks AS (SELECT doc_id AS chunk_ord, lang AS kb, CASE WHEN lang =
 @query("index_stores", f"WITH {bm25_sql('kb').replace(CHUNKS, CHANGED)} SELECT kb, chunk_ord, round(bm25, 6) AS bm25 FROM b WHERE bm25 > 0")
 def _(spark, sf):
     root = folder(spark, "index")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_ord"), F.col("lang").alias("kb"), "text")
+    d = texts_of(spark, sf)
     index.create(d, root)
     following = scan.prefix(d, [], [F.col("chunk_ord").desc()], lags={"next": "text"}).filter("kb = 'es'")
     fresh = following.select("chunk_ord", "kb", F.col("next").alias("text"))

@@ -72,6 +72,7 @@ def upsert(spark: SparkSession, root: str, incoming: DataFrame, batch: str | Non
     keys = mine.select(F.col("src").alias("_src"))
     _write(rows.join(keys, F.col("src").eqNullSafe(F.col("_src")), "left_semi"), m, f"{root}/chunks/delta={name}")
     mine.filter("old").select("src").write.parquet(f"{root}/gone/delta={name}")
+    versions.remove(spark, stage)
     batches = m["batches"] | ({batch: number + 1} if batch is not None else {})
     return _commit(spark, root, number, m | {"batches": batches}, delta | {"name": name, "has": ["chunks", "counts", "gone"]})
 

@@ -56,3 +56,9 @@ def commit(spark: SparkSession, root: str, number: int, manifest: dict) -> int:
     finally:
         out.close()
     return number
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no manifest names."""
+    files, of = _files(spark, path)
+    files.delete(of(path), True)
