@@ -210,7 +210,7 @@ def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 #: Tokens of documents that a task turns into postings at a time.
-TOKENS = 1 << 21
+TOKENS = 1 << 19
 
 
 def _postings(docs: DataFrame, seg: int, buckets: int) -> DataFrame:
