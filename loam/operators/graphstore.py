@@ -3,18 +3,20 @@
 What is held: the mentions of each chunk, in a log of deltas, and three tables of sums, all named by one manifest: how many chunks
 mention a term, how many keep it (a chunk keeps its most frequent terms), and how many keep both terms of a pair. A change reads
 the mentions of the chunks that come, change or go; and, since a term's count decides which chunks keep it, those of the chunks
-of more terms than are kept that mention a term whose count changed. All else stays as it is.
+of more terms than are kept that mention a term whose count changed. Of these only pairs are made that come or go. All else
+stays as it is.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loam.operators.graph import MAX_ENTITIES, MIN_DF, MIN_WEIGHT
+from loam.operators.graph import MAX_ENTITIES, MIN_DF, MIN_WEIGHT, apart
 from loam.sources import logstore, versions
 from loam.sources.scratch import written
 
@@ -47,9 +49,10 @@ def apply(spark: SparkSession, root: str, mentions: DataFrame | None = None, rem
     many = held.groupBy("chunk_ord").agg(F.count("*").alias("c")).filter(F.col("c") > m["most"]).select("chunk_ord").join(touched, "chunk_ord", "left_anti")
     moved = held.join(many, "chunk_ord", "left_semi").join(d_df.select("term"), "term", "left_semi").select("chunk_ord").distinct()
     wide = written(held.join(moved, "chunk_ord", "left_semi"), "mentions")
-    before = written(_kept(old.unionByName(wide), df, m["most"]), "kept")
-    after = written(_kept(new.unionByName(wide), df.unionByName(d_df).groupBy("term").agg(F.sum("n").alias("n")), m["most"]), "kept")
-    deltas = {"df": d_df, "kept": _signed([(after.select("term"), 1), (before.select("term"), -1)]), "pairs": _signed([(_pairs(after), 1), (_pairs(before), -1)])}
+    sides = [(old, True, False), (new, False, True), (wide, True, True)]
+    rows = reduce(DataFrame.unionByName, [m_.select("chunk_ord", "term", F.lit(was).alias("was"), F.lit(now).alias("now")) for m_, was, now in sides])
+    moved = written(_moved(rows, df, d_df, m["most"]), "kept")
+    deltas = {"df": d_df, "kept": _terms(moved), "pairs": _pairs(moved)}
     store = f"{root}/mentions"
     src = F.col("chunk_ord").cast("string").alias("src")
     left = touched.join(new, "chunk_ord", "left_anti")
@@ -87,10 +90,30 @@ def _kept(mentions: DataFrame, df: DataFrame, most: int) -> DataFrame:
     return mentions.join(df, "term").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).select("chunk_ord", "term")
 
 
-def _pairs(kept: DataFrame) -> DataFrame:
-    terms = kept.groupBy("chunk_ord").agg(F.array_sort(F.collect_list("term")).alias("t"))
-    later = lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    return terms.select(F.inline(F.flatten(F.transform("t", later))))
+def _moved(rows: DataFrame, df: DataFrame, delta: DataFrame, most: int) -> DataFrame:
+    """chunk_ord, gained, lost, stayed: the terms that chunks keep now and didn't (was, now: which mentions count when), those
+    that they no longer keep, and those that they keep still. A chunk that keeps what it kept has no row."""
+    n = df.select("term", F.col("n").alias("before"), F.col("n").alias("after")).unionByName(delta.select("term", F.lit(0).cast("long").alias("before"), F.col("n").alias("after")))
+    n = n.groupBy("term").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    top = lambda when, n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col(when), F.struct((-F.col(n)).alias("o"), "term")))), lambda x: x["term"]), 1, most)
+    kept = rows.join(n, "term").groupBy("chunk_ord").agg(top("was", "before").alias("b"), top("now", "after").alias("a"))
+    sets = kept.select("chunk_ord", F.array_except("a", "b").alias("gained"), F.array_except("b", "a").alias("lost"), F.array_intersect("a", "b").alias("stayed"))
+    return sets.filter((F.size("gained") > 0) | (F.size("lost") > 0))
+
+
+def _terms(moved: DataFrame) -> DataFrame:
+    return _signed([(moved.select(F.explode("gained").alias("term")), 1), (moved.select(F.explode("lost").alias("term")), -1)])
+
+
+def _pairs(moved: DataFrame) -> DataFrame:
+    """What changes in the pairs: those of a gained or lost term with what stayed and with the others of its kind."""
+
+    def of(terms, sign):
+        ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit(sign).alias("n"))
+        return F.flatten(F.transform(terms, lambda x: F.transform(F.concat("stayed", F.filter(terms, lambda y: y > x)), lambda y: ends(x, y))))
+
+    rows = apart(moved).select(F.inline(F.concat(of("gained", 1), of("lost", -1))))
+    return rows.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n")).filter("n <> 0")
 
 
 def _sum(spark: SparkSession, root: str, m: dict, name: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_searches_end_early(spark, tmp_path):
     assert files == 16 and got.count() == 0
     ordered.write(chunks.limit(0), root, "chunk_ord")
     assert ordered.first(spark, root, hit, 5)[0].count() == 0
+
+
+def test_only_pairs_that_change_are_made(spark, monkeypatch):
+    """A chunk that keeps what it kept is not paired again, and one that gains a term is paired with it alone."""
+    m = spark.createDataFrame([(1, "a", True, True), (1, "b", True, True), (1, "c", True, True), (2, "a", True, True), (2, "b", True, True), (2, "d", True, True)], "chunk_ord long, term string, was boolean, now boolean")
+    df = spark.createDataFrame([("a", 9), ("b", 8), ("c", 5), ("d", 1)], "term string, n long")
+    assert graphstore._moved(m, df, df.limit(0), 2).count() == 0
+    moved = graphstore._moved(m, df, spark.createDataFrame([("d", 9)], "term string, n long"), 2)
+    assert [tuple(r) for r in moved.collect()] == [(2, ["d"], ["b"], ["a"])]
+    assert rows(graphstore._pairs(moved)) == [("a", "b", -1), ("a", "d", 1)] and rows(graphstore._terms(moved)) == [("b", -1), ("d", 1)]
