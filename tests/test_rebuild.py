@@ -28,3 +28,12 @@ def test_as_its_sql(spark, tables, name):
     want = con.sql(entry.oracle_sql()[name])
     got = entry.queries()[name](spark, tables)
     assert sorted(map(repr, map(tuple, got.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_texts_are_in_no_aggregate(spark):
+    from loam.operators import corpus
+
+    d = spark.createDataFrame([(1, "a", "s"), (2, "a ", "t")], "chunk_ord long, text string, source string")
+    kept = corpus.exact_dedup(d)
+    assert "min_by" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in kept.collect()] == [(1, "a", "s", ["s", "t"])]
