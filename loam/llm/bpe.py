@@ -98,6 +98,11 @@ class WordEncoder(dict):
         self[word] = out
         return out
 
+    def forget(self) -> None:
+        """Lets go of all words: workers outlive their tasks, and later stages need the room."""
+        self.clear()
+        self.old = {}
+
     def word(self, word: str) -> list[int]:
         """The ids of one word of the pre-tokenizer."""
         if word in self.added:

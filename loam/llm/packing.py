@@ -259,6 +259,7 @@ def encoded_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end: int
                         x.append(y)
                     at += n
             yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
 
     import pyarrow as pa
 

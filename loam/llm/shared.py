@@ -87,6 +87,17 @@ def crc_mod(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Rows of whole texts that are sent to Python at a time: Spark's 10,000 are all of a partition, held by both sides at once.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most in this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def slices(batch, sizes, most: int):
     """Runs of rows of an Arrow batch that come to some `most` by their sizes: what is built beside them stays small."""
     import numpy as np
