@@ -155,6 +155,10 @@ def diff_documents(spark, sf):
 Q["diff_documents"] = diff_documents
 
 
+#: Characters of pages after which an archive is closed.
+ARCHIVE_CHARS = 1 << 24
+
+
 # Pages packed into archives and events written as a log, by Spark, are read by the library's own sources. -----------------------
 
 
@@ -164,24 +168,34 @@ def _(spark, sf):
 
     def pack(batches):
         import io
+        import itertools
         import uuid
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
 
         from loam.sources import remote
 
-        for pdf in batches:
-            raw = io.BytesIO()
+        def archive(pages):
+            """The name of an archive of the next pages, as far as it goes."""
+            raw, size = io.BytesIO(), 0
             with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                for i, html in zip(pdf["page_id"], pdf["html"]):
-                    z.writestr(f"pages/{i}.html", html or "")
+                for i, html in pages:
+                    html = html.as_py() or ""
+                    z.writestr(f"pages/{i}.html", html)
+                    size += len(html)
+                    if size >= ARCHIVE_CHARS:
+                        break
             name = f"{root}/{uuid.uuid4().hex}.zip"
-            remote.put(name, raw.getvalue())
-            yield pd.DataFrame({"name": [name]})
+            remote.put(name, raw.getbuffer())
+            return name
+
+        pages = ((i, html) for batch in batches for i, html in zip(batch.column(0), batch.column(1)))
+        for first in pages:
+            yield pa.RecordBatch.from_pydict({"name": [archive(itertools.chain([first], pages))]})
 
     # The names are written, so that what a task leaves that is run again is not read.
-    names = [r.name for r in written(table(spark, sf, "pages").select("page_id", "html").mapInPandas(pack, "name string"), "archive-names").collect()]  # one for each 10,000 pages or task
+    names = [r.name for r in written(table(spark, sf, "pages").select("page_id", "html").mapInArrow(pack, "name string"), "archive-names").collect()]  # one for some ARCHIVE_CHARS of pages, or a task
     readers.register(spark)
     rows = spark.read.format("zip_members").option("archives", "\n".join(names)).load(root)
     return rows.select(F.regexp_extract("member", r"(\d+)", 1).cast("long").alias("page_id"), F.md5("content").alias("digest"), "size")

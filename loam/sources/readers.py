@@ -21,6 +21,8 @@ from loam.sources import remote
 
 #: Bytes of members, as packed, that make a partition; bytes of a block of a log.
 PART_BYTES, BLOCK_BYTES = 1 << 25, 1 << 16
+#: Bytes of content, and members, that are sent to Spark at a time.
+SENT_BYTES, SENT_ROWS = 1 << 21, 1000
 LIMIT = 50
 #: What opening a file that is no archive raises, one too short for its directory included.
 BROKEN = (zipfile.BadZipFile, OSError, ValueError)
@@ -71,6 +73,21 @@ class ZipReader(DataSourceReader):
         return out or [Members("", [])]
 
     def read(self, partition):
+        """Arrow batches of some SENT_BYTES of content: Spark itself would hold 10,000 members at a time."""
+        import pyarrow as pa
+
+        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+        held, size = [], 0
+        for row in self.members(partition):
+            held.append(row)
+            size += row[2] or 0
+            if size >= SENT_BYTES or len(held) >= SENT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+
+    def members(self, partition):
         if not partition.archive:
             return
         try:

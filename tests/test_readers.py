@@ -79,3 +79,15 @@ def test_newest_events_without_a_full_scan(spark, tmp_path):
         if i == 50:
             break
     assert 0 < Counted.seen < len(raw) / 50
+
+
+def test_members_are_sent_a_few_at_a_time(tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(6):
+            z.writestr(f"{i}.txt", bytes([i]) * readers.SENT_BYTES)
+        for i in range(6, 2500):
+            z.writestr(f"{i}.txt", b"x")
+    reader = readers.ZipReader({"path": f"file://{tmp_path}"})
+    sent = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.nbytes for b in sent) < 2 * readers.SENT_BYTES and max(b.num_rows for b in sent) <= readers.SENT_ROWS
+    assert sorted(int(m.split(".")[0]) for b in sent for m in b.column("member").to_pylist()) == list(range(2500))
