@@ -58,10 +58,9 @@ def apply(spark: SparkSession, root: str, added: DataFrame | None = None, remove
     path = lambda table: f"{root}/{table}/segment={name}"
     if removed is not None and manifest["segments"]:
         gone = removed.select(_kb(removed).alias("_kb"), F.col("chunk_ord").alias("_ord")).distinct()
-        held = documents(spark, root).join(gone, F.col("kb").eqNullSafe(F.col("_kb")) & (F.col("chunk_ord") == F.col("_ord")), "left_semi")
-        held.write.parquet(path("gone"))
-        held = spark.read.schema("seg int, " + SCHEMAS["docs"]).parquet(path("gone"))
+        held = documents(spark, root).select("seg", "doc", "kb", "chunk_ord").join(gone, F.col("kb").eqNullSafe(F.col("_kb")) & (F.col("chunk_ord") == F.col("_ord")), "left_semi")
         held.select("seg", "doc").write.parquet(path("dead"))
+        held = _marked(_read(spark, root, manifest, "docs"), spark.read.schema(SCHEMAS["dead"]).parquet(path("dead")))
         changes.append((held, -1))
     if added is not None:
         text = F.lower(T.embed_text("text", "breadcrumb") if "breadcrumb" in added.columns else F.coalesce("text", F.lit("")))
@@ -209,8 +208,23 @@ def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
     return rows.join(dead, ["seg", "doc"], "left_anti")
 
 
+#: Rows of 64 chunks each that are broadcast; more are shuffled.
+MASKS = 200_000
+
+
+def _marked(docs: DataFrame, dead: DataFrame) -> DataFrame:
+    """The rows of docs that dead names. A bit tells of each chunk whether it is named, so tokens stay where they lie."""
+    word = F.shiftright("doc", 6)
+    bits = dead.groupBy("seg", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("doc").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    bits = F.broadcast(bits) if bits.limit(MASKS + 1).count() <= MASKS else bits
+    bit = F.call_function("shiftright", F.col("bits"), F.col("doc").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return docs.withColumn("word", word).join(bits, ["seg", "word"]).filter(bit == 1).drop("word", "bits")
+
+
 #: Tokens of documents that a task turns into postings at a time.
 TOKENS = 1 << 19
+#: Tasks that sort the postings of a bucket of tokens.
+DEALT = 4
 
 
 def _postings(docs: DataFrame, seg: int, buckets: int) -> DataFrame:
@@ -230,7 +244,9 @@ def _postings(docs: DataFrame, seg: int, buckets: int) -> DataFrame:
                 first = last
 
     rows = docs.select("kb", "doc", "dl", "tokens").mapInArrow(invert, "kb string, token string, block long, n int, most_tf int, least_dl int, offs array<smallint>, tfs array<int>, dls array<int>")
-    return rows.select(F.lit(seg).alias("seg"), "*", _bucket(buckets)).repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block")
+    # By hash: ranges are drawn from a first pass, which would make all postings twice. A bucket's tokens go to DEALT tasks.
+    dealt = F.crc32(F.col("token").cast("binary")) % (buckets * DEALT)
+    return rows.select(F.lit(seg).alias("seg"), "*", _bucket(buckets)).repartition("bucket", dealt).sortWithinPartitions("bucket", "token", "block")
 
 
 def _inverted(rows, bits: int):

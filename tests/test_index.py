@@ -102,3 +102,25 @@ def test_hybrid(spark, tmp_path):
     index.create(chunks, root)
     cols = ["kb", "chunk_ord", "bm25", "norm", "vec", "score"]
     assert index.hybrid_topk(chunks.drop("text"), root, QUESTION, query, 9).select(*cols).collect() == retrieval.hybrid_topk(chunks, QUESTION, query, 9).select(*cols).collect()
+
+
+@pytest.mark.parametrize("masks", [index.MASKS, 0])
+def test_removed_chunks_are_found_by_bits(spark, monkeypatch, masks):
+    monkeypatch.setattr(index, "MASKS", masks)
+    numbers = [p * (1 << 33) + i for p in (0, 1, 5) for i in range(200)]
+    docs = spark.createDataFrame([(s, "a", i, n, 1, ["x"]) for s in (0, 1) for i, n in enumerate(numbers)], "seg int, " + index.SCHEMAS["docs"])
+    dead = {(s, n) for s in (0, 1) for n in numbers if (n * 7 + s) % 5 == 0 or n % 64 in (0, 63)}
+    out = index._marked(docs, spark.createDataFrame(sorted(dead), index.SCHEMAS["dead"]))
+    assert sorted((r.seg, r.doc) for r in out.collect()) == sorted(dead) and out.columns == docs.columns
+
+
+def test_tokens_stay_and_postings_are_made_once(spark, tmp_path):
+    root = f"file://{tmp_path}/x"
+    chunks = spark.createDataFrame([(i, "a", f"word{i} other") for i in range(50)], "chunk_ord long, kb string, text string")
+    index.create(chunks, root)
+    index.apply(spark, root, removed=chunks.filter("chunk_ord < 20"))
+    assert not (tmp_path / "x" / "gone").exists()
+    assert index.documents(spark, root).count() == 30
+    held = index._read(spark, root, {"segments": [{"name": "s", "seg": 0, "has": []}]}, "docs")
+    plan = index._postings(held, 0, 4)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan  # its sample would make them all a first time
