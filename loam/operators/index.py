@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -67,7 +68,8 @@ def apply(spark: SparkSession, root: str, added: DataFrame | None = None, remove
         tokens = added.select(_kb(added).alias("kb"), F.col("chunk_ord").cast("long").alias("chunk_ord"), T.tokens(text).alias("tokens"))
         tokens.select("kb", "chunk_ord", F.monotonically_increasing_id().alias("doc"), F.size("tokens").alias("dl"), "tokens").write.parquet(path("docs"))
         docs = spark.read.schema(SCHEMAS["docs"]).parquet(path("docs"))
-        _postings(docs, seg, buckets).write.partitionBy("bucket").parquet(path("postings"))
+        with _short_batches(spark):
+            _postings(docs, seg, buckets).write.partitionBy("bucket").parquet(path("postings"))
         changes.append((docs, 1))
     for table, counts in (("dfs", _dfs), ("totals", _totals)):
         parts = [counts(rows, sign, buckets) for rows, sign in changes]
@@ -104,7 +106,8 @@ def compact(spark: SparkSession, root: str) -> int:
 def documents(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """seg, kb, chunk_ord, doc, dl, tokens of the chunks that the index holds."""
     _, manifest = versions.read(spark, root, version)
-    return _alive(_read(spark, root, manifest, "docs"), _read(spark, root, manifest, "dead"))
+    docs = _read(spark, root, manifest, "docs")
+    return _alive(docs, _read(spark, root, manifest, "dead")) if _has(manifest, "dead") else docs
 
 
 def scores(spark: SparkSession, root: str, question: str, by: list[str] | None = None, version: int | None = None) -> DataFrame:
@@ -153,7 +156,7 @@ class _Question:
         self.spark, self.root, self.version, self.by = spark, root, version, by
         self.words, self.times = list(dict.fromkeys(found)), [found.count(w) for w in dict.fromkeys(found)]
         mine = lambda rows: rows.filter(F.col("bucket").isin([zlib.crc32(w.encode()) % manifest["buckets"] for w in self.words]) & F.col("token").isin(self.words)) if self.words else rows.limit(0)
-        self.dead = _read(spark, root, manifest, "dead") if any("dead" in s["has"] for s in manifest.get("segments", [])) else None
+        self.dead = _read(spark, root, manifest, "dead") if _has(manifest, "dead") else None
         df = mine(_read(spark, root, manifest, "dfs")).groupBy(*by).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("token") == w, F.col("n"))), F.lit(0)) for w in self.words]).cast("array<long>").alias("df"))
         size = _read(spark, root, manifest, "totals").groupBy(*by).agg(F.sum("n").alias("all"), F.try_divide(F.sum("dl"), F.sum("n")).alias("avg")).filter(F.col("all") > 0)
         # A row, or one a store: words of the question and two numbers.
@@ -191,17 +194,27 @@ def _bucket(buckets: int) -> Column:
     return (F.crc32(F.col("token").cast("binary")) % buckets).cast("int").alias("bucket")
 
 
+def _has(manifest: dict, table: str) -> bool:
+    return any(table in s["has"] for s in manifest.get("segments", []))
+
+
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows. Those of createDataFrame([]) come from Python, which starts a second set of workers beside those of SQL."""
+    row = F.from_json(F.lit(None).cast("string"), schema).alias("row")
+    return spark.range(0).select(row).select("row.*")
+
+
 def _read(spark: SparkSession, root: str, manifest: dict, table: str) -> DataFrame:
     """A table of all segments; docs get the number of theirs."""
     held = [(f"{root}/{table}/segment={s['name']}", s["seg"]) for s in manifest.get("segments", []) if table in s["has"]]
     schema = SCHEMAS[table]
     read = lambda schema, *paths: spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*paths).drop("segment")
     if table != "docs":
-        return read(schema, *[p for p, _ in held]) if held else spark.createDataFrame([], schema)
+        return read(schema, *[p for p, _ in held]) if held else _none(spark, schema)
     with_seg = "seg int, " + schema
     # A compacted segment keeps the numbers of those that it is made of.
     parts = [read(with_seg, p) if seg is None else read(schema, p).select(F.lit(seg).alias("seg"), "*") for p, seg in held]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], with_seg)
+    return reduce(DataFrame.unionByName, parts) if parts else _none(spark, with_seg)
 
 
 def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
@@ -221,12 +234,25 @@ def _marked(docs: DataFrame, dead: DataFrame) -> DataFrame:
     return docs.withColumn("word", word).join(bits, ["seg", "word"]).filter(bit == 1).drop("word", "bits")
 
 
-#: Tokens of documents that a task turns into postings at a time.
-TOKENS = 1 << 19
+#: Tokens of documents that a task turns into postings at a time, and bytes of documents that it is sent at a time: of Spark's
+#: 64 MB both sides hold two, in each worker.
+TOKENS, SENT = 1 << 19, 4 << 20
 #: Tasks that sort the postings of a bucket of tokens.
 DEALT = 4
 
 
+@contextmanager
+def _short_batches(spark: SparkSession):
+    """Arrow batches of some SENT bytes in what is run within."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{SENT}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _postings(docs: DataFrame, seg: int, buckets: int) -> DataFrame:
     """The blocks of docs. Neighbours lie together, so tasks turn them into blocks where they are, and whole blocks are
     shuffled; a block that two tasks share has a row from each."""
@@ -235,13 +261,22 @@ def _postings(docs: DataFrame, seg: int, buckets: int) -> DataFrame:
     def invert(batches):
         import pyarrow as pa
 
+        held, room = [], TOKENS
         for batch in batches:
             upto = np.cumsum(batch["dl"].to_numpy(zero_copy_only=False), dtype=np.int64)
             first = 0
             while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TOKENS)))
-                yield from _inverted(pa.Table.from_batches([batch.slice(first, last - first)]), bits)
+                before = int(upto[first - 1]) if first else 0
+                last = max(first if held else first + 1, int(np.searchsorted(upto, before + room, side="right")))
+                if last > first:
+                    held.append(batch.slice(first, last - first))
+                    room -= int(upto[last - 1]) - before
+                if last < batch.num_rows:
+                    yield from _inverted(pa.Table.from_batches(held), bits)
+                    held, room = [], TOKENS
                 first = last
+        if held:
+            yield from _inverted(pa.Table.from_batches(held), bits)
 
     rows = docs.select("kb", "doc", "dl", "tokens").mapInArrow(invert, "kb string, token string, block long, n int, most_tf int, least_dl int, offs array<smallint>, tfs array<int>, dls array<int>")
     # By hash: ranges are drawn from a first pass, which would make all postings twice. A bucket's tokens go to DEALT tasks.

@@ -124,3 +124,32 @@ def test_tokens_stay_and_postings_are_made_once(spark, tmp_path):
     held = index._read(spark, root, {"segments": [{"name": "s", "seg": 0, "has": []}]}, "docs")
     plan = index._postings(held, 0, 4)._jdf.queryExecution().toString()
     assert "rangepartitioning" not in plan  # its sample would make them all a first time
+
+
+def test_workers_are_sent_few_documents_and_none_start_twice(spark, tmp_path, monkeypatch):
+    size, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, held, plain, many = spark.conf.get(size), [], index._postings, spark.conf.get(rows)
+    monkeypatch.setattr(index, "_postings", lambda *a: held.append(spark.conf.get(size)) or plain(*a))
+    root = f"file://{tmp_path}/x"
+    chunks = spark.range(0, 200, numPartitions=1).selectExpr("id AS chunk_ord", "'a' AS kb", "concat('alpha word', id) AS text")
+    spark.conf.set(rows, 3)
+    try:
+        index.create(chunks, root)
+    finally:
+        spark.conf.set(rows, many)
+    assert held == [f"{index.SENT}b"] and spark.conf.get(size) == before
+    # What several batches bring is one block.
+    assert index._Question(spark, root, "alpha", [], None).rows.select("n").collect() == [(200,)]
+    # Rows of Python's own would be read by other workers than those of SQL.
+    plan = index.topk(spark, root, "alpha word7", 5)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    assert [r.chunk_ord for r in index.topk(spark, root, "alpha word7", 1).collect()] == [7]
+
+
+@pytest.mark.parametrize("tokens", [1, 7, 1 << 19])
+def test_any_cut_of_documents_gives_the_same_counts(spark, tmp_path, monkeypatch, tokens):
+    monkeypatch.setattr(index, "TOKENS", tokens)
+    rows = chunk_rows(random.Random(5), range(60))
+    root = f"file://{tmp_path}/x"
+    index.create(frame(spark, rows), root)
+    check(spark, root, rows)
