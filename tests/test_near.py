@@ -68,3 +68,23 @@ def test_near_dedup(spark):
     v = frame(spark, rows + [(1000, None)])
     links = {(r.a, r.b) for r in corpus.near_pairs(v, 0.97).collect()}
     assert links and {r.chunk_ord for r in corpus.near_dedup(v, 0.97).collect()} == {i for i, _ in rows} - greedy(links) | {1000}
+
+
+def test_dense_copies_come_in_strips(spark, monkeypatch):
+    """Copies are all pairs: a task sends them as they are found, and holds few blocks."""
+    monkeypatch.setattr(near, "STRIP", 8)
+    n = 300
+    v = frame(spark, [(i, [1.0, float(i % 2) * 1e-9]) for i in range(n)])
+    assert near.pairs(v, 0.9, 32).count() == n * (n - 1) // 2
+    i, m = np.arange(100), np.ones((100, 1))
+    sizes = [b.num_rows for b in near._hits(i, m, i, m, True, 0.5)]
+    assert sum(sizes) == 100 * 99 // 2 and max(sizes) <= 8 * 100
+
+
+def test_a_block_is_sent_once_for_a_tile(spark):
+    rng = np.random.default_rng(7)
+    held, left = near.plan(frame(spark, [(i, rng.normal(size=8).tolist()) for i in range(800)]), 0.0, 8)
+    sent = near.tiles(left)
+    assert sent.count() < left.count() and sent.filter("size(ps) > 4").isEmpty()
+    met = sent.filter("ps IS NOT NULL").selectExpr("explode(ps) AS p", "block AS q")
+    assert sorted(met.collect()) == sorted(left.select("p", "q").collect())
