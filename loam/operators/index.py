@@ -62,7 +62,7 @@ def apply(spark: SparkSession, root: str, added: DataFrame | None = None, remove
         held = documents(spark, root).select("seg", "doc", "kb", "chunk_ord").join(gone, F.col("kb").eqNullSafe(F.col("_kb")) & (F.col("chunk_ord") == F.col("_ord")), "left_semi")
         held.select("seg", "doc").write.parquet(path("dead"))
         held = _marked(_read(spark, root, manifest, "docs"), spark.read.schema(SCHEMAS["dead"]).parquet(path("dead")))
-        changes.append((held, -1))
+        changes.append({"dfs": _dfs(held, buckets), "totals": _totals(held, -1)})
     if added is not None:
         text = F.lower(T.embed_text("text", "breadcrumb") if "breadcrumb" in added.columns else F.coalesce("text", F.lit("")))
         tokens = added.select(_kb(added).alias("kb"), F.col("chunk_ord").cast("long").alias("chunk_ord"), T.tokens(text).alias("tokens"))
@@ -70,13 +70,16 @@ def apply(spark: SparkSession, root: str, added: DataFrame | None = None, remove
         docs = spark.read.schema(SCHEMAS["docs"]).parquet(path("docs"))
         with _short_batches(spark):
             _postings(docs, seg, buckets).write.partitionBy("bucket").parquet(path("postings"))
-        changes.append((docs, 1))
-    for table, counts in (("dfs", _dfs), ("totals", _totals)):
-        parts = [counts(rows, sign, buckets) for rows, sign in changes]
+        # Blocks know how many of their chunks have a token: tokens aren't read a second time.
+        rows = spark.read.schema(SCHEMAS["postings"]).parquet(path("postings"))
+        dfs = rows.groupBy("kb", "token", "bucket").agg(F.sum("n").alias("n")).select("kb", "token", "n", "bucket")
+        changes.append({"dfs": dfs, "totals": _totals(docs, 1)})
+    for table in ("dfs", "totals"):
+        parts = [held[table] for held in changes]
         if parts:
             out = reduce(DataFrame.unionByName, parts)
             (out.repartition("bucket").write.partitionBy("bucket") if table == "dfs" else out.write).parquet(path(table))
-    has = [*(["docs", "postings"] if added is not None else []), *(["dfs", "totals"] if changes else []), *(["dead"] if any(s < 0 for _, s in changes) else [])]
+    has = [*(["docs", "postings"] if added is not None else []), *(["dfs", "totals"] if changes else []), *(["dead"] if removed is not None and manifest["segments"] else [])]
     manifest = manifest | {"segments": [*manifest["segments"], {"name": name, "seg": seg, "has": has}], "next": seg + 1}
     return versions.commit(spark, root, number + 1, manifest)
 
@@ -294,22 +297,28 @@ def _inverted(rows, bits: int):
     if not len(words):
         return
     kbs = rows["kb"].combine_chunks().dictionary_encode()
-    kb = pc.fill_null(kbs.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    many = np.int64(len(words.dictionary))
-    key, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * many + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    row, word = np.divmod(key, many)
-    doc, dl = (rows[c].to_numpy()[row] for c in ("doc", "dl"))
+    kb = pc.fill_null(kbs.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    docs, lengths = (rows[c].to_numpy() for c in ("doc", "dl"))
+    # One number of store, token and place in the order of doc: a single sort gives blocks and counts.
+    order = np.argsort(docs)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    many, high = np.int64(len(words.dictionary)), np.int64(len(order))
+    row = pc.list_parent_indices(tokens).to_numpy()
+    key, tf = np.unique((kb[row] * many + words.indices.to_numpy(zero_copy_only=False)) * high + rank[row], return_counts=True)
+    pair, at = np.divmod(key, high)
+    row = order[at]
+    doc, dl = docs[row], lengths[row]
     block = doc >> bits
-    order = np.lexsort((doc, block, word, kb[row]))
-    row, word, doc, dl, block, tf = (x[order] for x in (row, word, doc, dl, block, tf))
     new = np.ones(len(row), bool)
-    new[1:] = (kb[row][1:] != kb[row][:-1]) | (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+    new[1:] = (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])
     at = np.flatnonzero(new)
+    store, word = np.divmod(pair[at], many)
     ends = np.append(at, len(row)).astype(np.int32)
     lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
-    store = pa.array(np.where(kb[row[at]] < 0, 0, kb[row[at]]), mask=kb[row[at]] < 0)
+    store = pa.array(np.maximum(store - 1, 0), mask=store == 0)
     out = pa.table([
-        kbs.dictionary.take(store), words.dictionary.take(pa.array(word[at])), pa.array(block[at]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, at), pa.int32()), pa.array(np.minimum.reduceat(dl, at), pa.int32()),
+        kbs.dictionary.take(store), words.dictionary.take(pa.array(word)), pa.array(block[at]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, at), pa.int32()), pa.array(np.minimum.reduceat(dl, at), pa.int32()),
         lists(doc & ((1 << bits) - 1), pa.int16()), lists(tf, pa.int32()), lists(dl, pa.int32())], names=["kb", "token", "block", "n", "most_tf", "least_dl", "offs", "tfs", "dls"])
     yield from out.combine_chunks().to_batches(max_chunksize=8192)
 
@@ -328,10 +337,11 @@ def _decoded(rows: DataFrame, *more: str) -> DataFrame:
     return each.select("seg", "kb", "token", "bucket", *more, (F.col("base") + F.col("x.offs")).alias("doc"), F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl"))
 
 
-def _dfs(docs: DataFrame, sign: int, buckets: int) -> DataFrame:
+def _dfs(docs: DataFrame, buckets: int) -> DataFrame:
+    """How many of the chunks that leave have a token, negative."""
     each = docs.select("kb", F.explode(F.array_distinct("tokens")).alias("token"))
-    return each.groupBy("kb", "token").agg((F.count("*") * sign).alias("n")).select("kb", "token", "n", _bucket(buckets))
+    return each.groupBy("kb", "token").agg((F.count("*") * -1).alias("n")).select("kb", "token", "n", _bucket(buckets))
 
 
-def _totals(docs: DataFrame, sign: int, buckets: int) -> DataFrame:
+def _totals(docs: DataFrame, sign: int) -> DataFrame:
     return docs.groupBy("kb").agg((F.count("*") * sign).alias("n"), (F.sum("dl").cast("long") * sign).alias("dl"))

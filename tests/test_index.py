@@ -153,3 +153,18 @@ def test_any_cut_of_documents_gives_the_same_counts(spark, tmp_path, monkeypatch
     root = f"file://{tmp_path}/x"
     index.create(frame(spark, rows), root)
     check(spark, root, rows)
+
+
+def test_frequencies_are_counted_from_postings(spark, tmp_path, monkeypatch):
+    """Tokens of what is added are read once, for postings; those of what leaves give negative counts."""
+    held, plain = [], index._dfs
+    monkeypatch.setattr(index, "_dfs", lambda *a: held.append(a) or plain(*a))
+    rows, root = chunk_rows(random.Random(6), range(80)), f"file://{tmp_path}/x"
+    index.create(frame(spark, rows), root, buckets=4)
+    assert not held
+    index.apply(spark, root, removed=frame(spark, rows[:30]))
+    assert len(held) == 1
+    _, manifest = versions.read(spark, root)
+    got = {(r.kb, r.token): r.n for r in index._read(spark, root, manifest, "dfs").groupBy("kb", "token").agg(F.sum("n").alias("n")).filter("n <> 0").collect()}
+    want = {(r.kb, r.token): r.n for r in index.documents(spark, root).select("kb", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("kb", "token").agg(F.count("*").alias("n")).collect()}
+    assert got == want and any(kb is None for kb, _ in want)
