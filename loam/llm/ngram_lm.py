@@ -36,6 +36,8 @@ ORDER = 3
 UNIT = 4096
 #: Tokens whose n-grams a shard holds, shards at least, and n-grams that a task holds before it sends them off.
 SHARD_TOKENS, SHARDS, HELD = 1 << 22, 24, 1 << 21
+#: Bytes of texts whose n-grams are looked up together.
+STEP = 1 << 22
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 
 
@@ -178,17 +180,22 @@ class Level:
         self.back = np.frombuffer(raw, np.uint16, self.parents, at + 2 * self.n)
 
     def find(self, parent, number, relative: bool):
-        """(positions of the nodes in the shard or -1, log backoffs of the parents, first positions of the parents'
-        nodes if they are wanted), for parents in ascending order: each parent is looked up once."""
-        new = np.concatenate([[True], parent[1:] != parent[:-1]])
-        own, back_to = parent[new], np.cumsum(new) - 1
+        """(positions of the nodes in the shard or -1, backoffs of the parents, positions of the nodes among their parent's
+        if they are wanted), for parents in ascending order: each parent is looked up once."""
+        new = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+        own, times = parent[new], np.diff(new, append=len(parent))
         first, end = self.bases.get_two(own)
-        x = first[back_to] + number.astype(np.uint64)
+        x = np.repeat(first, times) + number.astype(np.uint64)
         # A number beyond the parent's last would be found under the next parent.
-        inside = np.flatnonzero(x < end[back_to])
+        upto = (np.repeat(end, times) - x).view(np.int64)
+        inside = np.flatnonzero(upto > (0 if relative else 1))
         i = np.full(len(x), -1, np.int64)
         i[inside] = self.nodes.find(x[inside])
-        return i, (self.back[own] / -UNIT)[back_to], self.pointers.get(own).astype(np.int64)[back_to] if relative else None
+        if not relative:
+            # The parent's last number itself stands before the next parent's nodes.
+            last = np.flatnonzero(upto == 1)
+            i[last] = self.pointers.get(parent[last] + 1).astype(np.int64) - 1
+        return i, np.repeat(self.back[own], times), i - np.repeat(self.pointers.get(own).astype(np.int64), times) if relative else None
 
 
 class Trie:
@@ -207,41 +214,48 @@ class Trie:
         return np.log10((counts + 1) / (self.n + self.v + 1))
 
     def _nodes(self, parent, number, levels, edges):
-        """(shard's first node + position or -1, position among the parent's nodes, log p, log backoff of the parent) of
-        each parent and number, 0 and -1 for parents below 0. edges: the first parent of each shard and the end. Equal
-        queries are answered once, in ascending order, so that neighbours share what they read."""
-        node, rel = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
-        log_p, back = np.zeros(len(parent)), np.zeros(len(parent))
-        rows = np.flatnonzero(parent >= 0)
+        """(shard's first node + position or -1, position among the parent's nodes, quantised -log p, quantised -log backoff
+        of the parent) of each parent and number, -1 and 0 for parents below 0. edges: the first parent of each shard and
+        the end. Equal queries are answered once, in ascending order, so that neighbours share what they read."""
         wide = np.int64(self.v + 1)
         # The start's id is never predicted: it stands for numbers that are unknown.
-        keys, back_to = np.unique(parent[rows] * wide + np.where(number[rows] < 0, self.v, number[rows]), return_inverse=True)
+        keys = parent * wide + np.where(number < 0, self.v, number)
+        known = parent >= 0
+        some = not known.all()
+        keys, back_to = np.unique(keys[known] if some else keys, return_inverse=True)
         p = keys // wide
         x = keys - p * wide
         at, r = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
-        lp, bo = np.zeros(len(keys)), np.zeros(len(keys))
+        q, bo = np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16)
         cuts = np.searchsorted(p, edges)
         for s, level in enumerate(levels):
             i, j = cuts[s], cuts[s + 1]
             if i == j:
                 continue
-            found, bo[i:j], first = level.find(p[i:j] - edges[s], x[i:j], levels is self.level2)
+            found, bo[i:j], rel = level.find(p[i:j] - edges[s], x[i:j], levels is self.level2)
             hit = np.flatnonzero(found >= 0)
             at[i + hit] = found[hit] + (self.first2[s] if levels is self.level2 else 0)
-            if first is not None:
-                r[i + hit] = found[hit] - first[hit]
-            lp[i + hit] = level.q[found[hit]] / -UNIT
-        node[rows], rel[rows], log_p[rows], back[rows] = at[back_to], r[back_to], lp[back_to], bo[back_to]
-        return node, rel, log_p, back
+            if rel is not None:
+                r[i + hit] = rel[hit]
+            q[i + hit] = level.q[found[hit]]
+
+        def spread(values, none):
+            if not some:
+                return values[back_to]
+            out = np.full(len(parent), none, values.dtype)
+            out[known] = values[back_to]
+            return out
+
+        return spread(at, -1), spread(r, -1) if levels is self.level2 else None, spread(q, 0), spread(bo, 0)
 
     def bigrams(self, u, w):
-        """(node, position among u's successors, log p, log backoff of u). u or w below 0 is unknown."""
+        """(node, position among u's successors, quantised -log p, quantised -log backoff of u). u or w below 0 is unknown."""
         return self._nodes(u, w, self.level2, np.minimum(np.arange(len(self.level2) + 1) * self.width, self.v + 1))
 
     def trigrams(self, node, rel):
         """(whether found, log p, log backoff of the pair). node: of the first two words; rel: of the third after the second."""
-        found, _, log_p, back = self._nodes(node, rel, self.level3, self.edges3)
-        return found >= 0, log_p, back
+        found, _, q, back = self._nodes(node, rel, self.level3, self.edges3)
+        return found >= 0, q / -UNIT, back / -UNIT
 
     @staticmethod
     def _by_shard(shard, levels):
@@ -264,16 +278,16 @@ class Trie:
     def pairs(self, raw: list[bytes]):
         """positions, and each token as a bigram, and the node of the bigram before it (-1 at the start)."""
         ids, counts, before, starts, n = self.positions(raw)
-        node, rel, log_p, back = self.bigrams(before, ids)
+        node, rel, q, back = self.bigrams(before, ids)
         earlier = np.concatenate([[-1], node[:-1]])
         earlier[starts] = -1
-        return ids, counts, n, starts, node, rel, log_p, back, earlier
+        return ids, counts, n, starts, node, rel, q, back, earlier
 
     def score(self, raw: list[bytes]):
         """For each text: tokens, known ones, base score, score."""
-        _, counts, n, starts, _, rel, log2, back2, earlier = self.pairs(raw)
+        _, counts, n, starts, _, rel, q2, back2, earlier = self.pairs(raw)
         base = self.unigram(counts)
-        p = np.where(rel >= 0, log2, back2 + base)
+        p = np.where(rel >= 0, q2 / -UNIT, back2 / -UNIT + base)
         if self.level3:
             found, log3, back3 = self.trigrams(earlier, rel)
             p = np.where(found, log3, back3 + p)
@@ -307,7 +321,7 @@ def gathered(train: DataFrame, keys_of, shard_of) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "keys", "counts"])
 
         for batch in batches:
-            for _, raw in steps(batch.column(0)):
+            for _, raw in steps(batch.column(0), STEP):
                 fresh.append(keys_of(raw))
                 if sum(map(len, fresh)) + len(keys) > HELD:
                     k, c = np.unique(np.concatenate(fresh), return_counts=True)
@@ -446,7 +460,7 @@ def score(docs: DataFrame, meta: dict) -> DataFrame:
 
         trie = opened(shared)
         for batch in batches:
-            for first, raw in steps(batch.column(1)):
+            for first, raw in steps(batch.column(1), STEP):
                 yield pa.RecordBatch.from_arrays([batch.slice(first, len(raw)).column(0), *(pa.array(x) for x in trie.score(raw))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
